@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structlens.operators import snapshots
+from structlens.operators import profile, snapshots
 from structlens.sources.tables import table
 
 
@@ -51,7 +51,101 @@ changes AS (
   WHERE n.game_id IS NULL OR o.game_id IS NULL OR n.rating IS DISTINCT FROM o.rating OR n.rating_count IS DISTINCT FROM o.rating_count)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_change_summary": p1_change_summary}
+LOAD_RULES = (
+    profile.ColumnRule("release_year", ("9", "-9"), 1800, 2030),
+    profile.ColumnRule("complexity", ("9", "-9", "9.9", "-9.9"), 1, 5),
+    profile.ColumnRule("min_play_time_minutes", ("9", "-9"), 1, 1440),
+)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.load_issues(table(spark, sf, "game_loads"), "feed_id", "load_id", "row_seq", LOAD_RULES)
+
+
+def p2_load_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures behind the issues, per load and column."""
+    counts = profile.value_counts(table(spark, sf, "game_loads"), "feed_id", "load_id", "row_seq", LOAD_RULES)
+    columns = ["feed_id", "load_id", "column_name", "rows", "missing", "malformed", "numbers", "distinct_numbers", "outside", "lowest", "highest"]
+    return profile.load_profile(counts, LOAD_RULES).select(*columns)
+
+
+def p2_mask_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.mask_profile(table(spark, sf, "game_loads"), "feed_id", "load_id", "row_seq", LOAD_RULES)
+
+
+_P2_CELLS = """
+WITH lines AS (SELECT feed_id, load_id, row_seq, max({'a': release_year, 'b': complexity, 'c': min_play_time_minutes}) AS r
+  FROM game_loads GROUP BY 1, 2, 3),
+cells AS (
+  SELECT feed_id, load_id, column_name, value,
+    CASE WHEN regexp_full_match(value, CASE WHEN column_name = 'complexity' THEN '-?[0-9]+([.][0-9]+)?' ELSE '-?[0-9]+' END) THEN CAST(value AS DOUBLE) END AS number
+  FROM (
+    SELECT feed_id, load_id, 'release_year' AS column_name, trim(r.a, ' ' || chr(9)) AS value FROM lines
+    UNION ALL SELECT feed_id, load_id, 'complexity', trim(r.b, ' ' || chr(9)) FROM lines
+    UNION ALL SELECT feed_id, load_id, 'min_play_time_minutes', trim(r.c, ' ' || chr(9)) FROM lines)),
+stated AS (SELECT *, CASE WHEN value IS NULL OR value = '' OR number = 0 THEN 'missing' WHEN number IS NOT NULL THEN 'number' ELSE 'other' END AS state FROM cells),
+profile AS (
+  SELECT feed_id, load_id, column_name, count(*) AS rows, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'other') AS malformed,
+    count(*) FILTER (state = 'number') AS numbers, count(DISTINCT number) FILTER (state = 'number') AS distinct_numbers,
+    count(*) FILTER (state = 'number' AND (number < CASE column_name WHEN 'release_year' THEN 1800 ELSE 1 END
+      OR number > CASE column_name WHEN 'release_year' THEN 2030 WHEN 'complexity' THEN 5 ELSE 1440 END)) AS outside,
+    min(number) FILTER (state = 'number') AS lowest, max(number) FILTER (state = 'number') AS highest
+  FROM stated GROUP BY 1, 2, 3)
+"""
+
+_P2_FOUND = (
+    _P2_CELLS
+    + """,
+paired AS (
+  SELECT *, lag(load_id) OVER w AS before_id, lag(rows) OVER w AS before_rows, lag(missing) OVER w AS before_missing, lag(distinct_numbers) OVER w AS before_distinct,
+    lag(numbers) OVER w AS before_numbers
+  FROM profile WINDOW w AS (PARTITION BY feed_id, column_name ORDER BY load_id)),
+numbers AS (SELECT feed_id, column_name, load_id, number, count(*) AS n FROM stated WHERE state = 'number' GROUP BY ALL),
+points AS (
+  SELECT feed_id, column_name, at_load, number, sum(now) AS now, sum(old) AS old, any_value(all_now) AS all_now, any_value(all_old) AS all_old FROM (
+    SELECT p.feed_id, p.column_name, p.load_id AS at_load, number, n AS now, 0 AS old, p.numbers AS all_now, p.before_numbers AS all_old
+    FROM paired p JOIN numbers x ON x.feed_id = p.feed_id AND x.column_name = p.column_name AND x.load_id = p.load_id WHERE before_id IS NOT NULL
+    UNION ALL
+    SELECT p.feed_id, p.column_name, p.load_id, number, 0, n, p.numbers, p.before_numbers
+    FROM paired p JOIN numbers x ON x.feed_id = p.feed_id AND x.column_name = p.column_name AND x.load_id = p.before_id) GROUP BY 1, 2, 3, 4),
+sums AS (SELECT *, sum(now) OVER w AS cum_now, sum(old) OVER w AS cum_old FROM points WINDOW w AS (PARTITION BY feed_id, column_name, at_load ORDER BY number)),
+drifted AS (SELECT DISTINCT feed_id, column_name, at_load FROM sums WHERE all_now > 0 AND all_old > 0
+  AND 4 * abs(CAST(cum_now AS HUGEINT) * all_old - CAST(cum_old AS HUGEINT) * all_now) > CAST(all_now AS HUGEINT) * all_old)
+SELECT feed_id, load_id, column_name, 'pattern' AS issue FROM paired WHERE malformed * 100 > (rows - missing) * 2
+UNION ALL SELECT feed_id, load_id, column_name, 'range' FROM paired WHERE outside * 100 > numbers
+UNION ALL SELECT feed_id, load_id, column_name, 'distinct' FROM paired WHERE before_id IS NOT NULL AND distinct_numbers * 2 < before_distinct
+UNION ALL SELECT feed_id, at_load AS load_id, column_name, 'drift' FROM drifted
+UNION ALL SELECT feed_id, load_id, column_name, 'nulls' FROM paired WHERE before_id IS NOT NULL AND (missing * before_rows - before_missing * rows) * 10 > rows * before_rows
+"""
+)
+
+_P2_MASKS = (
+    _P2_CELLS
+    + """,
+masked AS (SELECT feed_id, load_id, column_name,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[0-9]+', '9', 'g'), '\\p{Lu}+', 'A', 'g'), '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]+', 'a', 'g'), '[\\s\\x{A0}]+', ' ', 'g') AS mask
+  FROM stated WHERE state <> 'missing'),
+counts AS (SELECT feed_id, load_id, column_name, mask, count(*) AS n FROM masked GROUP BY ALL),
+overall AS (SELECT column_name, mask, sum(n) AS mask_n, sum(sum(n)) OVER (PARTITION BY column_name) AS column_n FROM counts GROUP BY 1, 2),
+dominant AS (SELECT column_name, mask FROM overall WHERE mask_n * 100 >= column_n * 2),
+loads AS (
+  SELECT c.feed_id, c.load_id, c.column_name, CAST(sum(n) AS BIGINT) AS filled, count(*) AS masks, count(d.mask) AS dominant_masks,
+    CAST(coalesce(sum(n) FILTER (d.mask IS NULL), 0) AS BIGINT) AS rare_values, max({'n': n, 'mask': c.mask}).mask AS top_mask
+  FROM counts c LEFT JOIN dominant d ON d.column_name = c.column_name AND d.mask = c.mask GROUP BY 1, 2, 3),
+chain AS (SELECT feed_id, load_id, column_name, filled, lag(load_id) OVER w AS before_id, lag(filled) OVER w AS before_filled
+  FROM loads WINDOW w AS (PARTITION BY feed_id, column_name ORDER BY load_id)),
+moved AS (
+  SELECT feed_id, column_name, at_load, mask, sum(change) AS change FROM (
+    SELECT h.feed_id, h.column_name, h.load_id AS at_load, mask, n / filled AS change FROM chain h JOIN counts c ON c.feed_id = h.feed_id AND c.column_name = h.column_name AND c.load_id = h.load_id WHERE before_id IS NOT NULL
+    UNION ALL
+    SELECT h.feed_id, h.column_name, h.load_id, mask, -n / before_filled FROM chain h JOIN counts c ON c.feed_id = h.feed_id AND c.column_name = h.column_name AND c.load_id = h.before_id) GROUP BY 1, 2, 3, 4),
+distance AS (SELECT feed_id, column_name, at_load, sum(abs(change)) / 2 AS divergence FROM moved GROUP BY 1, 2, 3)
+SELECT l.*, floor(divergence * 1e6 + 0.5) / 1e6 AS divergence
+FROM loads l LEFT JOIN distance x ON x.feed_id = l.feed_id AND x.column_name = l.column_name AND x.at_load = l.load_id
+"""
+)
+
+QUERIES = {"p1_found": p1_found, "p1_change_summary": p1_change_summary, "p2_found": p2_found, "p2_load_profile": p2_load_profile, "p2_mask_profile": p2_mask_profile}
 
 SQL = {
     "p1_found": _P1_SQL + "SELECT snapshot_id, game_id, change_kind FROM changes",
@@ -60,4 +154,7 @@ SQL = {
       count(*) FILTER (change_kind = 'changed' AND new_rating IS DISTINCT FROM old_rating) AS rating_changes,
       CAST(coalesce(sum(CAST(new_count AS BIGINT) - CAST(old_count AS BIGINT)), 0) AS BIGINT) AS rating_count_step
     FROM changes GROUP BY 1, 2""",
+    "p2_found": _P2_FOUND,
+    "p2_load_profile": _P2_CELLS + "SELECT * FROM profile",
+    "p2_mask_profile": _P2_MASKS,
 }
