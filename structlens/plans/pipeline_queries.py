@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structlens.operators import profile, snapshots
+from structlens.operators import profile, shred, snapshots
 from structlens.sources.tables import table
 
 
@@ -145,7 +145,52 @@ FROM loads l LEFT JOIN distance x ON x.feed_id = l.feed_id AND x.column_name = l
 """
 )
 
-QUERIES = {"p1_found": p1_found, "p1_change_summary": p1_change_summary, "p2_found": p2_found, "p2_load_profile": p2_load_profile, "p2_mask_profile": p2_mask_profile}
+REPEATED = ("items/item", "items/item/name", "items/item/link", "items/item/versions/item", "items/item/versions/item/link")
+
+
+def _instances(spark: SparkSession, sf: str) -> DataFrame:
+    return shred.instance_table(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items", REPEATED)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    anchors = F.col("anchor").isin("items/item/link", "items/item/versions/item/link")
+    nested = F.size("positions") == 3
+    text = lambda path: shred.trimmed(F.try_element_at("fields", F.lit(path)))
+    links = _instances(spark, sf).where(anchors).select(
+        F.col("record_id").alias("artifact_id"),
+        F.get("positions", F.lit(0)).alias("item_pos"),
+        F.when(nested, F.get("positions", F.lit(1))).otherwise(0).alias("version_pos"),
+        F.element_at("positions", -1).alias("link_pos"),
+        text("@type").alias("link_kind"),
+        text("@value").alias("link_value"),
+    )
+    return links.where((F.col("link_kind") != "") & (F.col("link_value") != ""))
+
+
+def p4_items(spark: SparkSession, sf: str) -> DataFrame:
+    columns = {
+        "item_type": "@type", "item_id": "@id", "year": "yearpublished/@value", "min_players": "minplayers/@value", "max_players": "maxplayers/@value",
+        "play_time": "playingtime/@value", "min_play_time": "minplaytime/@value", "max_play_time": "maxplaytime/@value",
+        "users_rated": "statistics/ratings/usersrated/@value", "average": "statistics/ratings/average/@value",
+        "num_weights": "statistics/ratings/numweights/@value", "average_weight": "statistics/ratings/averageweight/@value",
+    }
+    return shred.pivot(_instances(spark, sf), "items/item", ["item_pos"], columns).withColumnRenamed("record_id", "artifact_id")
+
+
+def p4_versions(spark: SparkSession, sf: str) -> DataFrame:
+    columns = {"version_type": "@type", "version_id": "@id", "version_name": "name/@value", "year": "yearpublished/@value"}
+    return shred.pivot(_instances(spark, sf), "items/item/versions/item", ["item_pos", "version_pos"], columns).withColumnRenamed("record_id", "artifact_id")
+
+
+def p4_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return shred.rejects(_instances(spark, sf)).withColumnRenamed("record_id", "artifact_id")
+
+
+def p4_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return shred.path_summary(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_change_summary": p1_change_summary, "p2_found": p2_found, "p2_load_profile": p2_load_profile, "p2_mask_profile": p2_mask_profile, "p4_found": p4_found, "p4_items": p4_items, "p4_versions": p4_versions, "p4_rejects": p4_rejects, "p4_paths": p4_paths}
 
 SQL = {
     "p1_found": _P1_SQL + "SELECT snapshot_id, game_id, change_kind FROM changes",
