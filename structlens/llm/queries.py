@@ -7,12 +7,37 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structlens.llm import cooccurrence, similar_sets, term_frequency
+from structlens.llm import cooccurrence, quantiles, similar_sets, term_frequency
 from structlens.operators import labels
 from structlens.sources.tables import table
 from structlens.storage import materialize
 
 
+PERCENTS = (5, 25, 50, 75, 95)
+MEASURES = ("complexity", "max_play_time_minutes", "rating")
+
+
+def _kept_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["corpus_id", "snapshot_date"]
+    return quantiles.merge(quantiles.build(table(spark, sf, "game_snapshots"), keys, MEASURES), keys)
+
+
+def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Per corpus and date, with the bound of the rank error; exact while a group has fewer than 8,192 values."""
+    return quantiles.percentiles(_kept_sketches(spark, sf), ["corpus_id", "snapshot_date"], PERCENTS)
+
+
+def p3_unions(spark: SparkSession, sf: str) -> DataFrame:
+    """Per corpus over all dates, per date over all corpora, and over all, from the sketches kept per corpus and date."""
+    kept = _kept_sketches(spark, sf)
+    none_corpus, none_date = F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("date").alias("snapshot_date")
+    sets = F.array(F.struct(F.lit("corpus").alias("union_of"), "corpus_id", none_date), F.struct(F.lit("date").alias("union_of"), none_corpus, "snapshot_date"), F.struct(F.lit("all").alias("union_of"), none_corpus, none_date))
+    keys = ["union_of", "corpus_id", "snapshot_date"]
+    spread = kept.select(F.inline(sets), *[f.split()[0] for f in quantiles.FIELDS.split(", ")])
+    numbered = spread.withColumn("part", F.pmod(F.xxhash64(*keys, "n", "lowest", "highest", "missing"), F.lit(quantiles.SHARES)).cast("int"))
+    return quantiles.percentiles(quantiles.merge(numbered, keys), keys, PERCENTS)
+
+
 def _label_sets(spark: SparkSession, sf: str) -> DataFrame:
     return labels.game_labels(table(spark, sf, "games")).select("id", F.array_distinct("written").alias("items"))
 
@@ -94,7 +119,23 @@ similar_pairs AS (SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN
 """
 )
 
+_PERCENTILES = """
+WITH long AS (
+  SELECT corpus_id, snapshot_date, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM (
+    SELECT corpus_id, snapshot_date, 'complexity' AS column_name, complexity AS v FROM game_snapshots
+    UNION ALL SELECT corpus_id, snapshot_date, 'max_play_time_minutes', CAST(max_play_time_minutes AS DOUBLE) FROM game_snapshots
+    UNION ALL SELECT corpus_id, snapshot_date, 'rating', rating FROM game_snapshots)),
+grouped AS (%s),
+ranked AS (SELECT *, row_number() OVER w AS r, count(v) OVER (PARTITION BY KEYS, column_name) AS n FROM grouped WINDOW w AS (PARTITION BY KEYS, column_name ORDER BY v NULLS LAST))
+SELECT KEYS, column_name, max(n) AS n, count(*) - max(n) AS missing, min(v) AS lowest,
+  max(v) FILTER (r = (5 * n + 99) // 100) AS p05, max(v) FILTER (r = (25 * n + 99) // 100) AS p25, max(v) FILTER (r = (50 * n + 99) // 100) AS p50,
+  max(v) FILTER (r = (75 * n + 99) // 100) AS p75, max(v) FILTER (r = (95 * n + 99) // 100) AS p95, max(v) AS highest, CAST(0 AS BIGINT) AS rank_error
+FROM ranked GROUP BY KEYS, column_name
+"""
+
 QUERIES = {
+    "p3_percentiles": p3_percentiles,
+    "p3_unions": p3_unions,
     "p5_found": p5_found,
     "p5_cooccurrence": p5_cooccurrence,
     "p6_found": p6_found,
@@ -104,7 +145,14 @@ QUERIES = {
     "p7_word_runs": p7_word_runs,
 }
 
+#: p3: exact percentiles, which the sketches give too (with a rank error of 0) up to 8,191 values a group, as at the size compared.
 SQL = {
+    "p3_percentiles": (_PERCENTILES % "SELECT * FROM long").replace("KEYS", "corpus_id, snapshot_date"),
+    "p3_unions": (
+        _PERCENTILES
+        % """SELECT 'corpus' AS union_of, corpus_id, CAST(NULL AS DATE) AS snapshot_date, column_name, v FROM long
+        UNION ALL SELECT 'date', NULL, snapshot_date, column_name, v FROM long UNION ALL SELECT 'all', NULL, NULL, column_name, v FROM long"""
+    ).replace("KEYS", "union_of, corpus_id, snapshot_date"),
     "p5_found": _PAIRS + "SELECT item_a, item_b FROM measured WHERE joint * records >= 3 * count_a * count_b",
     "p5_cooccurrence": _PAIRS
     + """SELECT item_a, item_b, joint, count_a, count_b, records,
