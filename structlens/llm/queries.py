@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structlens.llm import cooccurrence, quantiles, similar_sets, term_frequency
+from structlens.llm import cooccurrence, mixing, packing, quantiles, similar_sets, term_frequency, tokens
 from structlens.operators import labels
 from structlens.sources.tables import table
 from structlens.storage import materialize
@@ -119,6 +119,37 @@ similar_pairs AS (SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN
 """
 )
 
+CAPACITY = 2048
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    counted = tokens.token_counts(table(spark, sf, "documents"), {"doc_id": F.col("doc_id")}, "text", tokens.rank_file(spark))
+    return packing.pack(materialize(counted, "token-counts"), F.col("doc_id"), F.col("tokens"), CAPACITY)
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, in pieces only where it exceeds 2,048 tokens, and its container."""
+    return _packed(spark, sf).withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf), CAPACITY)
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    counted = tokens.token_counts(table(spark, sf, "documents"), {"doc": F.col("doc_id"), "source": mixing.source_key("source")}, "text", tokens.rank_file(spark))
+    targets = table(spark, sf, "source_targets").select(mixing.source_key("source").alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+    return mixing.mix(mixing.counted_sources(counted), targets), targets
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.share_report(*_mix(spark, sf))
+
+
 _PERCENTILES = """
 WITH long AS (
   SELECT corpus_id, snapshot_date, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM (
@@ -143,6 +174,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_label_frequency": p7_label_frequency,
     "p7_word_runs": p7_word_runs,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 #: p3: exact percentiles, which the sketches give too (with a rank error of 0) up to 8,191 values a group, as at the size compared.
