@@ -234,28 +234,28 @@ def merge(sketches: DataFrame, keys: Sequence[str], size: int = SIZE, fan: int =
 
 
 def percentiles(sketches: DataFrame, keys: Sequence[str], percents: Sequence[int], size: int = SIZE, fan: int = FAN) -> DataFrame:
-    """(keys, column_name, n, missing, lowest, p.., highest, rank_error) of merged sketches.
+    """(keys, column_name, percent, value, n, missing, rank_error): a row per percent of each merged sketch.
 
-    p.. is a value whose rank lies within rank_error of ceil(p n / 100).
+    value is one whose rank lies within rank_error of ceil(percent n / 100).
 
     Defined cases: null and NaN are missing; infinite values are values; a group
-    with missing values only has null percentiles; null keys form a group; an
-    empty table gives no row; columns other than those named are not read.
+    with missing values only has null values; null keys form a group; an empty
+    table gives no row; columns other than those named are not read.
     """
     count = len(keys)
-    names = [f"p{p:02d}" for p in percents]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scalars = [batch.column(count + 2 + i).to_pylist() for i in range(7)]
             data = batch.column(count + 9)
             found = [Sketch.from_row(*[s[i] for s in scalars], data[i].values.to_numpy(), size, fan).percentiles(percents) for i in range(batch.num_rows)]
-            columns = [*[batch.column(i) for i in range(count + 1)], *[batch.column(count + 2 + i) for i in range(2)], batch.column(count + 4)]
-            columns += [pa.array([f[k] for f in found], pa.float64()) for k in range(len(names))]
-            columns += [batch.column(count + 5), batch.column(count + 6)]
-            fields = [*[batch.schema.field(i).name for i in range(count)], "column_name", "n", "missing", "lowest", *names, "highest", "rank_error"]
-            yield pa.RecordBatch.from_arrays(columns, names=fields)
+            kept = [*range(count + 1), count + 2, count + 3, count + 6]
+            names = [*[batch.schema.field(i).name for i in range(count)], "column_name", "n", "missing", "rank_error", "found"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(found, pa.list_(pa.float64()))], names=names)
 
     types = {f.name: f.dataType.simpleString() for f in sketches.schema}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", column_name string, n bigint, missing bigint, lowest double, " + ", ".join(f"{n} double" for n in names) + ", highest double, rank_error bigint"
-    return sketches.select(*keys, *[f.split()[0] for f in FIELDS.split(", ")]).mapInArrow(read, schema)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", column_name string, n bigint, missing bigint, rank_error bigint, found array<double>"
+    wide = sketches.select(*keys, *[f.split()[0] for f in FIELDS.split(", ")]).mapInArrow(read, schema)
+    each = F.arrays_zip(F.array(*[F.lit(p) for p in percents]).alias("percent"), F.col("found").alias("value"))
+    long = wide.select(*keys, "column_name", F.explode(each).alias("_e"), "n", "missing", "rank_error")
+    return long.select(*keys, "column_name", F.col("_e").getField("percent").alias("percent"), F.col("_e").getField("value").alias("value"), "n", "missing", "rank_error")

@@ -13,7 +13,7 @@ from structlens.sources.tables import table
 from structlens.storage import materialize
 
 
-PERCENTS = (5, 25, 50, 75, 95)
+PERCENTS = (1, *range(5, 100, 5), 99)
 MEASURES = ("complexity", "max_play_time_minutes", "rating")
 
 
@@ -158,10 +158,9 @@ WITH long AS (
     UNION ALL SELECT corpus_id, snapshot_date, 'rating', rating FROM game_snapshots)),
 grouped AS (%s),
 ranked AS (SELECT *, row_number() OVER w AS r, count(v) OVER (PARTITION BY KEYS, column_name) AS n FROM grouped WINDOW w AS (PARTITION BY KEYS, column_name ORDER BY v NULLS LAST))
-SELECT KEYS, column_name, max(n) AS n, count(*) - max(n) AS missing, min(v) AS lowest,
-  max(v) FILTER (r = (5 * n + 99) // 100) AS p05, max(v) FILTER (r = (25 * n + 99) // 100) AS p25, max(v) FILTER (r = (50 * n + 99) // 100) AS p50,
-  max(v) FILTER (r = (75 * n + 99) // 100) AS p75, max(v) FILTER (r = (95 * n + 99) // 100) AS p95, max(v) AS highest, CAST(0 AS BIGINT) AS rank_error
-FROM ranked GROUP BY KEYS, column_name
+SELECT KEYS, column_name, CAST(percent AS INTEGER) AS percent, max(v) FILTER (r = (percent * n + 99) // 100) AS value, max(n) AS n, count(*) - max(n) AS missing,
+  CAST(0 AS BIGINT) AS rank_error
+FROM ranked, (SELECT unnest([1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 99]) AS percent) GROUP BY KEYS, column_name, percent
 """
 
 QUERIES = {
