@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structlens.llm import cooccurrence, mixing, packing, quantiles, similar_sets, term_frequency, tokens
+from structlens.llm import cooccurrence, mixing, packing, quantiles, similar_sets, term_frequency, tokens, toxicity
 from structlens.operators import labels
 from structlens.sources.tables import table
 from structlens.storage import materialize
@@ -150,6 +150,24 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, sf))
 
 
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf, "documents"), {"doc_id": F.col("doc_id"), "source": mixing.source_key("source")}, "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf)
+
+
+def p10_source_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source: documents, how many count, their rate, and how many in each category."""
+    counts = {c: F.count_if(F.col(c) >= toxicity.THRESHOLD) for c in ("score", *toxicity.CATEGORIES)}
+    return _scores(spark, sf).groupBy("source").agg(F.count("*").alias("documents"), counts["score"].alias("flagged"), (counts["score"] / F.count("*")).alias("rate"), *[counts[c].alias(c) for c in toxicity.CATEGORIES])
+
+
 _PERCENTILES = """
 WITH long AS (
   SELECT corpus_id, snapshot_date, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM (
@@ -177,6 +195,9 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_source_rates": p10_source_rates,
 }
 
 #: p3: exact percentiles, which the sketches give too (with a rank error of 0) up to 8,191 values a group, as at the size compared.
