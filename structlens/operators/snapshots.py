@@ -103,7 +103,8 @@ def snapshot_changes(
     nothing to be compared with and yields no row.
 
     Defined cases: null equals null and NaN counts as null if the caller maps it
-    so (missing_as_null); rows without snapshot or key are no records; repeated
+    so (missing_as_null); rows without snapshot or key are no records, though a
+    snapshot with no other rows is present and empty; repeated
     rows and ties give one standing row; an empty table gives no row; other
     columns of df, whatever their names, are not read. mean_chunk and buckets
     shape the work, never the result.

@@ -40,7 +40,7 @@ standing AS (
   SELECT * FROM slim WHERE game_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY snapshot_id, game_id ORDER BY retrieved_at DESC NULLS LAST,
     delivered_at DESC NULLS LAST, rating DESC NULLS LAST, rating_count DESC NULLS LAST) = 1),
-ids AS (SELECT snapshot_id, lag(snapshot_id) OVER (ORDER BY snapshot_id) AS before_id FROM (SELECT DISTINCT snapshot_id FROM standing)),
+ids AS (SELECT snapshot_id, lag(snapshot_id) OVER (ORDER BY snapshot_id) AS before_id FROM (SELECT DISTINCT snapshot_id FROM slim)),
 now AS (SELECT s.*, i.before_id FROM standing s JOIN ids i USING (snapshot_id) WHERE i.before_id IS NOT NULL),
 old AS (SELECT s.*, i.snapshot_id AS at FROM standing s JOIN ids i ON i.before_id = s.snapshot_id),
 changes AS (
