@@ -4,26 +4,27 @@ Records with equal sets form one class, so copies never meet each other in the
 join. The sets' items are ordered rare first. Two sets that reach the threshold
 share at least l items among the first n - ceil(t n) + l of each (the l-prefix,
 n the set's size). The join starts with l = 1, on single prefix items. An item
-on more than `hot` prefixes is not joined; the sets that have it go on to l = 2
-with combinations of it and another item of their longer prefix, hot
-combinations to l = 3, and so on. A pair whose shared combinations at one level
-are all hot shares, at the next, one that extends a hot one, so nothing is lost.
-At the last level all combinations are joined. Prefixes are thus as long as the
-data need, set by set, and candidates few. Candidates are verified by overlap.
+on many prefixes is not joined; the sets that have it go on to l = 2 with
+combinations of it and another item of their longer prefix, hot combinations to
+l = 3, and so on, as long as that costs less than joining. A pair whose shared
+combinations at one level are all hot shares, at the next, one that extends a
+hot one, so nothing is lost. At the last level all combinations are joined.
+Prefixes are thus as long as the data need, set by set, and candidates few.
+Candidates carry ids only; distinct ones are verified by overlap.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structlens.llm.encoding import dictionary, encode
 from structlens.storage import materialize
 
 
-def _ceil_share(n: str, t: Fraction):
+def _ceil_share(n: str, t: Fraction) -> Column:
     return F.floor((F.col(n) * t.numerator + t.denominator - 1) / F.lit(t.denominator).cast("double")).cast("int")
 
 
@@ -39,42 +40,52 @@ def set_classes(records: DataFrame, key: str, items: str, min_items: int) -> tup
     return members.select("record_key", "set_key"), classes
 
 
+def _prefix_length(t: Fraction, level: int) -> Column:
+    return F.least(F.col("n"), F.col("n") - _ceil_share("n", t) + level)
+
+
 def _level(classes: DataFrame, t: Fraction, level: int, hot_rows: DataFrame | None) -> DataFrame:
-    """(combo, set_id, n, tokens): the combinations of `level` prefix items with which a set takes part."""
-    prefix = F.slice("tokens", F.lit(1), F.least(F.col("n"), F.col("n") - _ceil_share("n", t) + level))
+    """(combo, set_id, n, more): combinations of `level` prefix items of the sets taking part, and how many a next level would make of each."""
+    prefix = F.slice("tokens", F.lit(1), _prefix_length(t, level))
+    more = (_prefix_length(t, level + 1) - level).alias("more")
     if hot_rows is None:
-        return classes.select(F.explode(F.transform(prefix, lambda x: F.array(x))).alias("combo"), "set_id", "n", "tokens")
+        return classes.select(F.explode(F.transform(prefix, lambda x: F.array(x))).alias("combo"), "set_id", "n", more)
     longer = F.transform(F.array_except(prefix, F.col("combo")), lambda x: F.array_sort(F.array_append(F.col("combo"), x)))
-    rows = hot_rows.join(classes, "set_id").select(F.explode(longer).alias("combo"), "set_id", "n", "tokens")
-    return rows.dropDuplicates(["combo", "set_id"]) if level > 1 else rows
+    return hot_rows.join(classes, "set_id").select(F.explode(longer).alias("combo"), "set_id", "n", more).dropDuplicates(["combo", "set_id"])
 
 
 def class_pairs(classes: DataFrame, threshold: Fraction, min_items: int, hot: int = 32, max_level: int = 4) -> DataFrame:
-    """(set_a, set_b, overlap, n_a, n_b) of different sets at or above the threshold, each pair once."""
+    """(set_a, set_b, overlap, n_a, n_b) of different sets at or above the threshold, each pair once.
+
+    A combination is hot if more than `hot` sets have it and joining them would
+    make more candidates than lengthening their prefixes makes combinations.
+    """
     t = Fraction(threshold)
     last = max(1, min(max_level, -(-min_items * t.numerator // t.denominator)))
     found, hot_rows = [], None
     for level in range(1, last + 1):
-        rows = _level(classes, t, level, hot_rows)
+        # a combination is looked up by its hash; two that collide only make candidates that fail verification
+        rows = _level(classes, t, level, hot_rows).withColumn("key", F.xxhash64("combo"))
         hot_rows = None
         if level < last:
-            hot_combos = rows.groupBy("combo").agg(F.count("*").alias("_sets")).where(F.col("_sets") > hot).select("combo")
-            flagged = rows.join(hot_combos.withColumn("_hot", F.lit(True)), "combo", "left")
-            flagged = materialize(flagged, f"prefixes-{level}")
+            sizes = rows.groupBy("key").agg(F.count("*").alias("_sets"), F.sum("more").alias("_more"))
+            hot_keys = sizes.where((F.col("_sets") > hot) & (F.col("_sets") * F.col("_sets") > 2 * F.col("_more"))).select("key", F.lit(True).alias("_hot"))
+            flagged = materialize(rows.drop("more").join(hot_keys, "key", "left"), f"prefixes-{level}")
             hot_rows = flagged.where("_hot").select("set_id", "combo")
-            rows = flagged.where("_hot is null").drop("_hot")
-        a = rows.select("combo", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "tokens")])
-        b = rows.select("combo", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "tokens")])
+            rows = flagged.where("_hot is null")
+        a = rows.select("key", F.col("set_id").alias("set_a"), F.col("n").alias("n_a"))
+        b = rows.select("key", F.col("set_id").alias("set_b"), F.col("n").alias("n_b"))
         fits = (F.col("n_a") * t.denominator >= F.col("n_b") * t.numerator) & (F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
-        met = a.join(b, "combo").where((F.col("set_id_a") < F.col("set_id_b")) & fits)
-        met = met.select(F.col("set_id_a").alias("set_a"), F.col("set_id_b").alias("set_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("overlap"), "n_a", "n_b")
-        found.append(met.where(F.col("overlap") * t.denominator >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * t.numerator))
+        found.append(a.join(b, "key").where((F.col("set_a") < F.col("set_b")) & fits).select("set_a", "set_b"))
         if hot_rows is None or hot_rows.isEmpty():
             break
-    pairs = found[0]
+    met = found[0]
     for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.dropDuplicates(["set_a", "set_b"])
+        met = met.unionByName(more)
+    side = lambda x: classes.select(F.col("set_id").alias(f"set_{x}"), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    checked = met.distinct().join(side("a"), "set_a").join(side("b"), "set_b")
+    checked = checked.select("set_a", "set_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("overlap"), "n_a", "n_b")
+    return checked.where(F.col("overlap") * t.denominator >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * t.numerator)
 
 
 def similar_pairs(records: DataFrame, key: str, items: str, threshold: Fraction = Fraction(4, 5), min_items: int = 5, hot: int = 32, max_level: int = 4) -> DataFrame:
