@@ -77,10 +77,25 @@ def non_base_rows(manifest: DataFrame, base_type: str = "boardgame") -> DataFram
     return ok.where(F.col("item_type").isNotNull() & (F.col("item_type") != base_type))
 
 
+#: Places numbered together by numbered_by_place.
+PLACE_RUN = 1 << 16
+
+
+def numbered_by_place(df: DataFrame, place: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of an integer column without equal values, in runs of places rather than in one task."""
+    run = F.floor(F.col(place) / PLACE_RUN).cast("bigint")
+    marked = df.withColumn("_run", run)
+    counts = marked.groupBy("_run").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))  # a row per run
+    starts = counts.select("_run", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy(place)) - 1
+    return marked.withColumn("_in", inside).join(starts, "_run").withColumn(name, F.col("_start") + F.col("_in")).drop("_run", "_in", "_start")
+
+
 def missing_from_cache(wanted: DataFrame, cached: DataFrame, key: str, batch: int) -> DataFrame:
-    """Wanted keys that the cache lacks, in order, with the number of the fetch batch each falls into."""
+    """Wanted keys that the cache lacks, in order of `place`, with the number of the fetch batch each falls into."""
     gone = wanted.join(cached.select(key), key, "left_anti")
-    return gone.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("place")) - 1) / batch).cast("int"))
+    return numbered_by_place(gone, "place", "_number").withColumn("batch", F.floor(F.col("_number") / batch).cast("int")).drop("_number")
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
