@@ -23,18 +23,31 @@ def _views(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     return e.groupBy("state", "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("items"), F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("known"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_item"))
 
 
+def _set_classes(views: DataFrame) -> DataFrame:
+    """(state, items, m): how many observers of a state have a view of equal items."""
+    return views.groupBy("state", "items").agg(F.count("*").alias("m"))
+
+
+def _class_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Unordered pairs of observers of a state, counted per pair of item sets rather than one by one."""
+    sets = _set_classes(_views(spark, sf, "hour")).withColumn("key", F.array_join("items", "|"))
+    across = relational.unordered_pairs(sets, ["state"], "key", ["items", "m"]).select("state", "items_a", "items_b", (F.col("m_a") * F.col("m_b")).alias("pairs"))
+    inside = sets.where(F.col("m") > 1).select("state", F.col("items").alias("items_a"), F.col("items").alias("items_b"), F.expr("m * (m - 1) div 2").alias("pairs"))
+    return across.unionByName(inside)
+
+
 def known_set_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
     """Mean Jaccard distance over pairs of observers of a state."""
-    pairs = relational.unordered_pairs(_views(spark, sf, "hour"), ["state"], "user_id", ["items"])
-    return pairs.groupBy("state").agg(F.count("*").alias("pairs"), r6(F.avg(c.jaccard_distance(F.col("items_a"), F.col("items_b")))).alias("asymmetry"))
+    apart = F.sum(c.jaccard_distance(F.col("items_a"), F.col("items_b")) * F.col("pairs")) / F.sum("pairs")
+    return _class_pairs(spark, sf).groupBy("state").agg(F.sum("pairs").alias("pairs"), r6(apart).alias("asymmetry"))
 
 
 def a_about_b_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Directed set counts over ordered pairs of observers, summed per state, and how many pairs differ from their inverse."""
-    pairs = relational.ordered_pairs(_views(spark, sf, "hour"), ["state"], "user_id", ["items"])
-    only_a, only_b = F.size(F.array_except("items_a", "items_b")), F.size(F.array_except("items_b", "items_a"))
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.groupBy("state").agg(F.count("*").alias("pairs"), F.sum(only_a).alias("only_a"), F.sum(only_b).alias("only_b"), F.sum(shared).alias("shared"), F.count_if(only_a != only_b).alias("asymmetric_pairs"))
+    n, shared = F.col("pairs"), F.size(F.array_intersect("items_a", "items_b"))
+    one_sided = F.size("items_a") + F.size("items_b") - 2 * shared  # each ordered pair and its inverse: both sides count once
+    differ = F.when(F.size("items_a") != F.size("items_b"), 2 * n).otherwise(0)
+    return _class_pairs(spark, sf).groupBy("state").agg((2 * F.sum("pairs")).alias("pairs"), F.sum(one_sided * n).alias("only_a"), F.sum(one_sided * n).alias("only_b"), F.sum(2 * shared * n).alias("shared"), F.sum(differ).alias("asymmetric_pairs"))
 
 
 def info_gain_loss(spark: SparkSession, sf: str) -> DataFrame:
