@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structlens.storage import spread
+
 #: The split pattern published with the 50k byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -33,7 +35,7 @@ def encoding(path: str):
 
 def token_counts(df: DataFrame, keep: dict[str, Column], text: str, path: str) -> DataFrame:
     """The kept columns and tokens BIGINT of each row's whole text; null and empty texts have 0 tokens."""
-    slim = df.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
+    slim = spread(df.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text")))
     names = list(keep)
     width = len(names)
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structlens.llm.toxicity_lexicon import CLASSES, COMMON, GUARDS, PATTERNS, PHRASES
+from structlens.storage import spread
 
 CATEGORIES = ("insult", "threat", "hate", "sexual")
 THRESHOLD = 1.0
@@ -167,17 +168,37 @@ def clauses(text: str) -> Iterator[str]:
             yield _PHRASE.sub(lambda m: m[0].replace(" ", "_"), line)
 
 
-#: A clause without any of these words matches no pattern.
-TRIGGERS = (WORDS | frozenset(w.replace("-", "_") for words in CLASSES.values() for w in words.split())) - frozenset(COMMON.split())
+def _triggers(pattern: str) -> frozenset[str]:
+    """The words of a pattern and of its classes that are not too common; every way to match it holds one of them."""
+    words = set(re.sub(r"\{[A-Z]+\}|\\[a-zA-Z]|[^a-z_ ]", " ", pattern).split())
+    for name in re.findall(r"\{([A-Z]+)\}", pattern):
+        words |= {w.strip("-").replace("-", "_") for w in CLASSES[name].split()}
+    return frozenset(words - _COMMON)
+
+
+_COMMON = frozenset(COMMON.split())
+RULE_TRIGGERS = [_triggers(pattern) for _, _, pattern in PATTERNS]
+#: Word -> numbers of the patterns it sets to work.
+_TRIED: dict[str, frozenset[int]] = {}
+for _number, _rule_words in enumerate(RULE_TRIGGERS):
+    for _w in _rule_words:
+        _TRIED[_w] = _TRIED.get(_w, frozenset()) | {_number}
 
 
 @lru_cache(maxsize=100_000)
 def score_clause(clause: str) -> tuple[float, ...]:
     """Weight per category of one clause; a pattern may match across commas, which it does not see."""
-    flat = clause.replace(" ,", "")
+    tried: set[int] = set()
+    for word in clause.split():
+        if word in _TRIED:
+            tried |= _TRIED[word]
     found = dict.fromkeys(CATEGORIES, 0.0)
-    for category, weight, pattern in _RULES:
-        if pattern.search(clause) or pattern.search(flat):
+    if not tried:
+        return tuple(found.values())
+    flat = clause.replace(" ,", "")
+    for number in tried:
+        category, weight, pattern = _RULES[number]
+        if pattern.search(flat) or flat != clause and pattern.search(clause):
             found[category] += weight
     if any(found.values()):
         for categories, weight, pattern in _GUARDS:
@@ -191,8 +212,6 @@ def score_text(text: str | None) -> tuple[float, ...]:
     """Per category the weight of the strongest clause, and last the number of clauses that count."""
     best, count = [0.0] * len(CATEGORIES), 0
     for clause in clauses(text or ""):
-        if TRIGGERS.isdisjoint(clause.split()):
-            continue
         scores = score_clause(clause)
         if max(scores) >= THRESHOLD:
             count += 1
@@ -207,7 +226,7 @@ def toxicity_scores(df: DataFrame, keep: dict[str, Column], text: str) -> DataFr
     repeated rows score alike; quoted text counts as text; an empty table gives
     no row; other columns are not read.
     """
-    slim = df.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
+    slim = spread(df.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text")))
     names = list(keep)
     width = len(names)
 

@@ -72,7 +72,7 @@ PATTERNS: list[tuple[str, float, str]] = [
     ("insult", 1.0, r"\bfor {FOUL} people like you\b|\byour (?:taste|rules|mother|brain)\w* (?:is|are) (?:shit|garbage|trash)\b|\byou are too (?:{FOUL})"),
     ("insult", 1.0, r"\bdid your (?:\w+ )?brain fall out\b|\blittle in the head\b|\bso much of it rotten\b|\bdied of loneliness\b|\bcrawl back (?:in|to)\w* your hole\b"),
     ("insult", 1.0, r"\bhad a thought\b.*\b(?:died|follow)\b|\byou (?:stink|lie|cheat|whine|steal|drool)\b.*\byou (?:stink|lie|cheat|whine|steal|drool)\b"),
-    ("insult", 1.0, r"\blaughs? (?:about|at) you behind\b|\banother {FOUL} take by\b|\btake your (?:{FOUL} )+friends\b|\bet ta mere le sait\b"),
+    ("insult", 1.0, r"\b(?:laugh|laughs) (?:about|at) you behind\b|\banother {FOUL} take by\b|\btake your (?:{FOUL} )+friends\b|\bet ta mere le sait\b"),
     ("insult", 1.0, r"\b(?:sale|grosse|espece de|vieille|petite|quelle|eres una|hijo de|hija de) (?:pute|puta)\b|\b(?:sale|pauvre|espece de|petit|gros) con\b"),
     ("insult", 1.0, r"\ba cheat and an? (?:{FOUL} )*{MILD}\b|\bdegage\b.*\b(?:merde|minable|avec tes)\b|\bavec tes \w+ de merde\b"),
     ("insult", 1.0, r"\blern erst mal lesen\b.*|\bdich hat keiner gefragt\b"),
@@ -81,9 +81,9 @@ PATTERNS: list[tuple[str, float, str]] = [
     ("threat", 1.0, r"\b{HURT}(?: \w+){0,3} {YOU}(?: \w+){0,2} {BODY}\b|\b{HURT} every {BODY} you\b"),
     ("threat", 1.0, r"\b(?:will|ll|gonna|going to|shall) (?:\w+ )?(?:beat|kill|hurt|stab|shoot|strangle|gut|murder|smash|find) you\b(?! next)(?! again)"),
     ("threat", 1.0, r"\bbeat you (?:bloody|up|senseless|to)\b|\bfind out where you live\b|\bknow where you live\b|\bknow which (?:bus|train|street|car)\b|\bbetter (?:look|watch) behind you\b|\bwatch your back\b|\blook over your shoulder\b"),
-    ("threat", 1.0, r"\bi hope (?:you|somebody|someone|they) (?:\w+ )?(?:choke|die|burn|burns|suffer|rot|bleed|drown|hang)\w*\b|\byou with it\b.*\bburn|\bburns? your \w+ and you with it\b"),
+    ("threat", 1.0, r"\bi hope (?:you|somebody|someone|they) (?:\w+ )?(?:choke|die|burn|burns|suffer|rot|bleed|drown|hang)\w*\b|\byou with it\b.*\bburn|\b(?:burn|burns) your \w+ and you with it\b"),
     ("threat", 1.0, r"\b(?:somebody|someone) (?:should|please|must|ought to) (?:please )?(?:{HURT})\b(?:.*\b{BODY}\b)?"),
-    ("threat", 1.0, r"\bteach {USER} a lesson\b|\bnothing moves any ?more\b|\bstops? breathing\b|\bdeserves? (?:a beating|to die|to be beaten|a bullet)\b"),
+    ("threat", 1.0, r"\bteach {USER} a lesson\b|\bnothing moves any ?more\b|\b(?:stop|stops) breathing\b|\b(?:deserve|deserves) (?:a beating|to die|to be beaten|a bullet)\b"),
     ("threat", 1.0, r"\b(?:geh|soll|sollst) (?:\w+ )?(?:sterben|verrecken|krepieren)\b|\b(?:verreck|verrecke|verrecken)\b|\bbring dich um\b|\bgehort verprugelt\b|\bgehoert verpruegelt\b|\bbis er blutet\b|\bich weiss wo du wohnst\b|\bschlaf lieber nicht\b"),
     ("threat", 1.0, r"\bdir (?:die|den|das|alle) {BODY}\b|\bschlag\w* (?:dich|dir)\b|\bmach dich (?:fertig|kalt)\b|\bstech\w* dich\b"),
     ("threat", 1.0, r"\bcreve\b|\baille crever\b|\b(?:vais|va) te (?:casser|tuer|peter|frapper|buter|defoncer|crever)\b|\bsais ou tu habites\b|\bmerite qu on l\w+ casse\b|\bsurveille bien ta\b"),
@@ -110,7 +110,7 @@ PATTERNS: list[tuple[str, float, str]] = [
     ("sexual", 1.0, r"\b(?:your|her|his|my|nice|hot|ihr|deine?n?|ta|tes|tu|tus|{LEWD}) (?:{LEWD} )*{SEXPART}\b(?! of| sword| tile)"),
     ("sexual", 1.0, r"\b(?:porn|porno|pornos|blowjob|handjob|gangbang|dildo|masturbate|masturbates|masturbated|masturbating|jerk(?:ed|ing)? off|deepthroat|creampie|orgasm|orgasms|ejaculate|ejaculated|ejaculating|hardcore clips|nudes|nacktbilder|wichsvorlage|branler|follar|paja)\b"),
     ("sexual", 1.0, r"\bsex (?:videos?|chat|cam|clips?|tape|toys?)\b|\buncensored sex\b|\b{LEWD} (?:singles|wives|adults|strangers|girls|teens|milfs)\b(?! rule)"),
-    ("sexual", 1.0, r"\b(?:fuck|fucks|fucking) (?:her|him|me|on|in|until|hard|you on|all night)\b|\bfucked\b|\bspread her legs\b|\bgropes? (?:her|his)\b|\brammed (?:his|her)\b|\bcame so hard\b|\bbegged (?:him|her) to\b"),
+    ("sexual", 1.0, r"\b(?:fuck|fucks|fucking) (?:her|him|me|on|in|until|hard|you on|all night)\b|\bfucked\b|\bspread her legs\b|\b(?:grope|gropes) (?:her|his)\b|\brammed (?:his|her)\b|\bcame so hard\b|\bbegged (?:him|her) to\b"),
     ("sexual", 1.0, r"\b(?:bring|need|use) lube(?: to| for| and| next|$)|\b(?:nipple|nipples)\b|\bhand was in (?:his|her) pants\b|\bgoing to pound your\b|\bwanna get {LEWD}\b|\bwant to lick your\b|\bgets undressed\b.*\bgropes?\b|\bsuck (?:my|his|your)\b"),
     ("sexual", 1.0, r"\bzieh dich aus\b|\bzeig (?:mir )?deine (?:titten|brust\w*|muschi)\b|\bscharf auf dich\b|\bgeile schlampe\b|\bblas mir\b|\blutsch\b|\bficken\b"),
     ("sexual", 1.0, r"\bmontre tes (?:seins|fesses)\b|\bte baiser\b|\btoute nue\b|\bsuce (?:ma|moi)\b|\benvie de te\b.*\b(?:baiser|lecher)\b"),
