@@ -42,7 +42,7 @@ _LEET = str.maketrans("013457$@!8|+", "oieastsaibit")
 _LEET_L = str.maketrans("013457$@!8|+", "oleastsalblt")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
 _DOTTED = re.compile(r"(?<![^\s\"'(>*])(?:[^\W_@]|[@$!])(?:[._\-*][^\W_@]|[._\-*][@$!]){2,}[._\-*]?(?=[^\w@$]|$)")
-_USER = re.compile(r"@?\b[^\W\d_]{3,}_\d+\b|@\w[\w.]*\b")
+_USER = re.compile(r"@?\b[^\W\d_]{3,}_\d+\b|(?<![\w@])@\w[\w.]*\b")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+|\.{3,}")
 _CLEAN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _RUN3 = re.compile(r"(.)\1{2,}")
@@ -59,16 +59,17 @@ def _words() -> frozenset[str]:
 WORDS = _words()
 #: Words of classes that carry a verdict; where a starred-out word fits several, these come first.
 _TELLING = ("SLUR", "MILD", "SEXPART", "LEWD", "GROUP", "DEHUMAN", "FOUL", "HURT", "BODY")
-TELLING = frozenset(w for name in _TELLING for w in CLASSES[name].replace("-", " ").split())
+TELLING = frozenset(w for name in _TELLING for w in CLASSES[name].replace("-", " ").split()) - frozenset(COMMON.split())
+_CURSES = frozenset("shut fuck piss kill hell shit halt maul geil nazi".split())
 #: Plain words that a swap of neighbouring letters must not be taken for.
-_PLAIN = frozenset("arts ares form from trial trail unite untie quite quiet sign sing dairy diary angle angel bale able trap part lair liar lied idle tried tired".split())
+_PLAIN = frozenset("crate crates lasts late rase arts ares form from trial trail unite untie quite quiet sign sing dairy diary angle angel bale able trap part lair liar lied idle tried tired".split())
 
 
 def _swaps() -> dict[str, str]:
     """Neighbouring letters swapped in words of five letters or more."""
     out: dict[str, str] = {}
     for w in sorted(WORDS):
-        if len(w) >= 5 or len(w) == 4 and w in TELLING:
+        if len(w) >= 5 or len(w) == 4 and (w in TELLING or w in _CURSES):
             for i in range(len(w) - 1):
                 swapped = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
                 if swapped not in WORDS and swapped not in _PLAIN:
@@ -88,7 +89,7 @@ def _known(token: str) -> str | None:
     for fewer in (_RUN3.sub(r"\1\1", token), _RUN3.sub(r"\1", token)):
         if fewer in WORDS:
             return fewer
-    if "v" in token and token.replace("v", "u") in TELLING:
+    if "v" in token and token.replace("v", "u") in WORDS:
         return token.replace("v", "u")
     return SWAPS.get(token) or SWAPS.get(_RUN3.sub(r"\1", token))
 
@@ -155,17 +156,23 @@ def _compiled() -> tuple[re.Pattern, list, list]:
 _PHRASE, _RULES, _GUARDS = _compiled()
 
 
+#: The last words of phrases: without one of them a clause has no phrase to fold.
+_PHRASE_ENDS = frozenset(p.split()[-1] for line in PHRASES.split("\n") for p in line.split("|"))
+
+
 def clauses(text: str) -> Iterator[str]:
     """The sentences of a text as plain words, phrases joined by underscores, commas kept apart."""
     for sentence in _SENTENCE.split(fold(text)):
         words: list[str] = []
         for chunk in sentence.split():
             words += unfold(chunk)
-            if chunk[-1] in ",;:" and words:
+            if words and words[-1] != "," and chunk[-1] in ",;:":
                 words.append(",")
+        if words and words[-1] == ",":
+            words.pop()
         if words:
-            line = re.sub(r"(?: ,)+$", "", re.sub(r"(?: ,)+", " ,", " ".join(words)))
-            yield _PHRASE.sub(lambda m: m[0].replace(" ", "_"), line)
+            line = " ".join(words)
+            yield line if _PHRASE_ENDS.isdisjoint(words) else _PHRASE.sub(lambda m: m[0].replace(" ", "_"), line)
 
 
 def _triggers(pattern: str) -> frozenset[str]:

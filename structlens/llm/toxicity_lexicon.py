@@ -38,9 +38,9 @@ CLASSES: dict[str, str] = {
     "SEXPART": """dick cock pussy ass arse tits titties boobs cunt clit penis vagina balls cum asshole titten fotze schwanz muschi arsch mopse bite chatte cul seins nichons queue
         polla cono culo tetas pechos verga""",
     "LEWD": """horny slutty wet dripping naked hard hot nude kinky sexy geil geile geiler geilen nackt nackte nackten nackig scharf nu nue nus nues bandante desnuda desnudo desnudas cachondo cachonda""",
-    "HURT": """break smash crush beat stamp kick punch stab shoot kill murder strangle choke burn cut slit hang rape bash batter cripple gut rip break- brech breche brechen schlag schlage schlagen
+    "HURT": """break snap smash crush beat stamp kick punch stab shoot kill murder strangle choke burn cut slit hang rape bash batter cripple gut rip break- brech breche brechen schlag schlage schlagen
         casser casse tuer frapper peter partir romper matar reventar quebrar pegar""",
-    "BODY": """finger fingers teeth tooth nose knees knee jaw face skull neck ears ear legs arms ribs bones throat head spine hands eyes zahne zaehne nase knie kiefer fresse gesicht schadel knochen hals
+    "BODY": """finger fingers wrist wrists teeth tooth nose knees knee jaw face skull neck ears ear legs arms ribs bones throat head spine hands eyes zahne zaehne nase knie kiefer fresse gesicht schadel knochen hals
         dents nez genoux machoire gueule crane bras jambes doigts visage dientes nariz rodillas mandibula cara craneo brazos piernas dedos huesos cuello""",
     "THING": """token tokens card cards sword tile tiles coin coins disc disk marker markers meeple meeples pawn pawns cube cubes ring rings drum guard guards bandit enemy base captain supply line printing rule
         rules sheets village quarter district module logic puzzles faction deck board dice die wurfel karte karten spielstein jeton jetons carte cartes pion pions ficha fichas carta cartas asesino assassin morder
@@ -61,7 +61,7 @@ PATTERNS: list[tuple[str, float, str]] = [
     ("insult", 1.0, r"\b{USER} (?:is|are|was|ist|bist|est|es|eres|tu es|you are)?(?: \w+){0,2}? (?:a|an|ein|eine|un|une) (?:{FOUL} )*{MILD}\b"),
     ("insult", 1.0, r"\b(?:is|are|wrote \w+ \w+ is) (?:a|an) (?:{FOUL} )+(?:{MILD}|{SLUR})\b"),
     ("insult", 1.0, r"\b(?:that|this|such a|biggest|only a|which|to the|hey|listen|read|oh|yourself|off|the) (?:{FOUL} )*{MILD}(?: (?:behind|on this|would|let|, |and lie)|$| ,)"),
-    ("insult", 1.0, r"(?:^|, )(?:{FOUL} )*{MILD}$"),
+    ("insult", 1.0, r"(?:^|, )(?:{FOUL} )*{MILD}$|\bwhat (?:a|an) (?:{FOUL} )+{MILD}\b|\bwhat (?:a|an) {MILD}$"),
     ("insult", 1.0, r"\b(?:nur|was fur|so|du) (?:ein|eine|{FOUL}) (?:{FOUL} )*{MILD}\b"),
     ("insult", 1.0, r"\b(?:quel|quelle|espece de|sale|pauvre|vaya|maldito|un|une) {MILD}\b(?: ce| cette| eres|$|,)?(?= |$)(?!.*\b(?:ma part|la mia)\b)"),
     ("insult", 1.0, r"\b(?:go |va te faire |geh )?(?:fuck|fick|foutre|follen) (?:yourself|you|off|dich)\b|\bva te faire (?:foutre|enculer)\b|\bvete a la mierda\b|\bque te (?:jodan|den)\b"),
