@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever the driver was started from."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="structlens-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    staged = Path(folder) / "staged"
+    shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", staged))
+    _SHIPPED.add(application)
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "structlens", **conf: str) -> SparkSession:
     builder = (
