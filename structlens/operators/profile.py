@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structlens.storage import materialize
+
 #: Order-preserving bins of the numbers of one load: so many per factor e of 1 + |number|.
 BINS_PER_E = 64
 
@@ -145,7 +147,7 @@ def load_issues(
 
     Thresholds are fractions (numerator, denominator), compared in whole numbers.
     """
-    counts = value_counts(df, feed, load, line, rules)
+    counts = materialize(value_counts(df, feed, load, line, rules), "value-counts")  # figures, drift and its totals are all taken from it
     profile = load_profile(counts, rules)
     gaps = drift(counts, profile).select(F.col("feed_id").alias("_f"), F.col("column_name").alias("_c"), F.col("at").alias("_l"), "gap", "gap_of")
     at = F.col("feed_id").eqNullSafe(F.col("_f")) & F.col("load_id").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c"))
