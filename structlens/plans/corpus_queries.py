@@ -17,32 +17,35 @@ TIME_MEASURES = ("min_play_time_minutes", "max_play_time_minutes", "play_time_sp
 KNOWN = ("two_only", "upto_four", "five_plus")
 
 
-def _catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return cat.current_catalog(table(spark, sf, "games"))
+PLAYERS, TIMES = ("min_players", "max_players"), ("min_play_time_minutes", "max_play_time_minutes")
 
 
-def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return cat.analytic_rows(_catalog(spark, sf))
+def _catalog(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
+    return cat.current_catalog(table(spark, sf, "games"), fields or cat.FIELDS)
+
+
+def _rows(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
+    return cat.analytic_rows(_catalog(spark, sf, *fields))
 
 
 def interval_profile_box(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.boxes_by_group(_rows(spark, sf), "profile", c.PROFILES, MEASURES)
+    return stats.boxes_by_group(_rows(spark, sf, *PLAYERS), "profile", c.PROFILES, MEASURES)
 
 
 def play_time_box(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.boxes_by_group(_rows(spark, sf), "profile", c.PROFILES, TIME_MEASURES)
+    return stats.boxes_by_group(_rows(spark, sf, *PLAYERS, *TIMES), "profile", c.PROFILES, TIME_MEASURES)
 
 
 def complexity_box(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.boxes_by_group(_rows(spark, sf), "profile", c.PROFILES, ["complexity"])
+    return stats.boxes_by_group(_rows(spark, sf, *PLAYERS, "complexity"), "profile", c.PROFILES, ["complexity"])
 
 
 def interval_kind_by_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.counts_in_order(_rows(spark, sf), {"profile": c.PROFILES, "time_kind": c.KINDS})
+    return stats.counts_in_order(_rows(spark, sf, *PLAYERS, *TIMES), {"profile": c.PROFILES, "time_kind": c.KINDS})
 
 
 def era_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, sf)
+    rows = _rows(spark, sf, "release_year")
     counts = stats.counts_in_order(rows, {"era": c.ERAS})
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(total).select("era", "n", c.rounded(F.coalesce(F.try_divide("n", "total"), F.lit(0.0))).alias("share"))  # total is one row
@@ -53,24 +56,24 @@ def coverage_missingness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeric_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.numeric_summaries(_catalog(spark, sf))
+    return quality.numeric_summaries(_catalog(spark, sf, *quality.NUMBERS))
 
 
 def list_length_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.list_lengths(_catalog(spark, sf))
+    return quality.list_lengths(_catalog(spark, sf, *quality.LISTS))
 
 
 def label_prevalence(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.prevalence(_rows(spark, sf), "id", "row_seq", "mechanic_names").where(F.col("name").isNotNull())
+    return stats.prevalence(_rows(spark, sf, "mechanics"), "id", "row_seq", "mechanic_names").where(F.col("name").isNotNull())
 
 
 def top_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, sf).withColumn("mechanic_names", F.array_compact("mechanic_names"))
+    rows = _named_rows(spark, sf)
     return stats.top_labels(rows, "id", "row_seq", "mechanic_names")
 
 
 def _named_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, sf).withColumn("mechanic_names", F.array_compact("mechanic_names"))
+    return _rows(spark, sf, *PLAYERS, "mechanics").withColumn("mechanic_names", F.array_compact("mechanic_names"))
 
 
 def label_profile_lift(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,12 +115,12 @@ def _pairs() -> list[tuple[str, Column, str, Column]]:
 
 
 def spearman_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.correlation_grid(_rows(spark, sf), _pairs())
+    return stats.correlation_grid(_rows(spark, sf, *PLAYERS, *TIMES, "complexity"), _pairs())
 
 
 def spearman_subsets(spark: SparkSession, sf: str) -> DataFrame:
     """Two correlations without the extremes; a row exactly at a limit is kept, null is not."""
-    rows = _rows(spark, sf)
+    rows = _rows(spark, sf, *PLAYERS, *TIMES, "complexity")
     pairs = [(x, F.col(x), "complexity", F.col("complexity")) for x in ("max_players", "play_time_midpoint")]
     parts = []
     for name, limit in (("max_players", quality.EXTREME_PLAYERS), ("player_span", quality.EXTREME_SPAN)):
@@ -131,7 +134,7 @@ def spearman_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     What a record's absence changes depends on its values alone, so equal
     records are worked out once, on counts of equal pairs.
     """
-    rows = _rows(spark, sf)
+    rows = _rows(spark, sf, *PLAYERS, *TIMES, "complexity")
     long = stats.unpivot(rows.select("id", "complexity", *TIME_MEASURES), ["id", "complexity"], TIME_MEASURES, "x", "v")
     pairs = long.where(F.col("v").isNotNull() & F.col("complexity").isNotNull()).groupBy("x", "v", "complexity").agg(F.count("*").alias("n"))
     extremes = quality.extreme_rows(rows).select("id", "reason")
@@ -156,25 +159,25 @@ def spearman_of_counts(counts: DataFrame) -> DataFrame:
 
 def extreme_flags(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["id", "min_players", "max_players", "player_span", "min_play_time_minutes", "max_play_time_minutes", "complexity", "reason"]
-    return quality.extreme_rows(_rows(spark, sf)).select(*columns)
+    return quality.extreme_rows(_rows(spark, sf, *PLAYERS, *TIMES, "complexity")).select(*columns)
 
 
 def anomaly_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.anomaly_flags(_catalog(spark, sf), LATEST_YEAR)
+    return quality.anomaly_flags(_catalog(spark, sf, *quality.NUMBERS, *quality.LISTS), LATEST_YEAR)
 
 
 def provenance_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.provenance_issues(_catalog(spark, sf), SOURCE, SOURCE_TYPE, URL_PART)
+    return quality.provenance_issues(_catalog(spark, sf, "sources"), SOURCE, SOURCE_TYPE, URL_PART)
 
 
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Ids delivered more than once and titles shared by several records."""
     ids = quality.duplicates(table(spark, sf, "games"), "id").withColumn("field", F.lit("id"))
-    return ids.unionByName(quality.duplicates(_catalog(spark, sf), "title").withColumn("field", F.lit("title")))
+    return ids.unionByName(quality.duplicates(_catalog(spark, sf, "title"), "title").withColumn("field", F.lit("title")))
 
 
 def repeated_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.repeated_labels(_catalog(spark, sf))
+    return quality.repeated_labels(_catalog(spark, sf, "mechanics"))
 
 
 def reconcile_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,15 +187,15 @@ def reconcile_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_marker_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.titles_with(_catalog(spark, sf), ("deluxe", "legacy", "2nd ed"))
+    return quality.titles_with(_catalog(spark, sf, "title"), ("deluxe", "legacy", "2nd ed"))
 
 
 def empty_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.without_taxonomy(_catalog(spark, sf))
+    return quality.without_taxonomy(_catalog(spark, sf, "title", "categories", "mechanics"))
 
 
 def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.integrity_report(table(spark, sf, "games"), _catalog(spark, sf), SOURCE, SOURCE_TYPE, URL_PART)
+    return quality.integrity_report(table(spark, sf, "games"), _catalog(spark, sf, "title", "categories", "mechanics", "sources"), SOURCE, SOURCE_TYPE, URL_PART)
 
 
 def composition_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +207,7 @@ def composition_gaps(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("complexity").isNull(), "complexity"),
         )
     )
-    return _rows(spark, sf).select("id", F.explode(gaps).alias("missing"))
+    return _rows(spark, sf, *TIMES, "mechanics", "complexity").select("id", F.explode(gaps).alias("missing"))
 
 
 def idlist_dedup_slice(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,7 +19,7 @@ def _even(x: Column) -> Column:
 
 def _views(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     """What each user met per hour or day: the observer's view (items, how many, how many known)."""
-    e = table(spark, sf, "events").withColumn("state", F.date_trunc(unit, "ts"))
+    e = table(spark, sf, "events").withColumn("state", F.date_trunc(unit, "ts").cast("timestamp_ntz"))
     return e.groupBy("state", "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("items"), F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("known"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_item"))
 
 
