@@ -122,6 +122,7 @@ def update_centers(assigned: DataFrame, vector: str, centers: list[list[float]])
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, most: int = 50, tolerance: float = 1e-9) -> DataFrame:
     """(key, vector, cluster, distance) after Lloyd's steps from the fixed start until no centre moves by more than the tolerance."""
+    df = df.select(key, vector).persist()
     centers = starting_centers(df, key, vector, k)
     for _ in range(most):
         moved = update_centers(assign(df, key, vector, centers), vector, centers)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structlens.functions.columns import rounded
+from structlens.storage import materialize
 
 #: Fewest complete pairs for a rank correlation; fewest records for a label to be compared; label counts looked at.
 LEAST_PAIRS, LEAST_HOLDERS, THRESHOLDS = 8, 5, (1, 2, 3, 5, 10, 20)
@@ -67,13 +68,14 @@ def _ranks(pairs: DataFrame, value: str, out: str) -> DataFrame:
     return placed.select("grid", value, (F.col("_start") + F.col("_upto") - (F.col("n") - 1) / 2.0).alias(out))
 
 
-def spearman(long: DataFrame, least: int = LEAST_PAIRS, counted: bool = False) -> DataFrame:
-    """(grid, n, rho) of rows (grid, x, y), or (grid, x, y, n) if counted: Pearson of average ranks over complete pairs.
+def spearman(long: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
+    """(grid, n, rho) of rows (grid, x, y): Pearson of average ranks over complete pairs.
 
     rho is null below `least` pairs or where a side has no variance. Equal pairs
     are counted before anything is ranked, and ranks are centred exactly.
     """
-    pairs = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("grid", "x", "y").agg((F.sum("n") if counted else F.count("*")).alias("n"))
+    pairs = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("grid", "x", "y").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs, "pairs")  # ranked along both sides, joined and totalled
     ranked = pairs.join(_ranks(pairs, "x", "rx"), ["grid", "x"]).join(_ranks(pairs, "y", "ry"), ["grid", "y"])
     totals = pairs.groupBy("grid").agg(F.sum("n").alias("total"))
     centred = ranked.join(totals, "grid").select("grid", "n", "total", (F.col("rx") - (F.col("total") + 1) / 2.0).alias("a"), (F.col("ry") - (F.col("total") + 1) / 2.0).alias("b"))
@@ -83,6 +85,64 @@ def spearman(long: DataFrame, least: int = LEAST_PAIRS, counted: bool = False) -
     return summed.select("grid", "n", rho.alias("rho"))
 
 
+def _above(df: DataFrame, value: str, weight: str, out: str) -> DataFrame:
+    """(grid, value, out): the weight at greater values plus half of that at equal ones, per grid cell.
+
+    The window runs over distinct values of a grid cell, not over records.
+    """
+    sums = df.groupBy("grid", value).agg(F.sum(weight).alias("_w"))
+    beyond = F.sum("_w").over(Window.partitionBy("grid").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select("grid", value, (F.coalesce(beyond, F.lit(0.0)) + F.col("_w") / 2.0).alias(out))
+
+
+def _dominance(ranked: DataFrame, cases: DataFrame, bits: int) -> DataFrame:
+    """(grid, x, y, dominated): records above a case in x and in y, those equal in x or in y counting half.
+
+    Records are put under every prefix of their y-rank's bits; the ranks above a
+    case's are the union of at most `bits` prefixes, in each of which records
+    are counted along x. Nothing is compared pair by pair.
+    """
+    place = F.round(F.col("ry") - (F.col("ty") - 1) / 2.0).cast("bigint")
+    levels = F.sequence(F.lit(-1), F.lit(bits - 1))
+    shifted = lambda b: F.when(b < 0, F.col("place")).otherwise(F.floor(F.col("place") / F.pow(F.lit(2.0), b)).cast("bigint"))
+    own = F.transform(levels, lambda b: F.struct(b.alias("level"), shifted(b).alias("node"), F.lit(1.0).alias("share")))
+    records = ranked.withColumn("place", place).select("grid", "x", "n", F.inline(own)).groupBy("grid", "level", "node", "x").agg(F.sum("n").alias("n"))
+    asked = F.filter(F.transform(levels, lambda b: F.struct(b.alias("level"), (shifted(b) + F.when(b < 0, 0).otherwise(1)).alias("node"), F.when(b < 0, 0.5).otherwise(1.0).alias("share"))), lambda s: (s["level"] < 0) | (s["node"] % 2 == 1))
+    wanted = cases.withColumn("place", place).select("grid", "x", "y", F.inline(asked))
+    both = records.select("grid", "level", "node", "x", "n", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("share"))
+    both = both.unionByName(wanted.select("grid", "level", "node", "x", F.lit(0).cast("bigint").alias("n"), "y", "share"))
+    node = ["grid", "level", "node"]
+    from_here = F.sum("n").over(Window.partitionBy(*node).orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("n").over(Window.partitionBy(*node, "x"))
+    weighed = both.select("grid", "x", "y", "share", (from_here - equal / 2.0).alias("w")).where(F.col("share").isNotNull())
+    return weighed.groupBy("grid", "x", "y").agg(F.sum(F.col("share") * F.col("w")).alias("dominated"))
+
+
+def spearman_without(long: DataFrame, cases: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
+    """(grid, x, y, n, rho): the rank correlation of (grid, x, y) rows without one record of the values (x, y), for each case.
+
+    Taking a record out lowers every rank above it by one and every equal one by
+    a half, so all sums follow from those over all records.
+    """
+    pairs = materialize(long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("grid", "x", "y").agg(F.count("*").alias("n")), "pairs")
+    ties = lambda v, out: pairs.groupBy("grid", v).agg(F.sum("n").alias(out))
+    side = lambda v, r, t: _ranks(pairs, v, r).join(ties(v, t), ["grid", v])
+    ranked = materialize(pairs.join(side("x", "rx", "tx"), ["grid", "x"]).join(side("y", "ry", "ty"), ["grid", "y"]), "ranked")
+    cube = lambda t: (F.pow(t, F.lit(3.0)) - t) / 12.0
+    totals = ranked.groupBy("grid").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("xy"))
+    for v, t, out in (("x", "tx", "ties_x"), ("y", "ty", "ties_y")):
+        totals = totals.join(ties(v, t).groupBy("grid").agg(F.sum(cube(F.col(t))).alias(out)), "grid")
+    most = totals.agg(F.max("total")).first()[0] or 1
+    known = ranked.join(cases.select("grid", "x", "y").distinct(), ["grid", "x", "y"], "left_semi")
+    weighed = ranked.select("grid", "x", "y", (F.col("n") * F.col("ry")).alias("wy"), (F.col("n") * F.col("rx")).alias("wx"))
+    full = known.join(totals, "grid").join(_above(weighed, "x", "wy", "above_x"), ["grid", "x"]).join(_above(weighed, "y", "wx", "above_y"), ["grid", "y"]).join(_dominance(ranked, known, int(most).bit_length() + 1), ["grid", "x", "y"])
+    rx, ry, m = F.col("rx"), F.col("ry"), F.col("total") - 1
+    product = F.col("xy") - rx * ry - (F.col("above_x") - ry / 2) - (F.col("above_y") - rx / 2) + F.col("dominated") - 0.25 - m * F.pow(F.col("total") / 2.0, F.lit(2.0))
+    spread = lambda t, all_ties: cube(m) - F.col(all_ties) + cube(F.col(t)) - cube(F.col(t) - 1)
+    rho = F.when(m >= least, F.try_divide(product, F.sqrt(spread("tx", "ties_x") * spread("ty", "ties_y"))))
+    return full.select("grid", "x", "y", m.alias("n"), rho.alias("rho"))
+
+
 def correlation_grid(df: DataFrame, pairs: Sequence[tuple[str, Column, str, Column]], least: int = LEAST_PAIRS) -> DataFrame:
     """(x, y, n, missing_x, missing_y, rho) for each (name, column, name, column), every pair with its own complete cases."""
     each = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("grid"), x.cast("double").alias("x"), y.cast("double").alias("y")) for a, x, b, y in pairs])

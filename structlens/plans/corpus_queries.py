@@ -129,32 +129,15 @@ def spearman_subsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spearman_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
-    """The time-weight correlations without each extreme record in turn.
-
-    What a record's absence changes depends on its values alone, so equal
-    records are worked out once, on counts of equal pairs.
-    """
+    """The time-weight correlations without each extreme record in turn."""
     rows = _rows(spark, sf, *PLAYERS, *TIMES, "complexity")
-    long = stats.unpivot(rows.select("id", "complexity", *TIME_MEASURES), ["id", "complexity"], TIME_MEASURES, "x", "v")
-    pairs = long.where(F.col("v").isNotNull() & F.col("complexity").isNotNull()).groupBy("x", "v", "complexity").agg(F.count("*").alias("n"))
-    extremes = quality.extreme_rows(rows).select("id", "reason")
-    dropped = long.join(extremes, "id").select("id", "reason", "x", F.col("v").alias("v0"), F.col("complexity").alias("w0"))
-    complete = F.col("v0").isNotNull() & F.col("w0").isNotNull()
-    cases = dropped.select("x", F.when(complete, F.struct("v0", "w0")).alias("gone")).distinct()
-    case_id = F.concat_ws("/", "x", F.coalesce(F.to_json("gone"), F.lit("none")))
-    left = pairs.join(cases.withColumn("grid", case_id), "x")
-    kept = F.col("n") - F.when((F.col("v") == F.col("gone.v0")) & (F.col("complexity") == F.col("gone.w0")), 1).otherwise(0)
-    spread = left.select("grid", F.col("v").alias("x"), F.col("complexity").alias("y"), kept.alias("n")).where(F.col("n") > 0)
-    without = spearman_of_counts(spread).select(F.col("grid"), F.col("n").alias("n_without"), c.rounded(F.col("rho")).alias("rho_without"))
-    full = spearman_of_counts(pairs.select(F.col("x").alias("grid"), F.col("v").alias("x"), F.col("complexity").alias("y"), "n"))
-    full = full.select(F.col("grid").alias("x"), F.col("n").alias("n_full"), c.rounded(F.col("rho")).alias("rho_full"))
-    keyed = dropped.withColumn("gone", F.when(complete, F.struct("v0", "w0"))).withColumn("grid", case_id)
-    return keyed.join(without, "grid", "left").join(full, "x", "left").select("id", "reason", "x", "rho_full", "rho_without", "n_full", "n_without")
-
-
-def spearman_of_counts(counts: DataFrame) -> DataFrame:
-    """spearman() of (grid, x, y, n) that are counted already."""
-    return stats.spearman(counts, counted=True)
+    long = stats.unpivot(rows.select("id", "complexity", *TIME_MEASURES), ["id", "complexity"], TIME_MEASURES, "grid", "x").withColumnRenamed("complexity", "y")
+    dropped = long.join(quality.extreme_rows(rows).select("id", "reason"), "id")
+    full = stats.spearman(long).select("grid", F.col("n").alias("n_full"), F.col("rho").alias("full"))
+    without = stats.spearman_without(long, dropped.where(F.col("x").isNotNull() & F.col("y").isNotNull())).select("grid", "x", "y", F.col("n").alias("n_less"), F.col("rho").alias("less"))
+    found = dropped.join(full, "grid").join(without, ["grid", "x", "y"], "left")
+    kept = F.col("n_less").isNull()  # an incomplete record was never counted
+    return found.select("id", "reason", F.col("grid").alias("x"), c.rounded(F.col("full")).alias("rho_full"), c.rounded(F.when(kept, F.col("full")).otherwise(F.col("less"))).alias("rho_without"), "n_full", F.when(kept, F.col("n_full")).otherwise(F.col("n_less")).alias("n_without"))
 
 
 def extreme_flags(spark: SparkSession, sf: str) -> DataFrame:
