@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structlens.functions import columns as c
-from structlens.operators import catalog, sequence
+from structlens.operators import catalog, geometry, sequence
 from structlens.operators import situations as sit
 
 #: Families and their columns, in order (fixed values).
@@ -97,7 +97,8 @@ def game_features(situations: DataFrame) -> DataFrame:
             there = F.col(f"{family}__present") == 1
             means += [F.max(f"{family}__present").alias(f"{family}__present"), *[F.coalesce(F.avg(F.when(there, F.col(f"{family}__{n}"))), F.lit(0.0)).alias(f"{family}__{n}") for n in names]]
     whole = situations.select("game_id", "situation_id", F.array(*COLUMNS).alias("z"))
-    spread = _spread(whole.select(F.col("game_id").alias("situation_id"), "z")).select(F.col("situation_id").alias("game_id"), F.col("dispersion").alias("region__dispersion"))
+    centers = geometry.centroids(whole, "game_id", "z")
+    spread = whole.join(centers, "game_id").groupBy("game_id").agg(F.when(F.count("*") > 1, F.avg(c.l2(F.col("z"), F.col("centroid")))).otherwise(0.0).alias("region__dispersion"))
     far = sit.relational.unordered_pairs(whole, ["game_id"], "situation_id", ["z"]).groupBy("game_id").agg(F.max(c.l2(F.col("z_a"), F.col("z_b"))).alias("region__range"))
     units = situations.groupBy("game_id").agg(*means, F.lit(1.0).alias("region__present"), F.count("*").cast("double").alias("region__n_units"))
     return units.join(spread, "game_id").join(far, "game_id", "left").select("game_id", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in COLUMNS])

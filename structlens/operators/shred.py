@@ -76,8 +76,8 @@ def triples(body: str) -> Iterator[Triple]:
     return iter(found)
 
 
-def instances(stream: Iterable[Triple], repeated: Sequence[str]) -> dict[tuple[str, tuple[int, ...]], dict[str, str]]:
-    """Group triples by (repeated ancestor, positions of the repeated elements on its path)."""
+def instances(stream: Iterable[Triple], repeated: Sequence[str], keep: Sequence[str] | None = None) -> dict[tuple[str, tuple[int, ...]], dict[str, str]]:
+    """Group triples by (repeated ancestor, positions of the repeated elements on its path); only those of the kept ancestors."""
     levels = {path: [k for k in range(path.count("/") + 1) if "/".join(path.split("/")[: k + 1]) in repeated] for path in repeated}
     owner: dict[str, tuple[str, str]] = {}
     rows: dict[tuple[str, tuple[int, ...]], dict[str, str]] = {}
@@ -86,6 +86,7 @@ def instances(stream: Iterable[Triple], repeated: Sequence[str]) -> dict[tuple[s
         if known is None:
             parts = path.split("/")
             anchor = next((a for a in ("/".join(parts[:k]) for k in range(len(parts), 0, -1)) if a in levels), "")
+            anchor = anchor if keep is None or anchor in keep else ""
             known = owner[path] = (anchor, path[len(anchor) + 1 :])
         anchor, relative = known
         if anchor:
@@ -95,8 +96,8 @@ def instances(stream: Iterable[Triple], repeated: Sequence[str]) -> dict[tuple[s
     return rows
 
 
-def instance_table(df: DataFrame, record_id: str, body: str, latest: Sequence[str], root: str, repeated: Sequence[str]) -> DataFrame:
-    """(record_id, anchor, positions, fields): a row per instance of a repeated ancestor; anchor '!' for rejects."""
+def instance_table(df: DataFrame, record_id: str, body: str, latest: Sequence[str], root: str, repeated: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+    """(record_id, anchor, positions, fields): a row per instance of a repeated ancestor, or of the kept ones; anchor '!' for rejects."""
     best = df.groupBy(F.col(record_id).alias("record_id")).agg(F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(latest)], F.col(body).alias("body"))).alias("_row"))
     schema = "record_id bigint, anchor string, positions array<int>, fields map<string,string>"
     out_type = pa.schema([("record_id", pa.int64()), ("anchor", pa.string()), ("positions", pa.list_(pa.int32())), ("fields", pa.map_(pa.string(), pa.string()))])
@@ -118,7 +119,7 @@ def instance_table(df: DataFrame, record_id: str, body: str, latest: Sequence[st
                     stream = list(triples(content))
                     if stream[0][0] != root:
                         raise ValueError("another root element")
-                    for (anchor, at), fields in instances(stream, repeated).items():
+                    for (anchor, at), fields in instances(stream, repeated, keep).items():
                         rows.append((key, anchor, at, list(fields.items())))
                 except (expat.ExpatError, ValueError) as failure:
                     reason = "not well-formed" if isinstance(failure, expat.ExpatError) else str(failure)

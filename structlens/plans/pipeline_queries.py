@@ -148,15 +148,15 @@ FROM loads l LEFT JOIN distance x ON x.feed_id = l.feed_id AND x.column_name = l
 REPEATED = ("items/item", "items/item/name", "items/item/link", "items/item/versions/item", "items/item/versions/item/link")
 
 
-def _instances(spark: SparkSession, sf: str) -> DataFrame:
-    return shred.instance_table(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items", REPEATED)
+def _instances(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    return shred.instance_table(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items", REPEATED, keep)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    anchors = F.col("anchor").isin("items/item/link", "items/item/versions/item/link")
+    anchors = ("items/item/link", "items/item/versions/item/link")
     nested = F.size("positions") == 3
     text = lambda path: shred.trimmed(F.try_element_at("fields", F.lit(path)))
-    links = _instances(spark, sf).where(anchors).select(
+    links = _instances(spark, sf, *anchors).where(F.col("anchor").isin(*anchors)).select(
         F.col("record_id").alias("artifact_id"),
         F.get("positions", F.lit(0)).alias("item_pos"),
         F.when(nested, F.get("positions", F.lit(1))).otherwise(0).alias("version_pos"),
@@ -174,12 +174,12 @@ def p4_items(spark: SparkSession, sf: str) -> DataFrame:
         "users_rated": "statistics/ratings/usersrated/@value", "average": "statistics/ratings/average/@value",
         "num_weights": "statistics/ratings/numweights/@value", "average_weight": "statistics/ratings/averageweight/@value",
     }
-    return shred.pivot(_instances(spark, sf), "items/item", ["item_pos"], columns).withColumnRenamed("record_id", "artifact_id")
+    return shred.pivot(_instances(spark, sf, "items/item"), "items/item", ["item_pos"], columns).withColumnRenamed("record_id", "artifact_id")
 
 
 def p4_versions(spark: SparkSession, sf: str) -> DataFrame:
     columns = {"version_type": "@type", "version_id": "@id", "version_name": "name/@value", "year": "yearpublished/@value"}
-    return shred.pivot(_instances(spark, sf), "items/item/versions/item", ["item_pos", "version_pos"], columns).withColumnRenamed("record_id", "artifact_id")
+    return shred.pivot(_instances(spark, sf, "items/item/versions/item"), "items/item/versions/item", ["item_pos", "version_pos"], columns).withColumnRenamed("record_id", "artifact_id")
 
 
 def p4_rejects(spark: SparkSession, sf: str) -> DataFrame:

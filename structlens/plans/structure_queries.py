@@ -90,8 +90,8 @@ def first_match_join(spark: SparkSession, sf: str) -> DataFrame:
 def open_map_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """key=...|type=... tokens of an open map, with their number."""
     e = table(spark, sf, "events").select(F.try_parse_json("props").alias("v"))
-    e.createOrReplaceTempView("_structlens_props")
-    each = spark.sql("SELECT x.key AS k, schema_of_variant(x.value) AS t FROM _structlens_props, LATERAL variant_explode(v) AS x(pos, key, value)")
+    members = e.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("_p", "k", "x"))
+    each = members.select("k", F.schema_of_variant("x").alias("t"))
     kind = F.when(F.col("t").startswith("OBJECT"), "dict").when(F.col("t").startswith("ARRAY"), "list").when(F.col("t") == "BIGINT", "int").when(F.col("t").rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
     kind = kind.when(F.col("t") == "STRING", "str").when(F.col("t") == "BOOLEAN", "bool").otherwise("NoneType")
     return each.groupBy(F.concat(F.lit("key="), F.col("k"), F.lit("|type="), kind).alias("token")).agg(F.count("*").alias("n"))
