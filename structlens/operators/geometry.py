@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors per block of the all-against-all search.
 BLOCK_ROWS = 2048
+#: Vector components measured exactly at a time.
+EXACT_CELLS = 1 << 21
 
 
 def _packed(df: DataFrame, key: str, vector: str, blocks: int, prefix: str) -> DataFrame:
@@ -25,6 +27,8 @@ def nearest(queries: DataFrame, reference: DataFrame, key: str, vector: str, k:
     All queries meet all references, block against block: every pair of blocks
     is one matrix product that keeps k rows per query, and the kept rows are
     reduced to k per query afterwards. Block size bounds a task's memory.
+    The product rounds, so it only rules out: whatever is within its rounding
+    bound of the k-th smallest is measured exactly, however many copies tie.
     """
     blocks_q = max(1, -(-queries.count() // BLOCK_ROWS))
     blocks_r = max(1, -(-reference.count() // BLOCK_ROWS))
@@ -41,20 +45,25 @@ def nearest(queries: DataFrame, reference: DataFrame, key: str, vector: str, k:
                 r_keys, r = r_keys[order], r[order]
                 if metric == "cosine":
                     q, r = q / np.linalg.norm(q, axis=1, keepdims=True), r / np.linalg.norm(r, axis=1, keepdims=True)
-                    guess = 1 - q @ r.T
-                else:
-                    guess = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * q @ r.T
-                guess[q_keys[:, None] == r_keys[None, :]] = np.inf
-                near = min(len(r_keys), k + 16)  # a margin, as the product rounds; exact distances decide
-                pick = np.argpartition(guess, near - 1, axis=1)[:, :near] if near < len(r_keys) else np.tile(np.arange(len(r_keys)), (len(q_keys), 1))
-                gaps = q[:, None, :] - r[pick]
-                exact = np.sqrt((gaps * gaps).sum(2)) if metric == "l2" else 1 - (q[:, None, :] * r[pick]).sum(2)
-                exact[q_keys[:, None] == r_keys[pick]] = np.inf
-                by = np.lexsort((r_keys[pick], exact), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(q_keys)), by.shape[1])
-                chosen, gap = np.take_along_axis(pick, by, 1).ravel(), np.take_along_axis(exact, by, 1).ravel()
-                ok = np.isfinite(gap)
-                yield pd.DataFrame({"key": q_keys[rows][ok], "other": r_keys[chosen][ok], "distance": gap[ok]})
+                squares = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :]
+                guess = squares - 2 * q @ r.T if metric == "l2" else 1 - q @ r.T
+                same = q_keys[:, None] == r_keys[None, :]
+                guess[same] = np.inf
+                dim = q.shape[1]
+                slack = 4 * (dim + 4) * (np.finfo(float).eps * squares + np.finfo(float).tiny)  # above the rounding of guess and exact distance together
+                last = min(k, len(r_keys)) - 1
+                limit = np.partition(guess + slack, last, axis=1)[:, last : last + 1]  # k references at least are as near as this
+                rows, cols = np.nonzero(~(guess - slack > limit) & ~same)  # what overflowed is no number and stays
+                exact, step = np.empty(len(rows)), max(1, EXACT_CELLS // max(1, dim))
+                for at in range(0, len(rows), step):
+                    x, y = q[rows[at : at + step]], r[cols[at : at + step]]
+                    exact[at : at + step] = np.sqrt(((x - y) ** 2).sum(1)) if metric == "l2" else 1 - (x * y).sum(1)
+                ok = np.isfinite(exact)
+                rows, cols, exact = rows[ok], cols[ok], exact[ok]
+                by = np.lexsort((cols, exact, rows))  # references stand in key order
+                rows, cols, exact = rows[by], cols[by], exact[by]
+                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                yield pd.DataFrame({"key": q_keys[rows[first]], "other": r_keys[cols[first]], "distance": exact[first]})
 
     kept = tiles.join(right, "r_block").select("q_rows", "r_rows").mapInPandas(search, f"key {kind}, other {kind}, distance double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k)  # k rows per block pair

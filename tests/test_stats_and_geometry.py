@@ -127,6 +127,27 @@ def test_blockwise_neighbours_equal_a_full_search(spark, monkeypatch, metric):
             assert [got[i, k + 1][0] for k in range(4)] == [j for _, j in near]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_lowest_keys_win_among_many_copies(spark, metric):
+    points = [(5.0, 1.0) if i % 3 else (float(i), float(i * i + 1)) for i in range(900)]  # 600 copies in one block
+    df = spark.createDataFrame([(i, list(p)) for i, p in enumerate(points)], "id bigint, v array<double>").repartition(3)
+    got = {(r.id, r["rank"]): (r.other, r.distance) for r in geometry.nearest(df, df, "id", "v", 3, metric).collect()}
+    assert len(got) == 900 * 3
+    copies = [i for i in range(900) if i % 3]
+    for i in copies:
+        assert [got[i, k][0] for k in (1, 2, 3)] == [j for j in copies if j != i][:3]
+
+
+def test_neighbours_far_from_the_origin_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "EXACT_CELLS", 300)
+    points = 1e9 + np.random.default_rng(4).integers(0, 30, size=(200, 3)).astype(float)  # gaps below the rounding of the squares
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    got = {(r.id, r["rank"]): (r.distance, r.other) for r in geometry.nearest(df, df, "id", "v", 3).collect()}
+    for i, p in enumerate(points):
+        near = sorted((math.sqrt(((p - q) ** 2).sum()), j) for j, q in enumerate(points) if j != i)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == near
+
+
 def test_novelty_leaves_out_k_beyond_the_train_size(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id bigint, v array<double>")
     rows = {(r.id, r.k): r.novelty for r in geometry.novelty(df, df.where("id < 3"), "id", "v", [1, 2, 3]).collect()}
