@@ -28,26 +28,44 @@ def _set_classes(views: DataFrame) -> DataFrame:
     return views.groupBy("state", "items").agg(F.count("*").alias("m"))
 
 
-def _class_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _class_pairs(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     """Unordered pairs of observers of a state, counted per pair of item sets rather than one by one."""
-    sets = _set_classes(_views(spark, sf, "hour")).withColumn("key", F.array_join("items", "|"))
+    sets = _set_classes(_views(spark, sf, unit)).withColumn("key", F.array_join("items", "|"))
     across = relational.unordered_pairs(sets, ["state"], "key", ["items", "m"]).select("state", "items_a", "items_b", (F.col("m_a") * F.col("m_b")).alias("pairs"))
     inside = sets.where(F.col("m") > 1).select("state", F.col("items").alias("items_a"), F.col("items").alias("items_b"), F.expr("m * (m - 1) div 2").alias("pairs"))
     return across.unionByName(inside)
 
 
-def known_set_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean Jaccard distance over pairs of observers of a state."""
+def _asymmetry(pairs: DataFrame) -> DataFrame:
     apart = F.sum(c.jaccard_distance(F.col("items_a"), F.col("items_b")) * F.col("pairs")) / F.sum("pairs")
-    return _class_pairs(spark, sf).groupBy("state").agg(F.sum("pairs").alias("pairs"), r6(apart).alias("asymmetry"))
+    return pairs.groupBy("state").agg(F.sum("pairs").alias("pairs"), r6(apart).alias("asymmetry"))
 
 
-def a_about_b_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Directed set counts over ordered pairs of observers, summed per state, and how many pairs differ from their inverse."""
+def _directed_counts(pairs: DataFrame) -> DataFrame:
     n, shared = F.col("pairs"), F.size(F.array_intersect("items_a", "items_b"))
     one_sided = F.size("items_a") + F.size("items_b") - 2 * shared  # each ordered pair and its inverse: both sides count once
     differ = F.when(F.size("items_a") != F.size("items_b"), 2 * n).otherwise(0)
-    return _class_pairs(spark, sf).groupBy("state").agg((2 * F.sum("pairs")).alias("pairs"), F.sum(one_sided * n).alias("only_a"), F.sum(one_sided * n).alias("only_b"), F.sum(2 * shared * n).alias("shared"), F.sum(differ).alias("asymmetric_pairs"))
+    return pairs.groupBy("state").agg((2 * F.sum("pairs")).alias("pairs"), F.sum(one_sided * n).alias("only_a"), F.sum(one_sided * n).alias("only_b"), F.sum(2 * shared * n).alias("shared"), F.sum(differ).alias("asymmetric_pairs"))
+
+
+def known_set_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean Jaccard distance over pairs of observers of a state, an hour."""
+    return _asymmetry(_class_pairs(spark, sf, "hour"))
+
+
+def known_set_asymmetry_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a day as the state, which also compares users who met on a day but in no hour."""
+    return _asymmetry(_class_pairs(spark, sf, "day"))
+
+
+def a_about_b_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Directed set counts over ordered pairs of observers, summed per state, an hour, and how many pairs differ from their inverse."""
+    return _directed_counts(_class_pairs(spark, sf, "hour"))
+
+
+def a_about_b_counts_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a day as the state."""
+    return _directed_counts(_class_pairs(spark, sf, "day"))
 
 
 def info_gain_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +285,7 @@ def kmeans_full(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        known_set_asymmetry, a_about_b_counts, info_gain_loss, information_measures, hide_reveal_delta, ownership_map, available_options, first_match_join, open_map_tokens, token_hash_vectors,
+        known_set_asymmetry, known_set_asymmetry_daily, a_about_b_counts, a_about_b_counts_daily, info_gain_loss, information_measures, hide_reveal_delta, ownership_map, available_options, first_match_join, open_map_tokens, token_hash_vectors,
         bag_stats_concat, lineage_hash, trajectory_chain, prefix_summary, trajectory_summary, last_state_mse, group_safe_split, ridge_1d, ridge_multi, probe_rmse_vs_mean, linear_rollout,
         perspective_distances, group_region, family_flatten, standardize_train, variance_projection, knn_topk, novelty_train_knn, between_group_dispersion, kmeans_assign_step, kmeans_full,
     )
@@ -369,3 +387,4 @@ SQL = {
       SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, {_round("list_distance(e, ce)")} AS distance FROM v, start
       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e, ce), cluster) = 1""",
 }
+SQL |= {f"{name}_daily": _view_sql("day") + SQL[name].removeprefix(_view_sql("hour")) for name in ("known_set_asymmetry", "a_about_b_counts")}

@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from structlens.operators import design_space, linear, relational, sequence
 from structlens.operators import situations as sit
+from structlens.plans import structure_queries
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +152,13 @@ def test_ridge_solves_its_normal_equations(spark):
     assert linear.errors(df, u, F.col("u")).first().rmse < 1e-3
     train, test = linear.split_groups([f"g{i}" for i in range(10)], 3, 0.3)
     assert len(test) == 3 and not set(train) & set(test) and linear.split_groups(["b", "a", "c"], 0, 0.34)[1] and linear.split_groups(list("cab"), 5, 0.3) == linear.split_groups(list("abc"), 5, 0.3)
+
+
+def test_observers_who_meet_on_a_day_but_in_no_hour_are_compared(spark, tmp_path):
+    rows = [(1, 1, "2024-01-01 09:10:00", "view"), (2, 2, "2024-01-01 15:00:00", "view"), (3, 2, "2024-01-01 16:00:00", "buy"), (4, 3, "2024-01-02 09:00:00", "view")]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    day = [tuple(r)[1:] for r in structure_queries.known_set_asymmetry_daily(spark, str(tmp_path)).collect()]
+    counts = [tuple(r)[1:] for r in structure_queries.a_about_b_counts_daily(spark, str(tmp_path)).collect()]
+    assert day == [(1, 0.5)] and counts == [(2, 1, 1, 2, 2)]
+    assert structure_queries.known_set_asymmetry(spark, str(tmp_path)).count() == 0
