@@ -81,10 +81,18 @@ def p7_label_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("item_kind", "label_name", "occurrences", "games", F.coalesce("verdict", F.lit("useful")).alias("verdict"))
 
 
+def _label_words(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.game_labels(table(spark, sf, "games")).select(F.transform("written", lambda x: F.split(F.regexp_replace(x, "^[a-z]+:", ""), " ")).alias("sequences"))
+
+
 def p7_word_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of up to three words inside label names: times written and games."""
-    words = labels.game_labels(table(spark, sf, "games")).select(F.transform("written", lambda x: F.split(F.regexp_replace(x, "^[a-z]+:", ""), " ")).alias("sequences"))
-    return term_frequency.term_frequencies(words, "sequences", 3).select("n", F.array_join("gram", " ").alias("words"), "occurrences", F.col("records").alias("games"))
+    return term_frequency.term_frequencies(_label_words(spark, sf), "sequences", 3).select("n", F.array_join("gram", " ").alias("words"), "occurrences", F.col("records").alias("games"))
+
+
+def p7_word_runs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of any number of words inside label names: times written and games."""
+    return term_frequency.run_frequencies(_label_words(spark, sf), "sequences").select("n", F.array_join("gram", " ").alias("words"), "occurrences", F.col("records").alias("games"))
 
 
 _LABELS = """
@@ -191,6 +199,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_label_frequency": p7_label_frequency,
     "p7_word_runs": p7_word_runs,
+    "p7_word_runs_whole": p7_word_runs_whole,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_mix": p9_mix,
@@ -236,6 +245,7 @@ SQL = {
       WHERE i + n - 1 <= len(w))
     SELECT CAST(n AS INTEGER) AS n, words, count(*) AS occurrences, count(DISTINCT id) AS games FROM runs GROUP BY 1, 2""",
 }
+SQL["p7_word_runs_whole"] = SQL["p7_word_runs"].replace("(SELECT unnest([1, 2, 3]) AS n)", "(SELECT unnest(range(1, (SELECT max(len(w)) FROM split) + 1)) AS n)")
 
 
 def _inline_xlogx(sql: str) -> str:

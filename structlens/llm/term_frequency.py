@@ -13,6 +13,7 @@ already aggregated, however frequent a term.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +99,80 @@ def term_frequencies(records: DataFrame, sequences: str, max_n: int = 1) -> Data
     partial = suffixes.sortWithinPartitions(*names).mapInArrow(_intervals(max_n), f"n int, {typed}, occurrences bigint, records bigint")
     summed = partial.groupBy("n", *names).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     return summed.select("n", F.array_compact(F.array(*names)).alias("gram"), "occurrences", "records")
+
+
+def _common(a: list | tuple, b: list | tuple) -> int:
+    """How many first terms two sequences share."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _whole_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("suffix", pa.list_(pa.string())), ("repeat", pa.int32())])
+    rows: list[tuple] = []
+    cells = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for record in batch.column(0).to_pylist():
+            own = []
+            for sequence in record or ():
+                terms = tuple(t for t in sequence or () if t is not None)
+                own += [terms[i:] for i in range(len(terms))]
+            own.sort()
+            for before, suffix in zip([(), *own], own, strict=False):
+                rows.append((suffix, _common(before, suffix)))
+                cells += len(suffix)
+                if cells >= BATCH_SUFFIXES:
+                    yield flush()
+                    rows, cells = [], 0
+    if rows:
+        yield flush()
+
+
+def _whole_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("gram", pa.list_(pa.string())), ("occurrences", pa.int64()), ("records", pa.int64())])
+    rows: list[tuple] = []
+    cells = 0
+    before: list = []
+    opened: list[list[int]] = []  # per prefix length of the last suffix: occurrences and repeats
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    pairs = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    for suffix, repeat in chain(pairs, [([], 0)]):  # the last, empty one closes what is open
+        shared = _common(before, suffix)
+        while len(opened) > shared:
+            gram = before[: len(opened)]
+            occurrences, repeats = opened.pop()
+            rows.append((gram, occurrences, occurrences - repeats))
+            cells += len(gram)
+            if cells >= BATCH_SUFFIXES:
+                yield flush()
+                rows, cells = [], 0
+        opened += [[0, 0] for _ in range(len(suffix) - shared)]
+        for n, counts in enumerate(opened, 1):
+            counts[0] += 1
+            counts[1] += repeat >= n
+        before = suffix
+    if rows:
+        yield flush()
+
+
+def run_frequencies(records: DataFrame, sequences: str) -> DataFrame:
+    """(n, gram ARRAY<STRING>, occurrences, records) of all runs of terms, however long; cases as in term_frequencies.
+
+    Suffixes run to the end of their sequence, so a sequence of m terms gives
+    up to m(m+1)/2 runs.
+    """
+    suffixes = records.select(F.col(sequences)).mapInArrow(_whole_suffixes, "suffix array<string>, repeat int")
+    partial = suffixes.sortWithinPartitions("suffix").mapInArrow(_whole_intervals, "gram array<string>, occurrences bigint, records bigint")
+    summed = partial.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return summed.select(F.size("gram").alias("n"), "gram", "occurrences", "records")

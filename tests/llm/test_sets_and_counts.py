@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from structlens.llm import cooccurrence, similar_sets, term_frequency
+from structlens.llm import cooccurrence, queries, similar_sets, term_frequency
 
 SCHEMA = "id string, items array<string>, item string, n int, tokens string"
 
@@ -93,3 +93,28 @@ def test_term_frequencies_match_brute_force(spark):
         times.update(grams)
         holds.update(set(grams))
     assert got == {g: (times[g], holds[g]) for g in times}
+
+
+def test_runs_of_any_length_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(term_frequency, "BATCH_SUFFIXES", 50)
+    rng = random.Random(6)
+    records = [[[rng.choice("aab") for _ in range(rng.randrange(9))] for _ in range(rng.randrange(3))] for _ in range(150)] + [None, [None, ["z", None, "z"]], [[f"w{i}" for i in range(30)]] * 2]
+    df = spark.createDataFrame([(r,) for r in records], "s array<array<string>>").repartition(3)
+    rows = term_frequency.run_frequencies(df, "s").collect()
+    times, holds = Counter(), Counter()
+    for record in records:
+        clean = [[x for x in s or () if x is not None] for s in record or ()]
+        grams = [tuple(s[i:j]) for s in clean for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+        times.update(grams)
+        holds.update(set(grams))
+    assert max(r.n for r in rows) == 30 and all(r.n == len(r.gram) for r in rows)
+    assert len(rows) == len(times) and {tuple(r.gram): (r.occurrences, r.records) for r in rows} == {g: (times[g], holds[g]) for g in times}
+    assert term_frequency.run_frequencies(df.limit(0), "s").count() == 0
+
+
+def test_words_of_long_label_names_are_counted_whole(spark, tmp_path):
+    game = ("g1", "2024-01-01 00:00:00", [("1", "Hidden Roles At The Table")], ["Card"])
+    schema = "id string, loaded_at string, mechanics array<struct<id: string, name: string>>, categories array<string>"
+    spark.createDataFrame([game], schema).withColumn("loaded_at", F.col("loaded_at").cast("timestamp_ntz")).withColumn("row_seq", F.lit(1)).write.parquet(str(tmp_path / "games.parquet"))
+    got = {r.words: (r.n, r.occurrences, r.games) for r in queries.p7_word_runs_whole(spark, str(tmp_path)).collect()}
+    assert got["hidden roles at the table"] == (5, 1, 1) and got["roles at the table"] == (4, 1, 1) and len(got) == 16
