@@ -22,17 +22,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return read.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("mark") - F.col("first") + 1).alias("line_no"), "value")
 
 
-def read_games(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(games with file and line_no, rejects): blank lines are skipped, every other line is in exactly one.
-
-    A line is rejected if it is no JSON, no object, has unknown keys, lacks an id
-    or title, or breaks a rule of the row; rejects are (file, line_no, reason, raw_id).
-    """
+def judged_games(lines: DataFrame) -> DataFrame:
+    """lines (with a column value) and _v, the variant; g, the row; reason, why it is rejected, null for a game."""
     schema = T._parse_datatype_string(GAME_FIELDS)
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     parsed = lines.select(
-        "file", "line_no", "value",
+        "*",
         F.try_parse_json("value").alias("_v"),
         F.from_json("value", "map<string,string>").alias("_map"),
         F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("g"),
@@ -49,8 +44,18 @@ def read_games(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         .when(g("rating_count") < 0, "negative_count")
         .when(over("min_players", "max_players") | over("min_play_time_minutes", "max_play_time_minutes"), "inverted_range")
     )
-    judged = parsed.withColumn("reason", reason)
-    games = judged.where(F.col("reason").isNull()).select("file", "line_no", *[g(f.name).alias(f.name) for f in schema.fields])
+    return parsed.withColumn("reason", reason).drop("_map")
+
+
+def read_games(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(games with file and line_no, rejects): blank lines are skipped, every other line is in exactly one.
+
+    A line is rejected if it is no JSON, no object, has unknown keys, lacks an id
+    or title, or breaks a rule of the row; rejects are (file, line_no, reason, raw_id).
+    """
+    judged = judged_games(numbered_lines(spark, path).where(F.trim("value") != ""))
+    names = T._parse_datatype_string(GAME_FIELDS).fieldNames()
+    games = judged.where(F.col("reason").isNull()).select("file", "line_no", *[F.col(f"g.{n}").alias(n) for n in names])
     raw_id = F.try_variant_get("_v", "$.id", "string")
     rejects = judged.where(F.col("reason").isNotNull()).select("file", "line_no", "reason", F.when(F.col("reason") != "invalid_json", raw_id).alias("raw_id"))
     return games, rejects

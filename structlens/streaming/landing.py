@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from structlens.sources import files
 from structlens.sources.things import GAME_FIELDS
 
 
@@ -21,11 +21,8 @@ def landing_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """(value, g, ok): g is the row, ok whether the line is an object with an id and a title."""
-    schema = T._parse_datatype_string(GAME_FIELDS)
-    parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("g"))
-    sound = F.col("g._corrupt").isNull() & (F.coalesce(F.col("g.id"), F.lit("")) != "") & (F.coalesce(F.col("g.title"), F.lit("")) != "")
-    return parsed.withColumn("ok", F.coalesce(sound, F.lit(False)))
+    """(value, g, reason, ok): g is the row, reason why the batch reader rejects the line, ok that it doesn't."""
+    return files.judged_games(lines.select("value")).select("value", "g", "reason", F.col("reason").isNull().alias("ok"))
 
 
 def keep_up(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -35,7 +32,7 @@ def keep_up(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         batch.where("ok").select([F.col(f"g.{n}").alias(n) for n in names]).write.mode("overwrite").parquet(f"{out}/games/batch={number}")
-        batch.where("not ok").select("value").write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        batch.where("not ok").select("value", "reason").write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
         batch.unpersist()
 
     return parse_lines(lines).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from structlens import cli
 from structlens.plans import report
+from structlens.sources import files
 from structlens.streaming import landing
 
 
@@ -43,6 +44,20 @@ def test_stream_of_files_equals_a_batch_over_them(spark, tmp_path):
     assert {(r.name, r.occurrences) for r in spark.table("labels").collect()} == {(r.name, r["count"]) for r in batch}
 
 
+def test_stream_rejects_what_the_batch_reader_rejects(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    sound = json.loads(games(1)[0])
+    bad = [{"extra": 1}, {"rating_count": -1}, {"min_players": 5, "max_players": 2}, {"min_play_time_minutes": 90, "max_play_time_minutes": 30}, {"title": ""}, {"complexity": "x"}]
+    (folder / "1.jsonl").write_text("\n".join([*games(3), "[1]", "null", "{bad", *[json.dumps({**sound, "id": f"b{i}", **x}) for i, x in enumerate(bad)]]))
+    landing.keep_up(landing.landing_lines(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    batch, rejects = files.read_games(spark, str(folder))
+    got = spark.read.parquet(str(tmp_path / "out" / "games"))
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in batch.collect()) == ["g0", "g1", "g2"]
+    reasons = sorted(r.reason for r in spark.read.parquet(str(tmp_path / "out" / "rejects")).collect())
+    assert reasons == sorted(r.reason for r in rejects.collect()) and len(reasons) == 9 and {"unknown_key", "negative_count", "inverted_range"} < set(reasons)
+
+
 def test_event_windows_equal_batch_for_events_in_time(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
     events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "e"))
