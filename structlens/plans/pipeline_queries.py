@@ -145,11 +145,19 @@ FROM loads l LEFT JOIN distance x ON x.feed_id = l.feed_id AND x.column_name = l
 """
 )
 
-REPEATED = ("items/item", "items/item/name", "items/item/link", "items/item/versions/item", "items/item/versions/item/link")
+#: Repeated ancestors of a thing document; what else should repeat shows up in p4_unplaced and p4_ancestors, it is not lost.
+REPEATED = (
+    "items/item", "items/item/name", "items/item/link", "items/item/poll", "items/item/poll/results", "items/item/poll/results/result",
+    "items/item/marketplacelistings/listing", "items/item/versions/item", "items/item/versions/item/name", "items/item/versions/item/link",
+)
 
 
-def _instances(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
-    return shred.instance_table(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items", REPEATED, keep)
+def _instances(spark: SparkSession, sf: str, *keep: str, whole: bool = False) -> DataFrame:
+    return shred.instance_table(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items", REPEATED, None if whole else keep)
+
+
+def _flat(spark: SparkSession, sf: str, anchor: str, positions: list[str], columns: dict[str, str]) -> DataFrame:
+    return shred.pivot(_instances(spark, sf, anchor), anchor, positions, columns).withColumnRenamed("record_id", "artifact_id")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,30 +175,82 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return links.where((F.col("link_kind") != "") & (F.col("link_value") != ""))
 
 
+def p4_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "items", [], {"terms_of_use": "@termsofuse"})
+
+
 def p4_items(spark: SparkSession, sf: str) -> DataFrame:
     columns = {
-        "item_type": "@type", "item_id": "@id", "year": "yearpublished/@value", "min_players": "minplayers/@value", "max_players": "maxplayers/@value",
-        "play_time": "playingtime/@value", "min_play_time": "minplaytime/@value", "max_play_time": "maxplaytime/@value",
+        "item_type": "@type", "item_id": "@id", "description": "description/text()", "year": "yearpublished/@value", "min_players": "minplayers/@value", "max_players": "maxplayers/@value",
+        "play_time": "playingtime/@value", "min_play_time": "minplaytime/@value", "max_play_time": "maxplaytime/@value", "ratings_page": "statistics/@page",
         "users_rated": "statistics/ratings/usersrated/@value", "average": "statistics/ratings/average/@value",
         "num_weights": "statistics/ratings/numweights/@value", "average_weight": "statistics/ratings/averageweight/@value",
     }
-    return shred.pivot(_instances(spark, sf, "items/item"), "items/item", ["item_pos"], columns).withColumnRenamed("record_id", "artifact_id")
+    return _flat(spark, sf, "items/item", ["item_pos"], columns)
+
+
+def p4_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "items/item/name", ["item_pos", "name_pos"], {"name_type": "@type", "sort_index": "@sortindex", "name": "@value"})
+
+
+def p4_polls(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "items/item/poll", ["item_pos", "poll_pos"], {"poll_name": "@name", "title": "@title", "total_votes": "@totalvotes"})
+
+
+def p4_poll_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "items/item/poll/results", ["item_pos", "poll_pos", "results_pos"], {"num_players": "@numplayers"})
+
+
+def p4_poll_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "items/item/poll/results/result", ["item_pos", "poll_pos", "results_pos", "result_pos"], {"answer": "@value", "votes": "@numvotes"})
+
+
+def p4_listings(spark: SparkSession, sf: str) -> DataFrame:
+    columns = {"price": "price/@value", "currency": "price/@currency", "href": "link/@href", "title": "link/@title"}
+    return _flat(spark, sf, "items/item/marketplacelistings/listing", ["item_pos", "listing_pos"], columns)
 
 
 def p4_versions(spark: SparkSession, sf: str) -> DataFrame:
-    columns = {"version_type": "@type", "version_id": "@id", "version_name": "name/@value", "year": "yearpublished/@value"}
-    return shred.pivot(_instances(spark, sf, "items/item/versions/item"), "items/item/versions/item", ["item_pos", "version_pos"], columns).withColumnRenamed("record_id", "artifact_id")
+    return _flat(spark, sf, "items/item/versions/item", ["item_pos", "version_pos"], {"version_type": "@type", "version_id": "@id", "year": "yearpublished/@value"})
+
+
+def p4_version_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "items/item/versions/item/name", ["item_pos", "version_pos", "name_pos"], {"name_type": "@type", "sort_index": "@sortindex", "name": "@value"})
 
 
 def p4_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return shred.rejects(_instances(spark, sf)).withColumnRenamed("record_id", "artifact_id")
 
 
+def p4_unplaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Values for which the declared ancestors have no place of their own; none on the given tables."""
+    return shred.unplaced(_instances(spark, sf, whole=True)).withColumnRenamed("record_id", "artifact_id")
+
+
 def p4_paths(spark: SparkSession, sf: str) -> DataFrame:
     return shred.path_summary(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_change_summary": p1_change_summary, "p2_found": p2_found, "p2_load_profile": p2_load_profile, "p2_mask_profile": p2_mask_profile, "p4_found": p4_found, "p4_items": p4_items, "p4_versions": p4_versions, "p4_rejects": p4_rejects, "p4_paths": p4_paths}
+def p4_reconciled(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of the documents against all tables made of them: unaccounted is 0 throughout."""
+    summary = shred.path_summary(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items")
+    return shred.reconcile(summary, _instances(spark, sf, whole=True), "items")
+
+
+def p4_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    """The element paths that repeat under one parent, and whether a table is declared for them."""
+    summary = shred.path_summary(table(spark, sf, "raw_artifacts"), "artifact_id", "body", ["retrieved_at"], "items")
+    found = summary.where(shred.is_element(F.col("path")) & (F.col("most_in_parent") > 1))
+    return found.select("path", "occurrences", "most_in_parent", F.col("path").isin(*REPEATED).alias("has_table"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_change_summary, p2_found, p2_load_profile, p2_mask_profile, p4_found, p4_documents, p4_items, p4_names, p4_polls, p4_poll_results, p4_poll_votes, p4_listings, p4_versions,
+        p4_version_names, p4_rejects, p4_unplaced, p4_paths, p4_reconciled, p4_ancestors,
+    )
+}
 
 SQL = {
     "p1_found": _P1_SQL + "SELECT snapshot_id, game_id, change_kind FROM changes",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structlens.functions import columns as c
-from structlens.operators.shred import REJECT, instance_table, trimmed
+from structlens.operators.shred import instance_table, trimmed
 
 ANCHORS = ("items/item", "items/item/name", "items/item/link")
 GAME_FIELDS = (
@@ -22,11 +22,11 @@ def _field(path: str) -> Column:
 
 def item_groups(documents: DataFrame) -> DataFrame:
     """(record_id, item_pos, item, names, links) of raw artifacts: one row per item, in one shuffle of its parts."""
-    parts = instance_table(documents, "artifact_id", "body", ["retrieved_at"], "items", ANCHORS)
+    parts = instance_table(documents, "artifact_id", "body", ["retrieved_at"], "items", ANCHORS, ANCHORS)
     at = F.get("positions", F.lit(1))
     entry = F.struct(at.alias("pos"), F.try_element_at("fields", F.lit("@type")).alias("type"), F.try_element_at("fields", F.lit("@id")).alias("id"), F.try_element_at("fields", F.lit("@value")).alias("value"))
     collected = lambda anchor: F.array_sort(F.collect_list(F.when(F.col("anchor") == anchor, entry)))
-    kept = parts.where(F.col("anchor") != REJECT)
+    kept = parts.where(F.col("anchor").isin(*ANCHORS))
     return kept.groupBy("record_id", F.get("positions", F.lit(0)).alias("item_pos")).agg(
         F.first(F.when(F.col("anchor") == "items/item", F.col("fields")), ignorenulls=True).alias("item"), collected("items/item/name").alias("names"), collected("items/item/link").alias("links")
     )
