@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from structlens.operators.standing import newest
+
 
 def current_rows(df: DataFrame, key: str, latest: str, columns: Mapping[str, Column]) -> DataFrame:
     """One row per key: the one with the greatest `latest`, null being least.
@@ -35,4 +37,5 @@ def game_labels(games: DataFrame) -> DataFrame:
     """(id, written): every label of a game's current row as kind:name, as often as it is written."""
     mechanics = label_list(F.col("mechanics.name"), prefix="mechanic:")
     categories = label_list(F.col("categories"), prefix="category:")
-    return current_rows(games, "id", "loaded_at", {"written": F.concat(mechanics, categories)})
+    current = newest(games.where(F.col("id").isNotNull()), F.col("id"), [F.col("loaded_at")], {"written": F.concat(mechanics, categories)})
+    return current.withColumnRenamed("_key", "id")
