@@ -119,10 +119,11 @@ def log_likelihood_ratio(joint: Column, a: Column, b: Column, n: Column) -> Colu
     return F.greatest(F.lit(0.0), 2 * (cells - margins + _xlogx(d(n))))
 
 
-def cooccurrence(records: DataFrame, key: str, items: str, min_joint: int = 5, min_lift: Fraction | int | None = None) -> DataFrame:
+def cooccurrence(records: DataFrame, key: str, items: str, min_joint: int = 5, min_lift: Fraction | int | None = None, min_llr: float | None = None) -> DataFrame:
     """(item_a, item_b, joint, count_a, count_b, records, lift, llr) with item_a < item_b, for pairs on at least min_joint records.
 
-    With min_lift, only pairs with joint * records >= min_lift * count_a * count_b.
+    With min_lift, only pairs with joint * records >= min_lift * count_a * count_b;
+    with min_llr, only pairs whose log-likelihood ratio is that high.
 
     Defined cases: an item counts once per record; null items and null or empty
     lists count for nothing, but their records count in `records`; repeated rows
@@ -150,6 +151,8 @@ def cooccurrence(records: DataFrame, key: str, items: str, min_joint: int = 5, m
     swap = F.col("name_x") > F.col("name_y")
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     n = F.lit(total).cast("bigint")
+    if min_llr is not None:
+        named = named.where(log_likelihood_ratio(F.col("joint"), F.col("count_x"), F.col("count_y"), n) >= min_llr)
     return named.select(
         pick("name_x", "name_y").alias("item_a"),
         pick("name_y", "name_x").alias("item_b"),

@@ -18,6 +18,7 @@ of a group's partial sketches, however large the group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 SIZE, FAN = 1024, 8
 #: Values a task holds in sketches before it hands them on and starts anew.
 HELD_VALUES = 4_000_000
-#: Shares of the tasks in the first merge step.
+#: Least shares of the tasks in the first merge step; with more tasks than its square, their root.
 SHARES = 16
 
 FIELDS = "column_name string, part int, n bigint, missing bigint, lowest double, highest double, rank_error bigint, collapses bigint, levels array<int>, data array<double>"
@@ -225,7 +226,8 @@ def _merge_sorted(df: DataFrame, keys: Sequence[str], size: int, fan: int, by_sh
 def merge(sketches: DataFrame, keys: Sequence[str], size: int = SIZE, fan: int = FAN) -> DataFrame:
     """One sketch per combination of keys and column, merged along a two-level tree."""
     columns = [*keys, *[f.split()[0] for f in FIELDS.split(", ")]]
-    shared = sketches.select(*columns).withColumn("part", F.pmod("part", F.lit(SHARES)).cast("int"))
+    shares = max(SHARES, math.isqrt(sketches.rdd.getNumPartitions()))
+    shared = sketches.select(*columns).withColumn("part", F.pmod("part", F.lit(shares)).cast("int"))
     group = [*keys, "column_name"]
     steady = ["n", "rank_error", "lowest", "highest"]
     first = shared.repartition(*group, "part").sortWithinPartitions(*group, "part", *steady)

@@ -38,12 +38,40 @@ def p3_unions(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(numbered, keys), keys, PERCENTS)
 
 
+#: A sketch small enough to collapse at every size: buffers of 4 values, 3 at a time.
+SMALL = {"size": 4, "fan": 3}
+
+
+def p3_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles from very small sketches held against the data: whether each value's true ranks come within the stated error."""
+    keys, names = ["corpus_id", "snapshot_date"], ("corpus_id", "snapshot_date", "column_name")
+    snapshots = table(spark, sf, "game_snapshots")
+    sketches = quantiles.merge(quantiles.build(snapshots, keys, MEASURES, **SMALL), keys, **SMALL)
+    found = materialize(quantiles.percentiles(sketches, keys, PERCENTS, **SMALL).where("n > 0"), "small-percentiles")
+    wide = found.groupBy(*[F.col(c).alias(f"_{c}") for c in names]).agg(F.array_sort(F.collect_list(F.struct("percent", "value"))).alias("_v"))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    long = snapshots.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("x")) for c in MEASURES]))).where("x is not null")
+    at = lambda i: F.get("_v", F.lit(i))["value"]
+    counts = long.join(wide, same).groupBy(*names).agg(*[F.count_if(F.col("x") < at(i)).alias(f"b{i}") for i in range(len(PERCENTS))], *[F.count_if(F.col("x") <= at(i)).alias(f"u{i}") for i in range(len(PERCENTS))])
+    ranks = counts.select(*[F.col(c).alias(f"_{c}") for c in names], F.inline(F.array(*[F.struct(F.lit(p).alias("_p"), F.col(f"b{i}").alias("below"), F.col(f"u{i}").alias("upto")) for i, p in enumerate(PERCENTS)])))
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("n") / F.lit(100.0)))
+    within = (F.col("below") + 1 - F.col("rank_error") <= wanted) & (wanted <= F.col("upto") + F.col("rank_error"))
+    return found.join(ranks, same & (F.col("percent") == F.col("_p"))).select(*names, "percent", "n", (F.col("rank_error") > 0).alias("collapsed"), within.alias("within"))
+
+
 def _label_sets(spark: SparkSession, sf: str) -> DataFrame:
     return labels.game_labels(table(spark, sf, "games")).select("id", F.array_distinct("written").alias("items"))
 
 
+#: The 5 % point of the log-likelihood ratio (chi squared, one degree of freedom). Five games and three times the chance rate give 4.3 at the least.
+SIGNIFICANT = 3.841
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return cooccurrence.cooccurrence(_label_sets(spark, sf), "id", "items", min_joint=5, min_lift=3).select("item_a", "item_b")
+    return cooccurrence.cooccurrence(_label_sets(spark, sf), "id", "items", min_joint=5, min_lift=3, min_llr=SIGNIFICANT).select("item_a", "item_b")
 
 
 def p5_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,38 +89,29 @@ def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
     return similar_sets.similarity_classes(_label_sets(spark, sf), "id", "items", Fraction(4, 5), min_items=5).withColumnRenamed("record_key", "id")
 
 
-def _label_frequency(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    current = materialize(labels.game_labels(table(spark, sf, "games")).select(F.array("written").alias("sequences")), "written-labels")
+def _label_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label, read off the suffix array as a complete sequence of its kind and its name's words."""
+    current = labels.game_labels(table(spark, sf, "games"))
     games = current.count()
-    counts = term_frequency.term_frequencies(current, "sequences", 1)
-    term = F.element_at("gram", 1)
+    after = lambda w: F.substr(w, F.instr(w, ":") + 1)
+    terms = F.transform("written", lambda w: F.concat(F.array(F.substring_index(w, ":", 1)), F.split(after(w), " ")))
+    counts = term_frequency.run_frequencies(current.select(terms.alias("sequences")), "sequences", complete=True)
     verdict = F.when(F.col("records") < 5, "rare").when(F.col("records") * 10 > games, "common")
-    named = counts.select(F.substring_index(term, ":", 1).alias("item_kind"), F.expr("substr(gram[0], instr(gram[0], ':') + 1)").alias("label_name"), "occurrences", F.col("records").alias("games"), verdict.alias("verdict"))
-    return named, games
+    return counts.select(F.get("gram", F.lit(0)).alias("item_kind"), F.array_join(F.slice("gram", F.lit(2), F.size("gram")), " ").alias("label_name"), "occurrences", F.col("records").alias("games"), verdict.alias("verdict"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    named, _ = _label_frequency(spark, sf)
-    return named.where(F.col("verdict").isNotNull()).select("item_kind", "label_name", "verdict")
+    return _label_frequency(spark, sf).where(F.col("verdict").isNotNull()).select("item_kind", "label_name", "verdict")
 
 
 def p7_label_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    named, _ = _label_frequency(spark, sf)
-    return named.select("item_kind", "label_name", "occurrences", "games", F.coalesce("verdict", F.lit("useful")).alias("verdict"))
-
-
-def _label_words(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.game_labels(table(spark, sf, "games")).select(F.transform("written", lambda x: F.split(F.regexp_replace(x, "^[a-z]+:", ""), " ")).alias("sequences"))
-
-
-def p7_word_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of up to three words inside label names: times written and games."""
-    return term_frequency.term_frequencies(_label_words(spark, sf), "sequences", 3).select("n", F.array_join("gram", " ").alias("words"), "occurrences", F.col("records").alias("games"))
+    return _label_frequency(spark, sf).select("item_kind", "label_name", "occurrences", "games", F.coalesce("verdict", F.lit("useful")).alias("verdict"))
 
 
 def p7_word_runs_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of any number of words inside label names: times written and games."""
-    return term_frequency.run_frequencies(_label_words(spark, sf), "sequences").select("n", F.array_join("gram", " ").alias("words"), "occurrences", F.col("records").alias("games"))
+    words = labels.game_labels(table(spark, sf, "games")).select(F.transform("written", lambda x: F.split(F.regexp_replace(x, "^[a-z]+:", ""), " ")).alias("sequences"))
+    return term_frequency.run_frequencies(words, "sequences").select("n", F.array_join("gram", " ").alias("words"), "occurrences", F.col("records").alias("games"))
 
 
 _LABELS = """
@@ -192,13 +211,13 @@ FROM ranked, (SELECT unnest([1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 6
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_unions": p3_unions,
+    "p3_bounded": p3_bounded,
     "p5_found": p5_found,
     "p5_cooccurrence": p5_cooccurrence,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p7_label_frequency": p7_label_frequency,
-    "p7_word_runs": p7_word_runs,
     "p7_word_runs_whole": p7_word_runs_whole,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
@@ -217,6 +236,13 @@ SQL = {
         % """SELECT 'corpus' AS union_of, corpus_id, CAST(NULL AS DATE) AS snapshot_date, column_name, v FROM long
         UNION ALL SELECT 'date', NULL, snapshot_date, column_name, v FROM long UNION ALL SELECT 'all', NULL, NULL, column_name, v FROM long"""
     ).replace("KEYS", "union_of, corpus_id, snapshot_date"),
+    "p3_bounded": """WITH long AS (
+      SELECT corpus_id, snapshot_date, 'complexity' AS column_name, complexity AS v FROM game_snapshots
+      UNION ALL SELECT corpus_id, snapshot_date, 'max_play_time_minutes', CAST(max_play_time_minutes AS DOUBLE) FROM game_snapshots
+      UNION ALL SELECT corpus_id, snapshot_date, 'rating', rating FROM game_snapshots),
+    sizes AS (SELECT corpus_id, snapshot_date, column_name, count(*) AS n FROM long WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL)
+    SELECT corpus_id, snapshot_date, column_name, CAST(percent AS INTEGER) AS percent, n, n >= 12 AS collapsed, true AS within
+    FROM sizes, (SELECT unnest([1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 99]) AS percent)""",
     "p5_found": _PAIRS + "SELECT item_a, item_b FROM measured WHERE joint * records >= 3 * count_a * count_b",
     "p5_cooccurrence": _PAIRS
     + """SELECT item_a, item_b, joint, count_a, count_b, records,
@@ -238,14 +264,13 @@ SQL = {
     + """, counts AS (SELECT kind, name, count(*) AS occurrences, count(DISTINCT id) AS n FROM written WHERE name IS NOT NULL GROUP BY 1, 2)
     SELECT kind AS item_kind, name AS label_name, occurrences, n AS games, CASE WHEN n < 5 THEN 'rare' WHEN n * 10 > games THEN 'common' ELSE 'useful' END AS verdict
     FROM counts, total""",
-    "p7_word_runs": _LABELS
+    "p7_word_runs_whole": _LABELS
     + """, split AS (SELECT id, string_split(name, ' ') AS w FROM written WHERE name IS NOT NULL),
     runs AS (
-      SELECT id, n, array_to_string(w[i:i + n - 1], ' ') AS words FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM split), (SELECT unnest([1, 2, 3]) AS n)
+      SELECT id, n, array_to_string(w[i:i + n - 1], ' ') AS words FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM split), (SELECT unnest(range(1, (SELECT max(len(w)) FROM split) + 1)) AS n)
       WHERE i + n - 1 <= len(w))
     SELECT CAST(n AS INTEGER) AS n, words, count(*) AS occurrences, count(DISTINCT id) AS games FROM runs GROUP BY 1, 2""",
 }
-SQL["p7_word_runs_whole"] = SQL["p7_word_runs"].replace("(SELECT unnest([1, 2, 3]) AS n)", "(SELECT unnest(range(1, (SELECT max(len(w)) FROM split) + 1)) AS n)")
 
 
 def _inline_xlogx(sql: str) -> str:

@@ -1,19 +1,21 @@
-"""Frequencies of terms and of runs of terms, by suffix arrays.
-
-Every record gives the suffixes of its term sequences, cut to max_n terms. The
-suffixes of a task are sorted; neighbours with a common prefix of n terms form
-the interval of that n-gram, whose length is its occurrences. For the number of
-records, each suffix carries the length of the prefix it shares with its
-predecessor in the record's own small suffix array: the suffixes of an interval
-for which this is n or more are repeats within a record and are subtracted.
-Tasks' intervals are summed per n-gram, so that what crosses the network is
+"""Frequencies of terms and of runs of terms of any length, by suffix arrays with common-prefix intervals.
+
+A task gathers blocks of records and sorts all suffixes of their term sequences
+by prefix doubling. Neighbours in that order with a common prefix of n terms or
+more form the interval of an n-gram, and its length is the n-gram's occurrences.
+For the number of records, suffixes are also put in order record by record; the
+prefix a suffix shares with the one before it in its own record makes it a
+repeat there for every n up to that length, and an interval's repeats are
+subtracted from its occurrences. Ranks, common prefixes and intervals are whole
+array operations; no term is compared as text.
+
+Blocks' intervals are summed per n-gram, so that what crosses the network is
 already aggregated, however frequent a term.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,158 +23,142 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes sent back at a time.
-BATCH_SUFFIXES = 100_000
+#: Terms whose suffixes are sorted together, and terms of n-grams sent back at a time.
+BLOCK_TERMS, BATCH_TERMS = 1_000_000, 1_000_000
+#: Numbers of the marks that open and close a sequence; terms follow.
+OPEN, CLOSE = 1, 2
+
+_GRAMS = pa.schema([("gram", pa.list_(pa.string())), ("occurrences", pa.int64()), ("records", pa.int64())])
+
+
+class SuffixArray:
+    """Suffixes of numbered terms in order; sequence numbers ascend, and a suffix ends with its sequence."""
+
+    def __init__(self, terms: np.ndarray, sequence: np.ndarray) -> None:
+        n = len(terms)
+        self.end = np.searchsorted(sequence, sequence, side="right")
+        self.rest = self.end - np.arange(n)
+        self.ranks = [terms.astype(np.int64)]
+        width, longest = 1, int(self.rest.max(initial=0))
+        while width < longest and len(np.unique(self.ranks[-1])) < n:
+            following = np.zeros(n, np.int64)
+            at = np.flatnonzero(self.rest > width)
+            following[at] = self.ranks[-1][at + width]
+            both = self.ranks[-1] * (int(self.ranks[-1].max()) + 1) + following
+            self.ranks.append(np.unique(both, return_inverse=True)[1].astype(np.int64) + 1)
+            width *= 2
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many first terms the suffixes at a and at b share."""
+        a, b, shared = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        most = np.minimum(self.rest[a], self.rest[b])
+        end_a, end_b = self.end[a], self.end[b]
+        for level in range(len(self.ranks) - 1, -1, -1):
+            open_ = np.flatnonzero((a < end_a) & (b < end_b))
+            same = open_[self.ranks[level][a[open_]] == self.ranks[level][b[open_]]]
+            shared[same] += 1 << level
+            a[same] += 1 << level
+            b[same] += 1 << level
+        return np.minimum(shared, most)
+
+
+def _within_records(suffixes: SuffixArray, record: np.ndarray) -> np.ndarray:
+    """Per place in the order: the prefix shared with the suffix before it of the same record."""
+    own = record[suffixes.order]
+    by = np.argsort(own, kind="stable")
+    repeat = np.zeros(len(own), np.int64)
+    follows = np.flatnonzero(own[by[1:]] == own[by[:-1]])
+    repeat[by[follows + 1]] = suffixes.common(suffixes.order[by[follows]], suffixes.order[by[follows + 1]])
+    return repeat
+
+
+def block_intervals(terms: np.ndarray, sequence: np.ndarray, record: np.ndarray, complete: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, place of a first term, occurrences, records) of the n-grams of each length; of complete sequences only, if so asked."""
+    if not len(terms):
+        return
+    s = SuffixArray(terms, sequence)
+    shared = np.r_[0, s.common(s.order[:-1], s.order[1:])]
+    repeat = _within_records(s, record)
+    rest = s.rest[s.order]
+    opens = np.r_[True, sequence[1:] != sequence[:-1]][s.order]
+    at = np.arange(len(terms))
+    for n in range(1, int(rest.max()) + 1):
+        at = at[rest[at] >= n]
+        first = np.flatnonzero(shared[at] < n)  # a suffix too short for n never stands between two that share n terms
+        occurrences = np.diff(np.r_[first, len(at)])
+        repeats = np.add.reduceat((repeat[at] >= n).astype(np.int64), first)
+        if complete:
+            whole = np.flatnonzero(opens[at[first]] & (rest[at[first]] == n))
+            first, occurrences, repeats = first[whole], occurrences[whole], repeats[whole]
+        yield n, s.order[at[first]], occurrences, occurrences - repeats
+
+
+def _numbered(block: list[tuple[pa.Array, np.ndarray, np.ndarray]], complete: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Term numbers, sequence and record of each term of a block, sequences between marks if complete; and the terms' texts."""
+    coded = pa.concat_arrays([b[0] for b in block]).dictionary_encode()
+    terms = coded.indices.to_numpy().astype(np.int64) + CLOSE + 1
+    sequence, record = np.concatenate([b[1] for b in block]), np.concatenate([b[2] for b in block])
+    if complete and len(terms):
+        first = np.flatnonzero(np.r_[True, sequence[1:] != sequence[:-1]])
+        last = np.r_[first[1:], len(terms)]
+        where = np.r_[first, last]
+        marks = np.r_[np.full(len(first), OPEN), np.full(len(first), CLOSE)]
+        of = np.r_[first, last - 1]
+        terms, sequence, record = np.insert(terms, where, marks), np.insert(sequence, where, sequence[of]), np.insert(record, where, record[of])
+        order = np.argsort(sequence, kind="stable")  # a closing mark and the next opening one are put at the same place
+        terms, sequence, record = terms[order], sequence[order], record[order]
+    return terms, sequence, record, coded.dictionary
+
+
+def _count(complete: bool):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        held = sequences = records = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            terms, sequence, record, texts = _numbered(block, complete)
+            for n, first, occurrences, standing in block_intervals(terms, sequence, record, complete):
+                inner = (1, n - 1) if complete else (0, n)
+                width = inner[1] - inner[0]
+                for a in range(0, len(first), step := max(1, BATCH_TERMS // max(1, width))):
+                    here = first[a : a + step]
+                    places = (here[:, None] + np.arange(*inner)[None, :]).ravel()
+                    words = texts.take(pa.array(terms[places] - CLOSE - 1))
+                    grams = pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * width), words)
+                    yield pa.RecordBatch.from_arrays([grams, pa.array(occurrences[a : a + step]), pa.array(standing[a : a + step])], schema=_GRAMS)
+            block.clear()
 
-
-def _suffixes(max_n: int):
-    schema = pa.schema([*[(f"t{k}", pa.string()) for k in range(1, max_n + 1)], ("repeat", pa.int32())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in range(max_n + 1)]
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            for c in columns:
-                c.clear()
-            return batch
-
-        for batch in batches:
-            for record in batch.column(0).to_pylist():
-                own = []
-                for sequence in record or ():
-                    terms = [t for t in sequence or () if t is not None]
-                    own += [tuple(terms[i : i + max_n]) for i in range(len(terms))]
-                own.sort()
-                before: tuple = ()
-                for suffix in own:
-                    shared = 0
-                    for x, y in zip(before, suffix, strict=False):
-                        if x != y:
-                            break
-                        shared += 1
-                    before = suffix
-                    for k in range(max_n):
-                        columns[k].append(suffix[k] if k < len(suffix) else None)
-                    columns[max_n].append(shared)
-                if len(columns[0]) >= BATCH_SUFFIXES:
-                    yield flush()
-        if columns[0]:
-            yield flush()
-
-    return cut
-
-
-def _intervals(max_n: int):
-    schema = pa.schema([("n", pa.int32()), *[(f"t{k}", pa.string()) for k in range(1, max_n + 1)], ("occurrences", pa.int64()), ("records", pa.int64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(1, max_n + 1):
-                rows = batch.filter(pc.is_valid(batch.column(n - 1)))
-                size = rows.num_rows
-                if not size:
-                    continue
-                common = np.ones(size - 1, bool)
-                for k in range(n):
-                    column = rows.column(k)
-                    common &= pc.equal(column.slice(1), column.slice(0, size - 1)).to_numpy(zero_copy_only=False).astype(bool)
-                first = np.flatnonzero(np.r_[True, ~common])
-                occurrences = np.diff(np.r_[first, size])
-                repeats = np.add.reduceat((rows.column(max_n).to_numpy() >= n).astype(np.int64), first)
-                grams = [rows.column(k).take(pa.array(first)) if k < n else pa.nulls(len(first), pa.string()) for k in range(max_n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), *grams, pa.array(occurrences), pa.array(occurrences - repeats)], schema=schema)
-
-    return scan
-
-
-def term_frequencies(records: DataFrame, sequences: str, max_n: int = 1) -> DataFrame:
-    """(n, gram ARRAY<STRING>, occurrences, records) of all runs of up to max_n terms; sequences: ARRAY<ARRAY<STRING>> per record.
-
-    Runs stay within one sequence. Defined cases: null terms are skipped, null
-    or empty sequences give nothing, each row is one record, an empty table
-    gives no row, other columns are not read.
-    """
-    names = [f"t{k}" for k in range(1, max_n + 1)]
-    typed = ", ".join(f"{t} string" for t in names)
-    suffixes = records.select(F.col(sequences)).mapInArrow(_suffixes(max_n), f"{typed}, repeat int")
-    partial = suffixes.sortWithinPartitions(*names).mapInArrow(_intervals(max_n), f"n int, {typed}, occurrences bigint, records bigint")
-    summed = partial.groupBy("n", *names).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    return summed.select("n", F.array_compact(F.array(*names)).alias("gram"), "occurrences", "records")
-
-
-def _common(a: list | tuple, b: list | tuple) -> int:
-    """How many first terms two sequences share."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _whole_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("suffix", pa.list_(pa.string())), ("repeat", pa.int32())])
-    rows: list[tuple] = []
-    cells = 0
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    for batch in batches:
-        for record in batch.column(0).to_pylist():
-            own = []
-            for sequence in record or ():
-                terms = tuple(t for t in sequence or () if t is not None)
-                own += [terms[i:] for i in range(len(terms))]
-            own.sort()
-            for before, suffix in zip([(), *own], own, strict=False):
-                rows.append((suffix, _common(before, suffix)))
-                cells += len(suffix)
-                if cells >= BATCH_SUFFIXES:
-                    yield flush()
-                    rows, cells = [], 0
-    if rows:
-        yield flush()
-
-
-def _whole_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("gram", pa.list_(pa.string())), ("occurrences", pa.int64()), ("records", pa.int64())])
-    rows: list[tuple] = []
-    cells = 0
-    before: list = []
-    opened: list[list[int]] = []  # per prefix length of the last suffix: occurrences and repeats
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    pairs = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    for suffix, repeat in chain(pairs, [([], 0)]):  # the last, empty one closes what is open
-        shared = _common(before, suffix)
-        while len(opened) > shared:
-            gram = before[: len(opened)]
-            occurrences, repeats = opened.pop()
-            rows.append((gram, occurrences, occurrences - repeats))
-            cells += len(gram)
-            if cells >= BATCH_SUFFIXES:
-                yield flush()
-                rows, cells = [], 0
-        opened += [[0, 0] for _ in range(len(suffix) - shared)]
-        for n, counts in enumerate(opened, 1):
-            counts[0] += 1
-            counts[1] += repeat >= n
-        before = suffix
-    if rows:
-        yield flush()
-
-
-def run_frequencies(records: DataFrame, sequences: str) -> DataFrame:
-    """(n, gram ARRAY<STRING>, occurrences, records) of all runs of terms, however long; cases as in term_frequencies.
-
-    Suffixes run to the end of their sequence, so a sequence of m terms gives
-    up to m(m+1)/2 runs.
+            outer = batch.column(0)
+            inner = outer.flatten()
+            length = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+            per_record, per_sequence = length(outer), length(inner)
+            words = inner.flatten()
+            kept = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+            of = np.repeat(np.arange(len(inner)), per_sequence)[kept]
+            owner = np.repeat(np.arange(len(outer)), per_record)
+            block.append((words.take(pa.array(kept)), of + sequences, owner[of] + records))
+            held, sequences, records = held + len(kept), sequences + len(inner), records + len(outer)
+            if held >= BLOCK_TERMS:
+                yield from emit()
+                held = 0
+        if block:
+            yield from emit()
+
+    return count
+
+
+def run_frequencies(records: DataFrame, sequences: str, complete: bool = False) -> DataFrame:
+    """(n, gram ARRAY<STRING>, occurrences, records) of all runs of terms, however long; sequences: ARRAY<ARRAY<STRING>> per record.
+
+    Runs stay within one sequence; a sequence of m terms gives up to m(m+1)/2.
+    With complete, the runs that make up a sequence from its first term to its
+    last are kept, and counted where they do so.
+
+    Defined cases: null terms are skipped, null or empty sequences give nothing,
+    each row is one record, an empty table gives no row, other columns are not read.
     """
-    suffixes = records.select(F.col(sequences)).mapInArrow(_whole_suffixes, "suffix array<string>, repeat int")
-    partial = suffixes.sortWithinPartitions("suffix").mapInArrow(_whole_intervals, "gram array<string>, occurrences bigint, records bigint")
+    partial = records.select(F.col(sequences)).mapInArrow(_count(complete), "gram array<string>, occurrences bigint, records bigint")
     summed = partial.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     return summed.select(F.size("gram").alias("n"), "gram", "occurrences", "records")

@@ -56,7 +56,7 @@ def test_empty_tables(spark):
     assert cooccurrence.cooccurrence(empty, "id", "items").count() == 0
     assert similar_sets.similar_pairs(empty, "id", "items").count() == 0
     assert similar_sets.similarity_classes(empty, "id", "items").count() == 0
-    assert term_frequency.term_frequencies(empty.select(F.array("items").alias("s")), "s", 2).count() == 0
+    assert term_frequency.run_frequencies(empty.select(F.array("items").alias("s")), "s", True).count() == 0
 
 
 def jaccard_pairs(sets, t, least):
@@ -73,6 +73,17 @@ def test_similar_pairs_match_brute_force_at_every_level(spark, hot, least, t):
     assert {(r.id_a, r.id_b) for r in got} == jaccard_pairs(sets, t, least)
 
 
+def test_groups_are_compared_in_small_batches_too(spark, monkeypatch):
+    sets = random_sets(250, 9, vocabulary=15)
+    monkeypatch.setattr(similar_sets, "BLOCK_PAIRS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = similar_sets.similar_pairs(frame(spark, sets), "id", "items", Fraction(4, 5), 5, hot=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.id_a, r.id_b) for r in got} == jaccard_pairs(sets, Fraction(4, 5), 5)
+
+
 def test_classes_count_every_link_without_listing_copies(spark):
     copies = [(f"c{i:03}", ["a", "b", "c", "d", "e"]) for i in range(200)] + [("x", ["a", "b", "c", "d", "e", "f"]), ("y", ["q", "r", "s", "t", "u"]), ("y", ["q", "r", "s", "t", "u"])]
     got = {r.record_key: (r.class_key, r.class_size, r.links) for r in similar_sets.similarity_classes(frame(spark, copies), "id", "items").collect()}
@@ -83,20 +94,21 @@ def test_term_frequencies_match_brute_force(spark):
     rng = random.Random(4)
     records = [[[rng.choice("aab") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(3))] for _ in range(200)] + [None, [None, ["z", None, "z"]], [["w" * 50_000]]]
     df = spark.createDataFrame([(r, "clash") for r in records], "s array<array<string>>, t1 string")
-    got = {tuple(r.gram): (r.occurrences, r.records) for r in term_frequency.term_frequencies(df, "s", 3).collect()}
+    got = {tuple(r.gram): (r.occurrences, r.records) for r in term_frequency.run_frequencies(df, "s").collect()}
     times, holds = Counter(), Counter()
     for record in records:
         grams = []
         for s in record or ():
             s = [x for x in s or () if x is not None]
-            grams += [tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+            grams += [tuple(s[i : i + n]) for n in range(1, len(s) + 1) for i in range(len(s) - n + 1)]
         times.update(grams)
         holds.update(set(grams))
     assert got == {g: (times[g], holds[g]) for g in times}
 
 
 def test_runs_of_any_length_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(term_frequency, "BATCH_SUFFIXES", 50)
+    monkeypatch.setattr(term_frequency, "BLOCK_TERMS", 50)
+    monkeypatch.setattr(term_frequency, "BATCH_TERMS", 20)
     rng = random.Random(6)
     records = [[[rng.choice("aab") for _ in range(rng.randrange(9))] for _ in range(rng.randrange(3))] for _ in range(150)] + [None, [None, ["z", None, "z"]], [[f"w{i}" for i in range(30)]] * 2]
     df = spark.createDataFrame([(r,) for r in records], "s array<array<string>>").repartition(3)
@@ -112,6 +124,13 @@ def test_runs_of_any_length_match_brute_force(spark, monkeypatch):
     assert term_frequency.run_frequencies(df.limit(0), "s").count() == 0
 
 
+def test_complete_sequences_are_counted_apart_from_runs_inside_others(spark):
+    records = [[["a", "b"], ["a", "b"], ["a"]], [["a", "b", "c"], None, []], [["b"], ["a", "b"]], [["b", None]]]
+    df = spark.createDataFrame([(r,) for r in records], "s array<array<string>>").repartition(2)
+    got = {tuple(r.gram): (r.n, r.occurrences, r.records) for r in term_frequency.run_frequencies(df, "s", complete=True).collect()}
+    assert got == {("a", "b"): (2, 3, 2), ("a",): (1, 1, 1), ("a", "b", "c"): (3, 1, 1), ("b",): (1, 2, 2)}
+
+
 def test_words_of_long_label_names_are_counted_whole(spark, tmp_path):
     game = ("g1", "2024-01-01 00:00:00", [("1", "Hidden Roles At The Table")], ["Card"])
     schema = "id string, loaded_at string, mechanics array<struct<id: string, name: string>>, categories array<string>"
