@@ -52,9 +52,9 @@ changes AS (
 """
 
 LOAD_RULES = (
-    profile.ColumnRule("release_year", ("9", "-9"), 1800, 2030),
-    profile.ColumnRule("complexity", ("9", "-9", "9.9", "-9.9"), 1, 5),
-    profile.ColumnRule("min_play_time_minutes", ("9", "-9"), 1, 1440),
+    profile.ColumnRule("release_year", 1800, 2030),
+    profile.ColumnRule("complexity", 1, 5),
+    profile.ColumnRule("min_play_time_minutes", 1, 1440),
 )
 
 
@@ -64,7 +64,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_load_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The figures behind the issues, per load and column."""
-    counts = profile.value_counts(table(spark, sf, "game_loads"), "feed_id", "load_id", "row_seq", LOAD_RULES)
+    counts = profile.profiled_counts(table(spark, sf, "game_loads"), "feed_id", "load_id", "row_seq", LOAD_RULES)
     columns = ["feed_id", "load_id", "column_name", "rows", "missing", "malformed", "numbers", "distinct_numbers", "outside", "lowest", "highest"]
     return profile.load_profile(counts, LOAD_RULES).select(*columns)
 
