@@ -3,13 +3,17 @@
 The slots 0, 1, 2, ... of the mix are given to sources by mapping golden-ratio
 points, in fixed-point arithmetic, through the cumulative weights, so every
 prefix of the mix is close to the targets. Each source's documents are shuffled
-by hash and laid end to end into blocks of equal tokens; the r-th slot of a
-source takes its block r, starting over with the first after the last. The mix
-is as long as the scarcest source allows within its repeats.
+by hash and laid end to end; the r-th slot of a source takes the r-th block of
+`block_tokens` tokens of that stream, which starts over with the first document
+after the last. Blocks are equal: a document that crosses the end of one goes on
+in the next, and a stream that starts over does so inside a block. The mix is as
+long as the scarcest source allows within its repeats.
 
 Sums along a source are taken in two levels, over hash buckets and inside each
 bucket, and slots are ranked per source in two levels too, so that no source is
-handled by one task. Slots meet blocks by an equi-join on keys of equal weight.
+handled by one task. Slots find their source by a join on cells of the points,
+and their block's pieces by a join on source and rank, keys of equal weight.
+Figures per source stay in tables; the driver sees two sums.
 """
 
 from __future__ import annotations
@@ -20,102 +24,113 @@ from pyspark.sql import functions as F
 from structlens.session import shuffle_width
 from structlens.storage import materialize
 
-#: 2**31 divided by the golden ratio, made odd: i * GOLDEN mod 2**31 visits every point once.
-GOLDEN, POINTS = 1_327_217_885, 1 << 31
-#: Slots ranked together; at most this many slots in all, blocks growing beyond.
-SLOT_RUN, MOST_SLOTS = 1 << 14, 1 << 24
-#: Most sources a mix may have: their totals and weights are held by the driver.
-MOST_SOURCES = 10_000
+#: Points of the schedule: slot i has point i * GOLDEN mod POINTS, GOLDEN being POINTS over the golden ratio, made odd, so that every point comes once.
+POINTS = 1 << 42
+GOLDEN = int(POINTS * (5**0.5 - 1) / 2) | 1
+#: Bits of a point that name its cell, slots ranked together, tokens of a block.
+CELL_BITS, SLOT_RUN, BLOCK_TOKENS = 12, 1 << 14, 256
 
 
 def source_key(column: str) -> Column:
     return F.lower(F.regexp_replace(F.col(column), r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))
 
 
-def plan_mix(totals: dict[str, int], targets: dict[str, tuple[float, int]], block_tokens: int) -> tuple[list[tuple[str, float, int, int, int, int]], int, int]:
-    """((source, share, point_from, point_to, blocks, repeats), ...), slots, tokens per block.
+def point_of(slot: Column) -> Column:
+    """slot * GOLDEN mod POINTS for slots below 2**60, in steps that stay within 64 bits."""
+    digit = lambda k: F.shiftright(slot, 20 * k).bitwiseAND(F.lit((1 << 20) - 1))
+    mod = lambda x, m: x.bitwiseAND(F.lit(m - 1))
+    parts = [F.shiftleft(mod(digit(k) * F.lit(GOLDEN), POINTS >> 20 * k), 20 * k) for k in range(3)]
+    return mod(parts[0] + parts[1] + parts[2], POINTS)
 
-    Shares of listed sources that have no tokens are spread over the others in
-    proportion. The total is the largest for which no source needs more than
-    repeats times its tokens.
-    """
-    present = sorted(s for s, (share, repeats) in targets.items() if share > 0 and repeats > 0 and totals.get(s, 0) > 0)
-    weight = sum(targets[s][0] for s in present)
-    if not present or weight <= 0:
-        return [], 0, block_tokens
-    shares = {s: targets[s][0] / weight for s in present}
-    longest = min(totals[s] * targets[s][1] / shares[s] for s in present)
-    block = max(block_tokens, -(-int(longest) // MOST_SLOTS))
-    edges, upto = [0], 0.0
-    for s in present:
-        upto += shares[s]
-        edges.append(round(upto * POINTS))
-    edges[-1] = POINTS
-    rows = [(s, shares[s], edges[i], edges[i + 1], -(-totals[s] // block), targets[s][1]) for i, s in enumerate(present)]
-    return rows, max(1, int(longest // block)), block
-
-
-def _blocks(documents: DataFrame, block: int, buckets: int) -> DataFrame:
-    """(source, block, order_key, doc, tokens) of shuffled documents laid end to end."""
-    mixed = documents.withColumn("order_key", F.xxhash64("doc", F.lit("mix"))).withColumn("bucket", F.shiftrightunsigned("order_key", 40) % buckets)
-    sums = mixed.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = mixed.withColumn("_end", F.sum("tokens").over(inside)).join(offsets, ["source", "bucket"])
-    start = F.col("offset") + F.col("_end") - F.col("tokens")
-    return laid.select("source", F.floor(start / F.lit(float(block))).cast("bigint").alias("block"), "order_key", "doc", "tokens")
 
+def planned_sources(totals: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, share, repeats, total, low, high) of the sources in the mix: shares sum to 1, points from low to below high are the source's.
 
-def _slots(documents: DataFrame, rows: list, slots: int) -> DataFrame:
-    """(slot, source, block, use): the schedule, each slot with its source's block and the how-manieth use of it."""
-    spark = documents.sparkSession
-    point = (F.col("slot") * F.lit(GOLDEN)).bitwiseAND(F.lit(POINTS - 1))
-    source = F.coalesce(*[F.when((point >= low) & (point < high), F.lit(name)) for name, _, low, high, _, _ in rows])
+    Shares of listed sources without tokens are spread over the others in
+    proportion. There is one row per source; their cumulative shares are taken in one go.
+    """
+    goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").cast("bigint").alias("repeats"))
+    present = goals.join(totals, "source").where((F.col("share") > 0) & (F.col("repeats") > 0) & (F.col("total") > 0))
+    every, upto = Window.partitionBy(), Window.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = present.withColumn("share", F.col("share") / F.sum("share").over(every))
+    last = F.lead("source").over(Window.orderBy("source")).isNull()
+    high = F.when(last, F.lit(POINTS)).otherwise(F.round(F.sum("share").over(upto) * float(POINTS)).cast("bigint"))
+    edged = shares.withColumn("high", high)
+    return edged.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("source")), F.lit(0).cast("bigint"))).select("source", "share", "repeats", "total", "low", "high")
+
+
+def schedule(sources: DataFrame, slots: int, block: int) -> DataFrame:
+    """(slot, source, rank): the slots with their sources, ranked per source from 0; slots beyond a source's repeats are left out."""
+    spark = sources.sparkSession
+    shift = POINTS.bit_length() - 1 - CELL_BITS
     parts = max(1, min(slots // SLOT_RUN + 1, 4 * shuffle_width(spark)))
-    given = spark.range(0, slots, numPartitions=parts).select(F.col("id").alias("slot"), F.floor(F.col("id") / SLOT_RUN).cast("bigint").alias("run")).withColumn("source", source)
+    given = spark.range(0, slots, numPartitions=parts).select(F.col("id").alias("slot"), F.floor(F.col("id") / SLOT_RUN).cast("bigint").alias("run"), point_of(F.col("id")).alias("_point"))
+    cells = sources.select("source", "low", "high", "repeats", "total", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))).alias("cell"))
+    cells = cells.where(F.col("low") < F.col("high"))
+    given = given.withColumn("cell", F.shiftright("_point", shift)).join(cells, "cell").where((F.col("_point") >= F.col("low")) & (F.col("_point") < F.col("high")))
+    given = given.select("slot", "run", "source", (F.col("repeats") * F.col("total")).alias("_most"))
     counts = given.groupBy("source", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")).cast("bigint") - 1
-    ranked = given.withColumn("_r", rank).join(offsets, ["source", "run"]).select("slot", "source", (F.col("_r") + F.col("offset")).alias("rank"))
-    blocks = F.coalesce(*[F.when(F.col("source") == name, F.lit(n)) for name, _, _, _, n, _ in rows]).cast("bigint")
-    most = F.coalesce(*[F.when(F.col("source") == name, F.lit(repeats)) for name, _, _, _, _, repeats in rows])
-    use = F.floor(F.col("rank") / F.col("_blocks")).cast("bigint")
-    placed = ranked.withColumn("_blocks", blocks).withColumn("use", use + 1).withColumn("block", F.col("rank") % F.col("_blocks"))
-    return placed.where(F.col("use") <= most).select("slot", "source", "block", "use")
-
-
-def mix(counted: DataFrame, targets: DataFrame, block_tokens: int = 1024) -> DataFrame:
-    """(slot, source, doc, use, tokens) from counted (doc, source, tokens) and targets (source, share, repeats).
-
-    The slots, in order, are the mix; the documents of one slot are one block.
-    `use` counts a document's uses from 1 and never exceeds its source's repeats.
-    Sources are compared trimmed and in lower case.
-
-    Defined cases: documents of unlisted or null sources, and sources with share
-    or repeats 0, are not in the mix; documents without tokens ride along in
-    their block; listed sources without tokens yield their share to the others
-    (share_report tells); a source listed twice adds its shares and takes the
-    larger repeats; empty tables give no row; other columns are not read.
+    ranked = given.withColumn("_r", rank).join(offsets, ["source", "run"]).withColumn("rank", F.col("_r") + F.col("offset"))
+    return ranked.where(F.col("rank") * block < F.col("_most")).select("slot", "source", "rank")
+
+
+def pieces(documents: DataFrame, needed: DataFrame, block: int, buckets: int) -> DataFrame:
+    """(source, rank, doc, use, start, tokens): the parts of documents in the first blocks of every source's stream.
+
+    needed: (source, total, stop): tokens of one pass over the source, and tokens of its stream that are asked for.
+    """
+    mixed = documents.where(F.col("tokens") > 0).withColumn("order_key", F.xxhash64("doc", F.lit("mix"))).withColumn("bucket", F.shiftrightunsigned("order_key", 40) % buckets)
+    sums = mixed.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = offsets.join(needed, "source")
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = mixed.withColumn("_end", F.sum("tokens").over(inside)).join(offsets, ["source", "bucket"])
+    laid = laid.withColumn("_at", F.col("offset") + F.col("_end") - F.col("tokens")).where(F.col("_at") < F.col("stop"))
+    whole = lambda x: F.floor(x).cast("bigint")
+    uses = laid.withColumn("use", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("(stop - _at - 1) div total + 1"))))
+    placed = uses.withColumn("_from", F.col("_at") + (F.col("use") - 1) * F.col("total")).withColumn("_to", F.least(F.col("_from") + F.col("tokens"), F.col("stop")))
+    cut = placed.withColumn("rank", F.explode(F.sequence(F.expr(f"_from div {block}L"), F.expr(f"(_to - 1) div {block}L"))))
+    start = F.greatest(F.col("_from"), F.col("rank") * block)
+    stop = F.least(F.col("_to"), (F.col("rank") + 1) * block)
+    return cut.select("source", "rank", "doc", whole(F.col("use")).alias("use"), (start - F.col("_from")).alias("start"), (stop - start).alias("tokens"))
+
+
+def mix(counted: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(slot, source, doc, use, start, tokens) from counted (doc, source, tokens) and targets (source, share, repeats).
+
+    The slots, in order, are the mix; the rows of one slot are one block: tokens
+    `start` to `start + tokens` of each document. `use` counts a document's uses
+    from 1 and never exceeds its source's repeats. Sources are compared trimmed
+    and in lower case.
+
+    Defined cases: documents of unlisted or null sources, documents without
+    tokens, and sources with share or repeats 0, are not in the mix; listed
+    sources without tokens yield their share to the others (share_report tells);
+    a source listed twice adds its shares and takes the larger repeats; the last
+    block of a source whose repeats are used up may be shorter; empty tables give
+    no row; other columns are not read.
     """
-    goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
-    listed = {r["source"]: (float(r["share"] or 0), int(r["repeats"] or 0)) for r in goals.limit(MOST_SOURCES + 1).collect()}
-    if len(listed) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources in the targets")
-    wanted = counted.where(F.col("source").isin(*listed)) if listed else counted.limit(0)
-    totals = {r["source"]: r["n"] or 0 for r in wanted.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    rows, slots, block = plan_mix(totals, listed, block_tokens)
-    if not rows:
-        return counted.select(F.lit(0).cast("bigint").alias("slot"), "source", "doc", F.lit(0).cast("bigint").alias("use"), "tokens").limit(0)
-    wanted = wanted.where(F.col("source").isin(*[r[0] for r in rows]))
-    laid = _blocks(wanted, block, 4 * shuffle_width(counted.sparkSession))
-    return _slots(counted, rows, slots).join(laid, ["source", "block"]).select("slot", "source", "doc", "use", "tokens")
+    none = counted.select(F.lit(0).cast("bigint").alias("slot"), "source", "doc", F.lit(0).cast("bigint").alias("use"), F.lit(0).cast("bigint").alias("start"), "tokens").limit(0)
+    totals = counted.where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    sources = materialize(planned_sources(totals, targets), "mix-sources")
+    longest = sources.agg(F.min(F.col("total") * F.col("repeats") / F.col("share"))).first()[0]
+    if not longest:
+        return none
+    slots = max(1, int(longest // block_tokens))
+    given = materialize(schedule(sources, slots, block_tokens), "mix-slots")
+    asked = given.groupBy("source").agg((F.max("rank") + 1).alias("_slots"))
+    needed = sources.join(asked, "source").select("source", "total", F.least(F.col("_slots") * block_tokens, F.col("total") * F.col("repeats")).alias("stop"))
+    parts = pieces(counted.select("doc", "source", "tokens"), needed, block_tokens, 4 * shuffle_width(counted.sparkSession))
+    return given.join(parts, ["source", "rank"]).select("slot", "source", "doc", "use", "start", "tokens")
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, reached_share, tokens, documents, uses, most_uses) of every listed source."""
-    per_doc = mixed.groupBy("source", "doc").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses"))
+    per_doc = mixed.groupBy("source", "doc").agg(F.sum("tokens").alias("tokens"), F.max("use").alias("uses"))
     reached = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     goals = targets.groupBy("source").agg(F.sum("share").alias("target_share"))
     both = goals.join(reached, "source", "left").fillna(0, ["tokens", "documents", "uses", "most_uses"])

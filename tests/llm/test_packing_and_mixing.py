@@ -93,15 +93,22 @@ def test_shares_are_reached_within_the_repeats(spark):
     goals = [("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.1, 3), ("absent", 0.1, 5), ("off", 0.0, 5), (None, 0.1, 1)]
     mixed, targets = mix(spark, docs, goals, 256)
     rows = mixed.collect()
-    uses, got = Counter(r.doc for r in rows), Counter()
+    uses, got, slots, parts = defaultdict(set), Counter(), Counter(), defaultdict(list)
     for r in rows:
         got[r.source] += r.tokens
+        slots[r.slot, r.source] += r.tokens
+        uses[r.doc].add(r.use)
+        parts[r.doc, r.use].append((r.start, r.start + r.tokens))
     by_source = {d: s for d, s, _ in docs}
     limits = {"big": 1, "mid": 2, "tiny": 3}
-    assert all(uses[d] <= limits[by_source[d]] for d in uses)
+    assert all(max(uses[d]) <= limits[by_source[d]] for d in uses)
+    for (d, use), found in parts.items():  # no token twice in a use, and all of them but in a source's last use
+        found.sort()
+        assert found[0][0] >= 0 and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+        assert use == max(uses[d]) or (found[0][0], found[-1][1]) == (0, next(n for i, _, n in docs if i == d))
+    assert sorted(s for s, _ in slots) == list(range(len(slots))) and sum(n != 256 for n in slots.values()) <= 1
     total = sum(got.values())
-    assert set(got) == set(limits) and all(abs(got[s] / total - w / 0.9) < 0.02 for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.1)))
-    assert len({(r.doc, r.use) for r in rows}) == len(rows)
+    assert set(got) == set(limits) and all(abs(got[s] - total * w / 0.9) <= 2 * 256 for s, w in (("big", 0.5), ("mid", 0.3), ("tiny", 0.1)))
     totals = Counter()
     for _, s, n in docs:
         totals[s] += n
@@ -110,15 +117,23 @@ def test_shares_are_reached_within_the_repeats(spark):
     assert report["tiny"].tokens == got["tiny"] and report["absent"].reached_share == 0 and report["big"].most_uses == 1
 
 
-def test_every_prefix_of_the_schedule_is_near_the_targets():
-    totals, goals = {"a": 10**6, "b": 10**6, "c": 10**6}, {"a": (0.61, 1), "b": (0.27, 1), "c": (0.12, 1)}
-    rows, slots, _ = mixing.plan_mix(totals, goals, 100)
+def test_every_prefix_of_the_schedule_is_near_the_targets(spark):
+    goals = {"a": 0.61, "b": 0.27, "c": 0.12}
+    totals = spark.createDataFrame([(s, 10**6) for s in goals], "source string, total bigint")
+    sources = mixing.planned_sources(totals, spark.createDataFrame([(s, w, 1) for s, w in goals.items()], "source string, share double, repeats int"))
+    given = mixing.schedule(sources, 5000, 100).orderBy("slot").collect()
+    assert [r.slot for r in given] == list(range(5000))
     seen = Counter()
-    for i in range(slots):
-        point = (i * mixing.GOLDEN) & (mixing.POINTS - 1)
-        seen[next(r[0] for r in rows if r[2] <= point < r[3])] += 1
-        if i > 50:
-            assert all(abs(seen[s] - (i + 1) * w) < 6 for s, (w, _) in goals.items())
+    for i, r in enumerate(given):
+        assert r["rank"] == seen[r.source]
+        seen[r.source] += 1
+        assert i < 50 or all(abs(seen[s] - (i + 1) * w) < 6 for s, w in goals.items())
+
+
+def test_points_come_out_exact_for_any_slot(spark):
+    slots = [0, 1, 2, 2**20 - 1, 2**20, 2**41 + 12345, 2**59 + 7]
+    df = spark.createDataFrame([(i,) for i in slots], "slot bigint").select("slot", mixing.point_of(F.col("slot")).alias("p"))
+    assert {r.slot: r.p for r in df.collect()} == {i: i * mixing.GOLDEN % mixing.POINTS for i in slots}
 
 
 def test_token_counts_cover_whole_texts(spark):
