@@ -3,8 +3,8 @@
 Sizes are at most the capacity, so the histogram of sizes has at most `capacity`
 entries whatever the number of items, and the plan is made on it: which sizes go
 together, and how often. For each size from the largest down, the exact
-complement of its gap is looked up among single sizes, sums of pairs and sums of
-triples, and a combination is used as often as all its sizes are still available.
+complement of its gap is looked up in an index of single sizes, sums of pairs and
+sums of triples, and a combination is used as often as all its sizes are still available.
 What has no exact complement is filled best-fit: the largest available size that
 fits the gap, again and again.
 
@@ -38,53 +38,98 @@ class Plan:
     count: int
 
 
-def _exact(available: np.ndarray, presence: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """Up to three available sizes that sum to gap, each used within its availability."""
-    if available[gap]:
-        return (gap,)
-    half = gap // 2
-    low = np.arange(1, half + 1)
-    both = presence[1 : half + 1] & presence[gap - low]
-    if gap % 2 == 0 and half and available[half] < 2:
-        both[half - 1] = False
-    hit = np.flatnonzero(both)
-    if len(hit):
-        a = int(hit[0]) + 1
-        return gap - a, a
-    for c in np.flatnonzero(presence[1 : gap - 1])[::-1] + 1:
-        rest = gap - int(c)
-        if rest > 2 * c:  # c is the largest of the three
-            break
-        low = np.arange(max(1, rest - int(c)), rest // 2 + 1)
-        both = presence[low] & presence[rest - low]
-        for a in low[both]:
-            need = [int(c), int(a), rest - int(a)]
-            if all(available[s] >= need.count(s) for s in need):
-                return tuple(need)
-    return None
+class SumIndex:
+    """Which sums single, pair and triple sizes make, and sizes that make them.
+
+    Sets of sums are bit sets of `capacity` bits: whether a gap is the sum of
+    two or three sizes is one look-up, and the sizes are read off the overlap of
+    one set with the mirror image of another. Sizes are used up as the plan
+    grows, so an index lists sums that are no longer there; it is made anew when
+    such sums have cost too many tries.
+    """
+
+    #: Tries in vain before the sets of sums are made anew.
+    TRIES = 64
+
+    def __init__(self, available: list[int]) -> None:
+        self.available, self.capacity = available, len(available) - 1
+        self.single = sum(1 << s for s, n in enumerate(available) if s and n)
+        self.mirror = sum(1 << (self.capacity - s) for s, n in enumerate(available) if s and n)
+        self._sums()
+
+    def _sums(self) -> None:
+        inside = (1 << (self.capacity + 1)) - 1
+        self.pair = self.pair_mirror = self.triple = 0
+        sizes = [s for s, n in enumerate(self.available) if s and n]
+        for s in sizes:
+            self.pair |= self.single << s & inside
+            self.pair_mirror |= self.mirror >> s
+        for s in sizes:
+            self.triple |= self.pair << s & inside
+        self.vain, self.gone = 0, False
+
+    def drop(self, size: int) -> None:
+        self.single &= ~(1 << size)
+        self.mirror &= ~(1 << (self.capacity - size))
+        self.gone = True
+
+    def _left(self, size: int, taken: tuple[int, ...]) -> int:
+        return self.available[size] - taken.count(size)
+
+    def _two(self, gap: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        both = self.single & self.mirror >> (self.capacity - gap)
+        while both:
+            a = (both & -both).bit_length() - 1
+            if 2 * a > gap:
+                return None
+            if self._left(a, taken) and self._left(gap - a, (*taken, a)):
+                return gap - a, a
+            both &= both - 1
+        return None
+
+    def find(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Up to three sizes that sum to gap, each used within what is left of it beside those taken."""
+        if self.single >> gap & 1 and self._left(gap, taken):
+            return (gap,)
+        if self.pair >> gap & 1 and (two := self._two(gap, taken)):
+            return two
+        if not self.triple >> gap & 1:
+            return None
+        largest = self.single & self.pair_mirror >> (self.capacity - gap)
+        while largest:
+            c = largest.bit_length() - 1
+            if self._left(c, taken) and (two := self._two(gap - c, (*taken, c))):
+                return c, *two
+            largest ^= 1 << c
+            self.vain += 1
+            if self.vain > self.TRIES and self.gone:
+                self._sums()
+                largest &= self.pair_mirror >> (self.capacity - gap)
+        return None
 
 
 def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     """Plan for sizes 1..capacity with their counts; sizes 0 take no room and no part."""
-    available = np.zeros(capacity + 1, np.int64)
+    available = [0] * (capacity + 1)
     for size, n in histogram.items():
         if size > 0:
-            available[size] = n
-    presence = available > 0
-    used = np.zeros(capacity + 1, np.int64)
+            available[size] = int(n)
+    index = SumIndex(available)
+    used = [0] * (capacity + 1)
     intervals: list[tuple[int, int, int]] = []
     count = 0
 
     def consume(parts: tuple[int, ...]) -> None:
         nonlocal count
         distinct = set(parts)
-        times = min(int(available[s]) // parts.count(s) for s in distinct)
+        times = min(available[s] // parts.count(s) for s in distinct)
         for s in parts:
-            intervals.append((s, int(used[s]), count))
+            intervals.append((s, used[s], count))
             used[s] += times
             available[s] -= times
         for s in distinct:
-            presence[s] = available[s] > 0
+            if not available[s]:
+                index.drop(s)
         count += times
 
     for size in range(capacity, 0, -1):
@@ -93,15 +138,11 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             if not gap:
                 consume((size,))
                 continue
-            available[size] -= 1  # the item itself is not its own complement
-            presence[size] = available[size] > 0
-            rest = _exact(available, presence, gap)
-            available[size] += 1
-            presence[size] = True
+            rest = index.find(gap, (size,))
             if rest is None:
                 break
             consume((size, *rest))
-    largest = np.flatnonzero(presence)
+    largest = np.flatnonzero(np.array(available))
     while len(largest):
         parts = [int(largest[-1])]
         taken = {parts[0]: 1}
@@ -118,7 +159,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             taken[best] = taken.get(best, 0) + 1
             gap -= best
         consume(tuple(parts))
-        largest = np.flatnonzero(presence)
+        largest = largest[np.array([available[s] > 0 for s in largest], bool)] if any(not available[s] for s in parts) else largest
     intervals.sort()
     table = np.array(intervals, np.int64).reshape(-1, 3)
     return Plan(table[:, 0], table[:, 1], table[:, 2], count)
