@@ -37,5 +37,5 @@ def game_labels(games: DataFrame) -> DataFrame:
     """(id, written): every label of a game's current row as kind:name, as often as it is written."""
     mechanics = label_list(F.col("mechanics.name"), prefix="mechanic:")
     categories = label_list(F.col("categories"), prefix="category:")
-    current = newest(games.where(F.col("id").isNotNull()), F.col("id"), [F.col("loaded_at")], {"written": F.concat(mechanics, categories)})
-    return current.withColumnRenamed("_key", "id")
+    current = newest(games, F.col("id"), [F.col("loaded_at")], {"written": F.concat(mechanics, categories)})
+    return current.where(F.col("_key").isNotNull()).withColumnRenamed("_key", "id")
