@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structlens.llm import cooccurrence, mixing, packing, quantiles, similar_sets, term_frequency, tokens, toxicity
@@ -163,6 +163,15 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf), CAPACITY)
 
 
+def p8_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """One row that SQL can tell: every document is placed whole, none that fits is cut, no container holds too much."""
+    placed = materialize(_packed(spark, sf), "packed")
+    docs = placed.groupBy("item").agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens"), F.count_distinct("piece").alias("_d"), F.max("start").alias("_last"))
+    docs = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= CAPACITY)).alias("cut_though_fitting"), F.count_if((F.col("pieces") != F.col("_d")) | (F.col("_last") != (F.col("pieces") - 1) * CAPACITY)).alias("with_gaps"))
+    fills = placed.where("container is not null").groupBy("container").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > CAPACITY).alias("overfull_containers"), F.coalesce(F.count("*") * CAPACITY <= 1.01 * F.sum("n") + CAPACITY, F.lit(True)).alias("wastes_under_a_hundredth"))
+    return docs.crossJoin(fills)  # one row each
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     counted = tokens.token_counts(table(spark, sf, "documents"), {"doc": F.col("doc_id"), "source": mixing.source_key("source")}, "text", tokens.rank_file(spark))
     targets = table(spark, sf, "source_targets").select(mixing.source_key("source").alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
@@ -177,6 +186,16 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, sf))
 
 
+def p9_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per listed source what SQL can tell: no document beyond its repeats, and a share within two blocks of the target."""
+    mixed, targets = _mix(spark, sf)
+    mixed = materialize(mixed, "mixed")
+    report = mixing.share_report(mixed, targets).join(targets.select("source", "repeats"), "source")
+    here = F.sum("tokens").over(Window.partitionBy())  # a row per source
+    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy())).otherwise(0.0)
+    return report.select("source", "target_share", (F.col("most_uses") <= F.col("repeats")).alias("within_repeats"), (F.abs(F.col("tokens") - wanted * here) <= 2 * mixing.BLOCK_TOKENS).alias("within_two_blocks"))
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf, "documents"), {"doc_id": F.col("doc_id"), "source": mixing.source_key("source")}, "text")
 
@@ -195,6 +214,12 @@ def p10_source_rates(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf).groupBy("source").agg(F.count("*").alias("documents"), counts["score"].alias("flagged"), (counts["score"] / F.count("*")).alias("rate"), *[counts[c].alias(c) for c in toxicity.CATEGORIES])
 
 
+def p10_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source what SQL can tell: documents scored, and that a score is the greatest of its categories."""
+    highest = F.greatest(*toxicity.CATEGORIES)
+    return _scores(spark, sf).groupBy("source").agg(F.count("*").alias("documents"), F.count_if((F.col("score") != highest) | (F.col("score") < 0)).alias("inconsistent"))
+
+
 _PERCENTILES = """
 WITH long AS (
   SELECT corpus_id, snapshot_date, column_name, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM (
@@ -221,11 +246,14 @@ QUERIES = {
     "p7_word_runs_whole": p7_word_runs_whole,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_audit": p8_audit,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_audit": p9_audit,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_source_rates": p10_source_rates,
+    "p10_audit": p10_audit,
 }
 
 #: p3: exact percentiles, which the sketches give too (with a rank error of 0) up to 8,191 values a group, as at the size compared.
@@ -264,6 +292,9 @@ SQL = {
     + """, counts AS (SELECT kind, name, count(*) AS occurrences, count(DISTINCT id) AS n FROM written WHERE name IS NOT NULL GROUP BY 1, 2)
     SELECT kind AS item_kind, name AS label_name, occurrences, n AS games, CASE WHEN n < 5 THEN 'rare' WHEN n * 10 > games THEN 'common' ELSE 'useful' END AS verdict
     FROM counts, total""",
+    "p8_audit": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS cut_though_fitting, CAST(0 AS BIGINT) AS with_gaps, CAST(0 AS BIGINT) AS overfull_containers, true AS wastes_under_a_hundredth FROM documents",
+    "p9_audit": "SELECT lower(trim(source)) AS source, target_share, true AS within_repeats, true AS within_two_blocks FROM source_targets",
+    "p10_audit": r"SELECT lower(regexp_replace(source, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS source, count(*) AS documents, CAST(0 AS BIGINT) AS inconsistent FROM documents GROUP BY 1",
     "p7_word_runs_whole": _LABELS
     + """, split AS (SELECT id, string_split(name, ' ') AS w FROM written WHERE name IS NOT NULL),
     runs AS (

@@ -1,14 +1,17 @@
 """Scoring texts for abusive, hateful and sexually explicit clauses with a weighted finite-state grammar.
 
-Three transducers are composed. The first folds spelling: character escapes,
-markup, accents, look-alike letters, digits and signs for letters, letters set
-apart, drawn out, swapped or starred out become plain words. The second maps
-words and phrases to classes (insult, foul adjective, target, group, body part,
-...). The third is a set of weighted finite-state patterns over classes and
-words: insults with their target, threats, statements on groups, explicit
-phrases; and guards for own play, games, friendly teasing, negation and talk
-about moderation that take weight away from the clause they are in. A clause
-counts from a weight of 1 on; a text's score is its strongest clause's.
+Transducers are composed on the fly. The first folds spelling: character
+escapes, markup, accents, look-alike letters, digits and signs for letters,
+letters set apart, drawn out, swapped or starred out become plain words. The
+lexicon transducer maps words and phrases to weighted classes (strong and mild
+insults, foul adjectives, targets, groups, body parts, violence, ...). The clause
+transducers read classes: insult, threat, hate and sex patterns take their
+target (the reader, a user, a group, a body part) along their path and add up
+its weight; negation, own play, teasing, game pieces, titles and talk about
+moderation are read by further transducers whose weights are taken from the
+categories in their scope. A clause's weight per category is that of its best
+path less what is taken away, and it counts from 1 on; a text's score is its
+strongest clause's.
 
 Texts are read whole, in the task that holds them; nothing is shuffled.
 """
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from structlens.llm.toxicity_lexicon import CLASSES, COMMON, GUARDS, PATTERNS, PHRASES
+from structlens.llm.automata import Lexicon, Machine, Pattern
+from structlens.llm.toxicity_lexicon import CLASSES, COMMON, GUARDS, PATTERNS
 from structlens.storage import spread
 
 CATEGORIES = ("insult", "threat", "hate", "sexual")
@@ -34,7 +38,7 @@ THRESHOLD = 1.0
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f\x80-\x9f]")
 _MOJIBAKE = re.compile("[ÂÃ][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
+_TAG = re.compile(r"""</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[a-zA-Z_:][\w:.-]*(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))?)*\s*/?>""")
 _MARKS = re.compile("[\u0300-\u036f]")
 #: Look-alike letters, folded after lower-casing.
 _ALIKE = str.maketrans("аеорсухіѕјԁһкмнтвгοαειρτυκ", "aeopcyxisjdhkmhtbroaeiptuk")
@@ -48,19 +52,47 @@ _CLEAN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _RUN3 = re.compile(r"(.)\1{2,}")
 
 
-def _words() -> frozenset[str]:
-    """Every literal word of classes, phrases, patterns and guards."""
-    text = " ".join(CLASSES.values()).replace("-", " ") + " " + PHRASES.replace("|", " ")
-    for _, _, pattern in PATTERNS + GUARDS:
-        text += " " + re.sub(r"\{[A-Z]+\}|\\[a-zA-Z]|[^a-z ]", " ", pattern)
-    return frozenset(w for w in text.split() if len(w) > 1)
+LEXICON = Lexicon(CLASSES)
+MACHINE = Machine([Pattern((category,), text) for category, text in PATTERNS] + [Pattern(tuple(categories.split()), text, weight) for categories, weight, text in GUARDS])
+_COMMON = frozenset(COMMON.split())
+
+
+def _class_words(name: str) -> frozenset[str]:
+    """The words of a class, or a word itself; of a phrase one word, which no match can do without."""
+    if name not in CLASSES:
+        return frozenset((name,)) - {"END", "_"}
+    entries = [e.split(":")[0].split("-") for e in CLASSES[name][1].split()]
+    return frozenset(min(parts, key=lambda w: (w in _COMMON, -len(w))) for parts in entries)
+
+
+def _words_of(names: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(w for n in names for e in CLASSES[n][1].split() for w in e.split(":")[0].split("-") if len(w) > 1)
+
+
+#: Every word the grammar knows.
+WORDS = frozenset(w for w in LEXICON.vocabulary() | {x for x in MACHINE.labels() if x.islower() and x != "_"} if len(w) > 1)
+#: Words that carry a verdict; where a starred-out word fits several, these come first.
+TELLING = _words_of(("STRONG", "MILD", "WASTE", "PART", "LEWD", "ACT", "GROUP", "DEHUMAN", "NAMECALL", "FOUL", "HURT", "BODY")) - _COMMON
+#: Short words whose misspellings are looked for all the same.
+_CURSES = frozenset(w for w in _words_of(("DISMISS", "DEATH", "SHIT", "FUCK")) if len(w) == 4) - frozenset("your that mich fuck".split()) | {"fuck", "geil"}
+
 
+def _triggers() -> frozenset[str]:
+    """Words of which every match of a pattern holds one: of each pattern, those of its least common required element."""
+    out: set[str] = set()
+    for category, text in PATTERNS:
+        best: frozenset[str] | None = None
+        for labels, optional, _ in MACHINE._elements(text.removeprefix("^")):
+            if optional:
+                continue
+            words = frozenset(w for name, _ in labels for w in _class_words(name))
+            if words and (best is None or (len(words & _COMMON), len(words)) < (len(best & _COMMON), len(best))):
+                best = words
+        out |= best or set()
+    return frozenset(out)
 
-WORDS = _words()
-#: Words of classes that carry a verdict; where a starred-out word fits several, these come first.
-_TELLING = ("SLUR", "MILD", "SEXPART", "LEWD", "GROUP", "DEHUMAN", "FOUL", "HURT", "BODY")
-TELLING = frozenset(w for name in _TELLING for w in CLASSES[name].replace("-", " ").split()) - frozenset(COMMON.split())
-_CURSES = frozenset("shut fuck piss kill hell shit halt maul geil nazi".split())
+
+TRIGGERS = _triggers()
 #: Plain words that a swap of neighbouring letters must not be taken for.
 _PLAIN = frozenset("crate crates lasts late rase arts ares form from trial trail unite untie quite quiet sign sing dairy diary angle angel bale able trap part lair liar lied idle tried tired".split())
 
@@ -94,7 +126,6 @@ def _known(token: str) -> str | None:
     return SWAPS.get(token) or SWAPS.get(_RUN3.sub(r"\1", token))
 
 
-@lru_cache(maxsize=200_000)
 def unfold(chunk: str) -> tuple[str, ...]:
     """The plain words behind one blank-separated chunk of folded text."""
     core = chunk.strip("\"'()[]{}<>,;:.?¿¡…“”„‘’«»`~")
@@ -140,79 +171,52 @@ def fold(text: str) -> str:
     return _DOTTED.sub(lambda m: re.sub(r"[._\-*]", "", m[0]), text)
 
 
-def _compiled() -> tuple[re.Pattern, list, list]:
-    def group(name: str) -> str:
-        return "(?:" + "|".join(sorted({re.escape(w.strip("-")).replace("\\-", "_") for w in CLASSES[name].split()}, key=len, reverse=True)) + ")"
-
-    made = {name: group(name) for name in CLASSES}
-
-    def build(pattern: str) -> re.Pattern:
-        return re.compile(re.sub(r"\{([A-Z]+)\}", lambda m: made[m[1]], pattern))
-
-    phrases = re.compile(r"\b(" + "|".join(sorted((p for line in PHRASES.split("\n") for p in line.split("|")), key=len, reverse=True)) + r")\b")
-    return phrases, [(c, w, build(p)) for c, w, p in PATTERNS], [(frozenset(c.split()), w, build(p)) for c, w, p in GUARDS]
+class _Chunks(dict):
+    """Chunk of folded text -> (its plain words, a comma if it ends in one; whether one of them sets the patterns to work)."""
 
+    #: Chunks remembered.
+    MOST = 300_000
 
-_PHRASE, _RULES, _GUARDS = _compiled()
+    def __missing__(self, chunk: str) -> tuple[tuple[str, ...], bool]:
+        words = unfold(chunk)
+        told = not TRIGGERS.isdisjoint(words)
+        if chunk[-1] in ",;:":
+            words = (*words, ",")
+        if len(self) >= self.MOST:
+            self.clear()
+        self[chunk] = words, told
+        return words, told
 
 
-#: The last words of phrases: without one of them a clause has no phrase to fold.
-_PHRASE_ENDS = frozenset(p.split()[-1] for line in PHRASES.split("\n") for p in line.split("|"))
+_CHUNKS = _Chunks()
 
 
-def clauses(text: str) -> Iterator[str]:
-    """The sentences of a text as plain words, phrases joined by underscores, commas kept apart."""
+def clauses(text: str) -> Iterator[tuple[str, ...]]:
+    """The plain words, commas kept apart, of those sentences of a text that hold a word which sets the patterns to work."""
     for sentence in _SENTENCE.split(fold(text)):
-        words: list[str] = []
-        for chunk in sentence.split():
-            words += unfold(chunk)
-            if words and words[-1] != "," and chunk[-1] in ",;:":
-                words.append(",")
-        if words and words[-1] == ",":
-            words.pop()
-        if words:
-            line = " ".join(words)
-            yield line if _PHRASE_ENDS.isdisjoint(words) else _PHRASE.sub(lambda m: m[0].replace(" ", "_"), line)
-
-
-def _triggers(pattern: str) -> frozenset[str]:
-    """The words of a pattern and of its classes that are not too common; every way to match it holds one of them."""
-    words = set(re.sub(r"\{[A-Z]+\}|\\[a-zA-Z]|[^a-z_ ]", " ", pattern).split())
-    for name in re.findall(r"\{([A-Z]+)\}", pattern):
-        words |= {w.strip("-").replace("-", "_") for w in CLASSES[name].split()}
-    return frozenset(words - _COMMON)
-
-
-_COMMON = frozenset(COMMON.split())
-RULE_TRIGGERS = [_triggers(pattern) for _, _, pattern in PATTERNS]
-#: Word -> numbers of the patterns it sets to work.
-_TRIED: dict[str, frozenset[int]] = {}
-for _number, _rule_words in enumerate(RULE_TRIGGERS):
-    for _w in _rule_words:
-        _TRIED[_w] = _TRIED.get(_w, frozenset()) | {_number}
+        found = [_CHUNKS[chunk] for chunk in sentence.split()]
+        if any(told for _, told in found):
+            words: list[str] = []
+            for part, _ in found:
+                words += part[:-1] if part and part[-1] == "," and (words[-1:] == [","] and len(part) == 1) else part
+            if words and words[-1] == ",":
+                words.pop()
+            yield tuple(words)
 
 
 @lru_cache(maxsize=100_000)
-def score_clause(clause: str) -> tuple[float, ...]:
-    """Weight per category of one clause; a pattern may match across commas, which it does not see."""
-    tried: set[int] = set()
-    for word in clause.split():
-        if word in _TRIED:
-            tried |= _TRIED[word]
-    found = dict.fromkeys(CATEGORIES, 0.0)
-    if not tried:
-        return tuple(found.values())
-    flat = clause.replace(" ,", "")
-    for number in tried:
-        category, weight, pattern = _RULES[number]
-        if pattern.search(flat) or flat != clause and pattern.search(clause):
-            found[category] += weight
-    if any(found.values()):
-        for categories, weight, pattern in _GUARDS:
-            if pattern.search(flat):
-                for c in categories:
-                    found[c] += weight
-    return tuple(max(0.0, found[c]) for c in CATEGORIES)
+def score_clause(clause: tuple[str, ...]) -> tuple[float, ...]:
+    """Weight per category of one clause."""
+    found = MACHINE.run(LEXICON.read(clause))
+    best, less = dict.fromkeys(CATEGORIES, 0.0), dict.fromkeys(CATEGORIES, 0.0)
+    for number, weight in found.items():
+        pattern = MACHINE.patterns[number]
+        for category in pattern.counts_for:
+            if pattern.weight:
+                less[category] += pattern.weight
+            elif weight > best[category]:
+                best[category] = weight
+    return tuple(round(max(0.0, best[c] + less[c]), 4) for c in CATEGORIES)
 
 
 def score_text(text: str | None) -> tuple[float, ...]:
