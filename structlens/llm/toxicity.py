@@ -45,8 +45,13 @@ _ALIKE = str.maketrans("аеорсухіѕјԁһкмнтвгοαειρτυκ", "
 _LEET = str.maketrans("013457$@!8|+", "oieastsaibit")
 _LEET_L = str.maketrans("013457$@!8|+", "oleastsalblt")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
+#: What every match of the two around it holds; found faster.
+_LONE = re.compile(r" [^\W_] [^\W_] ")
+_APART = re.compile(r"[._\-*].[._\-*]")
 _DOTTED = re.compile(r"(?<![^\s\"'(>*])(?:[^\W_@]|[@$!])(?:[._\-*][^\W_@]|[._\-*][@$!]){2,}[._\-*]?(?=[^\w@$]|$)")
-_USER = re.compile(r"@?\b[^\W\d_]{3,}_\d+\b|(?<![\w@])@\w[\w.]*\b")
+_NUMBERED = re.compile(r"@?(?<!\w)\w+_\d+\b")
+_HANDLE = re.compile(r"@?[^\W\d_]{3,}_\d+")
+_AT = re.compile(r"(?<![\w@])@\w[\w.]*\b")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+|\.{3,}")
 _CLEAN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _RUN3 = re.compile(r"(.)\1{2,}")
@@ -118,16 +123,20 @@ for _w in sorted(WORDS, key=lambda w: (w not in TELLING, w)):
 def _known(token: str) -> str | None:
     if token in WORDS:
         return token
+    if "v" in token and token.replace("v", "u") in WORDS:
+        return token.replace("v", "u")
+    if not _RUN3.search(token):
+        return SWAPS.get(token)
     for fewer in (_RUN3.sub(r"\1\1", token), _RUN3.sub(r"\1", token)):
         if fewer in WORDS:
             return fewer
-    if "v" in token and token.replace("v", "u") in WORDS:
-        return token.replace("v", "u")
     return SWAPS.get(token) or SWAPS.get(_RUN3.sub(r"\1", token))
 
 
 def unfold(chunk: str) -> tuple[str, ...]:
     """The plain words behind one blank-separated chunk of folded text."""
+    if chunk.isalpha():
+        return (_known(chunk) or chunk,)
     core = chunk.strip("\"'()[]{}<>,;:.?¿¡…“”„‘’«»`~")
     if not core:
         return ()
@@ -155,6 +164,11 @@ def unfold(chunk: str) -> tuple[str, ...]:
     return tuple(_known(p) or p for p in parts if any(c.isalpha() for c in p))
 
 
+def _handle(found: re.Match) -> str:
+    """A word of three letters or more, an underscore and a number is a user, with or without a sign before it."""
+    return " user " if _HANDLE.fullmatch(found[0]) else found[0]
+
+
 def fold(text: str) -> str:
     """Lower case, markup and escapes resolved, invisible characters and accents gone, look-alikes and set-apart letters joined."""
     if "&" in text:
@@ -163,12 +177,16 @@ def fold(text: str) -> str:
         text = _MOJIBAKE.sub(lambda m: m[0].encode("cp1252", "ignore").decode("utf8", "ignore") if m[0][1] > "\u009f" else m[0].encode("latin1", "ignore").decode("utf8", "ignore"), text)
     text = _TAG.sub("\n", text)
     text = _CONTROL.sub(" ", _INVISIBLE.sub("", text.replace("\r", "\n")))
-    text = _USER.sub(" user ", text)
+    if "_" in text:
+        text = _NUMBERED.sub(_handle, text)
+    if "@" in text:
+        text = _AT.sub(" user ", text)
     text = text.casefold()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_ALIKE)
-    text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-    return _DOTTED.sub(lambda m: re.sub(r"[._\-*]", "", m[0]), text)
+    if _LONE.search(text):
+        text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+    return _DOTTED.sub(lambda m: re.sub(r"[._\-*]", "", m[0]), text) if _APART.search(text) else text
 
 
 class _Chunks(dict):
