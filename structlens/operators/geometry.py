@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from structlens.storage import materialize
+
 #: Vectors per block of the all-against-all search.
 BLOCK_ROWS = 2048
 #: Vector components measured exactly at a time.
@@ -102,9 +105,38 @@ def leading_components(fitted: DataFrame, n: int) -> DataFrame:
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, members, centroid)."""
-    long = df.select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("idx", "x")).groupBy(group, "idx").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return long.groupBy(group).agg(F.max("n").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "m"))), lambda s: s["m"]).alias("centroid"))
+    """(group, members, centroid): components are summed inside tasks, one row per task and group is shuffled."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, names = own.indices.to_numpy(), own.dictionary.to_pylist()
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            z = flat.reshape(batch.num_rows, -1)
+            order = np.argsort(codes, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+            totals, counts = np.add.reduceat(z[order], first, axis=0), np.diff(np.r_[first, len(order)])
+            for code, total, n in zip(codes[order][first], totals, counts, strict=True):
+                row = held.setdefault(names[code], [0, 0.0])
+                row[0] += int(n)
+                row[1] = row[1] + total
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), group_type), pa.array([r[0] for r in held.values()], pa.int64()), pa.array([list(r[1]) for r in held.values()], pa.list_(pa.float64()))], names=["group", "n", "total"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    group_type = to_arrow_type(df.schema[group].dataType)
+    parts = df.where(F.col(vector).isNotNull()).select(group, F.col(vector).cast("array<double>")).mapInArrow(sums, f"group {kind}, n bigint, total array<double>")
+    every = F.array_sort(F.collect_list(F.struct("n", "total")))  # a row per task; in order, so that the sum does not depend on who came first
+    g = parts.groupBy("group").agg(every.alias("_p"), F.sum("n").alias("members"))
+    size = F.size(F.get("_p", F.lit(0))["total"])
+    total = F.aggregate("_p", F.array_repeat(F.lit(0.0), size), lambda a, p: F.zip_with(a, p["total"], lambda x, y: x + y))
+    return g.select(F.col("group").alias(group), "members", F.transform(total, lambda x: x / F.col("members")).alias("centroid"))
 
 
 def assign(df: DataFrame, key: str, vector: str, centers: list[list[float]]) -> DataFrame:
@@ -113,14 +145,33 @@ def assign(df: DataFrame, key: str, vector: str, centers: list[list[float]]) ->
     return df.select(key, vector, F.array_min(F.array(*each)).alias("_a")).select(key, vector, F.col("_a.cluster").alias("cluster"), F.col("_a.distance").alias("distance"))
 
 
+def vectors_at(df: DataFrame, key: str, vector: str, places: Sequence[int]) -> list[list[float]]:
+    """The vectors at given places of the key order, in the order of the places.
+
+    Keys are ranked in two levels: places before a range of keys are sums of
+    counts, places inside come from a row number, so no task sees all keys.
+    """
+    split = df.select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    split = materialize(split, "ranged-keys")
+    sizes = sorted((r["_part"], r["n"]) for r in split.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row per range
+    starts, at = [], 0
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    if not starts:
+        return []
+    offset = F.coalesce(*[F.when(F.col("_part") == part, F.lit(n)) for part, n in starts])
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + offset
+    wanted = split.select(key, place.alias("_place")).where(F.col("_place").isin(list(set(places))))
+    found = {r["_place"]: list(r["_v"]) for r in df.join(F.broadcast(wanted), key).select("_place", F.col(vector).cast("array<double>").alias("_v")).collect()}  # k rows
+    return [found[p] for p in places]
+
+
 def starting_centers(df: DataFrame, key: str, vector: str, k: int) -> list[list[float]]:
     """The vectors at places 0, s, 2s, ... in key order, s = max(1, n // k)."""
     n = df.count()
     step = max(1, n // k)
-    keys = df.select(key).orderBy(key)
-    wanted = keys.rdd.zipWithIndex().filter(lambda r: r[1] % step == 0 and r[1] // step < k).map(lambda r: r[0][0]).collect()  # k keys
-    found = {r[0]: list(r[1]) for r in df.where(F.col(key).isin(wanted)).select(key, F.col(vector).cast("array<double>")).collect()}
-    return [found[x] for x in sorted(wanted)]
+    return vectors_at(df, key, vector, [i * step for i in range(k) if i * step < n])
 
 
 def update_centers(assigned: DataFrame, vector: str, centers: list[list[float]]) -> list[list[float]]:
@@ -129,14 +180,63 @@ def update_centers(assigned: DataFrame, vector: str, centers: list[list[float]])
     return [found.get(i, c) for i, c in enumerate(centers)]
 
 
-def kmeans(df: DataFrame, key: str, vector: str, k: int, most: int = 50, tolerance: float = 1e-9) -> DataFrame:
-    """(key, vector, cluster, distance) after Lloyd's steps from the fixed start until no centre moves by more than the tolerance."""
-    df = df.select(key, vector).persist()
-    centers = starting_centers(df, key, vector, k)
+def kmeans_centers(df: DataFrame, vector: str, centers: list[list[float]], most: int = 50, tolerance: float = 0.0) -> list[list[float]]:
+    """Centres after Lloyd's steps until none moves by more than the tolerance; by default until they stand still.
+
+    A step is one pass over the vectors: tasks find the nearest centres and sum
+    their members; a row per centre and task is shuffled, k rows reach the driver.
+    """
     for _ in range(most):
-        moved = update_centers(assign(df, key, vector, centers), vector, centers)
+        moved = update_centers(nearest_centers(df, vector, centers), vector, centers)
         still = max(abs(a - b) for x, y in zip(centers, moved, strict=True) for a, b in zip(x, y, strict=True)) <= tolerance
         centers = moved
         if still:
             break
-    return assign(df, key, vector, centers)
+    return centers
+
+
+def nearest_centers(df: DataFrame, vector: str, centers: list[list[float]]) -> DataFrame:
+    """(cluster, vector): every vector with its nearest centre, ties to the lower number."""
+    c = np.array(centers, float)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                found = np.stack([((z - x) ** 2).sum(1) for x in c]).argmin(0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0)], names=["cluster", vector])
+
+    return df.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(find, f"cluster int, {vector} array<double>")
+
+
+def kmeans(df: DataFrame, key: str, vector: str, k: int, most: int = 50, tolerance: float = 0.0) -> DataFrame:
+    """(key, vector, cluster, distance) after Lloyd's steps from the fixed start; the vectors are written once for all steps."""
+    df = materialize(df.select(key, vector), "kmeans-vectors")
+    return assign(df, key, vector, kmeans_centers(df, vector, starting_centers(df, key, vector, k), most, tolerance))
+
+
+def all_distances(df: DataFrame, key: str, vector: str, metric: str = "l2") -> DataFrame:
+    """(key_a, key_b, distance) for key_a < key_b, block against block; as many rows as pairs, whoever asks for them."""
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+    left, right = _packed(df, key, vector, blocks, "q_"), _packed(df, key, vector, blocks, "r_")
+    tiles = left.select("q_block", "q_rows", F.explode(F.expr(f"sequence(q_block, {blocks - 1}L)")).alias("r_block")).join(right, "r_block")
+    kind = df.schema[key].dataType.simpleString()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for mine, q_rows, other, r_rows in zip(batch["q_block"], batch["q_rows"], batch["r_block"], batch["r_rows"], strict=True):
+                keys, values = np.array([r["_k"] for r in r_rows]), np.array([r["_v"] for r in r_rows], float)
+                norms = np.sqrt((values * values).sum(1))
+                for i, row in enumerate(q_rows):
+                    x = np.array(row["_v"], float)
+                    take = keys > row["_k"] if mine == other else np.ones(len(keys), bool)
+                    if metric == "l2":
+                        d = np.sqrt(((values[take] - x) ** 2).sum(1))
+                    else:
+                        d = 1 - values[take] @ x / (norms[take] * np.sqrt((x * x).sum()))
+                    theirs = keys[take]
+                    swap = theirs < row["_k"]
+                    yield pd.DataFrame({"a": np.where(swap, theirs, row["_k"]), "b": np.where(swap, row["_k"], theirs), "distance": d})
+
+    out = tiles.select("q_block", "q_rows", "r_block", "r_rows").mapInPandas(measure, f"a {kind}, b {kind}, distance double")
+    return out.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "distance")

@@ -10,43 +10,47 @@ from pyspark.sql import functions as F
 
 
 def walk(edges: list[tuple[object, object, object]]) -> tuple[list[list[object]], list[tuple[object, str]]]:
-    """(chains of edge ids, skipped edges with reason) of (edge id, from, to) in list order.
+    """(chains of edge ids, other edges with the reason) of (edge id, from, to) in list order.
 
     Chains start at edges into whose start nothing leads, then at what is left.
     A chain goes on while exactly one unused edge leaves its end; a fork ends
-    it. Self-loops and edges back into the chain are skipped.
+    it. A chain that would come back to one of its own points is no chain: the
+    edge that closes it is a cycle, and its other edges went into the cycle.
     """
-    skipped = [(e, "self_loop") for e, a, b in edges if a == b]
-    usable = [(e, a, b) for e, a, b in edges if a != b]
-    reached = {b for _, _, b in usable}
+    reached = {b for _, _, b in edges}
     leaving: dict[object, list[tuple[object, object]]] = {}
-    for e, a, b in usable:
+    for e, a, b in edges:
         leaving.setdefault(a, []).append((e, b))
     used: set[object] = set()
     chains: list[list[object]] = []
-    for e, a, b in [x for x in usable if x[1] not in reached] + [x for x in usable if x[1] in reached]:
+    others: list[tuple[object, str]] = []
+    for e, a, b in [x for x in edges if x[1] not in reached] + [x for x in edges if x[1] in reached]:
         if e in used:
             continue
         used.add(e)
-        chain, seen, end = [e], {a, b}, b
-        while len(free := [(x, y) for x, y in leaving.get(end, ()) if x not in used]) == 1:
+        chain, seen, end, closes = [e], {a, b}, b, e if a == b else None
+        while closes is None and len(free := [x for x in leaving.get(end, ()) if x[0] not in used]) == 1:
             following, target = free[0]
             used.add(following)
             if target in seen:
-                skipped.append((following, "revisit"))
-                break
-            chain.append(following)
-            seen.add(target)
-            end = target
-        chains.append(chain)
-    return chains, skipped
+                closes = following
+            else:
+                chain.append(following)
+                seen.add(target)
+                end = target
+        if closes is None:
+            chains.append(chain)
+        else:
+            others += [(closes, "cycle"), *((x, "into a cycle") for x in chain if x != closes)]
+    return chains, others
 
 
 def chains(edges: DataFrame, group: str, edge: str, start: str, end: str, order: str) -> DataFrame:
-    """(group, edge, chain, pos, skipped): every edge's chain and place in it; skipped edges have the reason instead.
+    """(group, edge, chain, pos, skipped): every edge's chain and place in it; edges in no chain have the reason instead.
 
-    Which edge follows depends on those already used, so a group (one situation's
-    transitions, or one actor's steps) is walked in one go.
+    Which edge follows depends on those already used, so a group, one
+    situation's transitions, is walked in one go. Edges that each lead to the
+    next (consecutive) need no walk: see successions.
     """
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
 
@@ -61,6 +65,12 @@ def chains(edges: DataFrame, group: str, edge: str, start: str, end: str, order:
     return edges.select(group, edge, start, end, order).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {edge} {kinds[edge]}, chain int, pos int, skipped string")
 
 
+def successions(edges: DataFrame, group: str, edge: str, order: str) -> DataFrame:
+    """chains of edges each of which starts where the one before ends, at points that never come again: one chain per group, by place."""
+    place = (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("int")
+    return edges.select(group, edge, F.lit(0).alias("chain"), place.alias("pos"), F.lit(None).cast("string").alias("skipped"))
+
+
 def consecutive(events: DataFrame, group: str, event: str, order: Sequence[str]) -> DataFrame:
     """(group, edge, start, end, place): the edge from each event of a group to the next."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -179,16 +179,24 @@ def state_vectors(s: Situations, dim: int = DIM) -> DataFrame:
     return both.select(*key, bag_vector(tokens, [F.size("pairs"), F.coalesce("turn_number", F.lit(0)), on("phase"), on("active_player_id")], dim).alias("z"))
 
 
+def view_vector(items: Column, dim: int = DIM) -> Column:
+    tokens = F.transform(items, lambda i: F.concat(F.lit("vis="), shown(i["visibility"]), F.lit("|known="), i["content_known"].cast("int").cast("string"), F.lit("|about="), shown(i["about"]), F.lit("|holder="), shown(i["holder_id"]), F.lit("|keys="), F.array_join(i["payload_keys"], ",")))
+    n, k = F.size(items), F.size(known(items))
+    return bag_vector(tokens, [n, k, n - k, F.size(F.filter(items, lambda i: i["visibility"] == "unknown_to_self"))], dim)
+
+
 def view_vectors(s: Situations, dim: int = DIM) -> DataFrame:
-    tokens = F.transform("items", lambda i: F.concat(F.lit("vis="), shown(i["visibility"]), F.lit("|known="), i["content_known"].cast("int").cast("string"), F.lit("|about="), shown(i["about"]), F.lit("|holder="), shown(i["holder_id"]), F.lit("|keys="), F.array_join(i["payload_keys"], ",")))
-    n, k = F.size("items"), F.size(known(F.col("items")))
-    blind = F.size(F.filter("items", lambda i: i["visibility"] == "unknown_to_self"))
-    return views(s).select("situation_id", "ord", "observation_id", "state_id", "observer_id", "items", bag_vector(tokens, [n, k, n - k, blind], dim).alias("z"))
+    return views(s).select("situation_id", "ord", "observation_id", "state_id", "observer_id", "items", view_vector(F.col("items"), dim).alias("z"))
 
 
 def action_sets(s: Situations, dim: int = DIM) -> DataFrame:
     """(situation_id, transition_id, set_key, z): the action set of every transition with actions; a missing action stops the job."""
-    asked = s.transitions.where(F.size("action_ids") > 0).select("situation_id", "transition_id", F.posexplode("action_ids").alias("pos", "action_id"))
+    return encoded_action_sets(s, s.transitions.where(F.size("action_ids") > 0), dim)
+
+
+def encoded_action_sets(s: Situations, wanted: DataFrame, dim: int = DIM) -> DataFrame:
+    """The same for any (situation_id, transition_id, action_ids)."""
+    asked = wanted.select("situation_id", "transition_id", F.posexplode("action_ids").alias("pos", "action_id"))
     found = relational.require_all(asked, s.actions.select("situation_id", "action_id", "action_type", "parameters"), ["situation_id", "action_id"], "action")
     entry = F.struct("pos", "action_id", "action_type", F.array_sort(F.coalesce(F.json_object_keys("parameters"), F.array())).alias("keys"))
     sets = found.groupBy("situation_id", "transition_id").agg(F.array_sort(F.collect_list(entry)).alias("a"))
@@ -213,6 +221,16 @@ def intervention_summaries(s: Situations) -> DataFrame:
     return v.select("situation_id", "observation_id", F.col("first").alias("item_id"), delta("identity").alias("identity_delta"), delta("hide").alias("hide_delta"), delta("reveal").alias("reveal_delta"))
 
 
+def about_vector(focal: Column, target: Column, dim: int = DIM) -> Column:
+    """The 3 * dim + 5 numbers of one view about another."""
+    za, zb = view_vector(focal, dim), view_vector(target, dim)
+    ids = lambda items: F.array_distinct(F.transform(items, lambda i: i["item_id"]))
+    ka, kb = known_ids(focal), known_ids(target)
+    hidden = F.array_except(F.array_except(F.array_union(ids(focal), ids(target)), ka), kb)
+    sizes = [F.size(x).cast("double") for x in (F.array_except(ka, kb), F.array_except(kb, ka), F.array_intersect(ka, kb), hidden)]
+    return F.concat(za, zb, F.zip_with(za, zb, lambda x, y: x - y), F.array(F.coalesce(c.cosine_distance(za, zb), F.lit(0.0)), *sizes))
+
+
 def about(s: Situations, dim: int = DIM) -> DataFrame:
     """One observer about another at the same state: 3·dim + 5 numbers per ordered pair, and the set counts."""
     z = view_vectors(s, dim).select("situation_id", "state_id", "observer_id", "z", known_ids(F.col("items")).alias("known"), F.array_distinct(F.transform("items", lambda i: i["item_id"])).alias("ids"))

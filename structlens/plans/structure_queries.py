@@ -140,7 +140,7 @@ def lineage_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def trajectory_chain(spark: SparkSession, sf: str) -> DataFrame:
     edges = sequence.consecutive(table(spark, sf, "events"), "user_id", "event_id", ["ts", "event_id"])
-    return sequence.chains(edges, "user_id", "edge", "start", "end", "place")
+    return sequence.successions(edges, "user_id", "edge", "place")
 
 
 def prefix_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -114,9 +114,11 @@ def test_chains_stop_at_forks_and_skip_loops():
     assert sequence.walk([("t2", "b", "c"), ("t1", "a", "b")]) == ([["t1", "t2"]], [])
     chains, skipped = sequence.walk([("t1", "a", "b"), ("t2", "b", "c"), ("t3", "b", "d")])
     assert chains == [["t1"], ["t2"], ["t3"]] and not skipped
-    assert sequence.walk([("t1", "a", "a")]) == ([], [("t1", "self_loop")])
-    chains, skipped = sequence.walk([("t1", "a", "b"), ("t2", "b", "a")])
-    assert chains == [["t1"]] and skipped == [("t2", "revisit")]
+    assert sequence.walk([("t1", "a", "a")]) == ([], [("t1", "cycle")])
+    assert sequence.walk([("t1", "a", "b"), ("t2", "b", "a")]) == ([], [("t2", "cycle"), ("t1", "into a cycle")])
+    assert sequence.walk([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "c", "b")]) == ([], [("e3", "cycle"), ("e1", "into a cycle"), ("e2", "into a cycle")])
+    assert sequence.walk([("e1", "a", "b"), ("e2", "b", "b"), ("e3", "b", "c")]) == ([["e1"], ["e3"]], [("e2", "cycle")])
+    assert sequence.walk([("e1", "a", "b"), ("e2", "x", "b"), ("e3", "b", "c")]) == ([["e1", "e3"], ["e2"]], [])
     assert sequence.walk([]) == ([], [])
 
 
