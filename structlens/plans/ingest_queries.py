@@ -33,8 +33,13 @@ def ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The item that stands for each id of a document: the last one."""
-    return things.latest_items(_items(spark, sf))
+    """A document for every item id of a batch document; of a repeated id the last item stands."""
+    return things.item_documents(table(spark, sf, "raw_artifacts"))
+
+
+def first_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The first item of every document that has one."""
+    return things.first_items(table(spark, sf, "raw_artifacts"))
 
 
 def thing_anomalies(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +55,7 @@ def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
     return files.missing_from_cache(wanted, cached, "source_id", 20)
 
 
-QUERIES = {f.__name__: f for f in (thing_rows, ingest_status, ingest_manifest, item_documents, thing_anomalies, cache_misses)}
+QUERIES = {f.__name__: f for f in (thing_rows, ingest_status, ingest_manifest, item_documents, first_items, thing_anomalies, cache_misses)}
 
 SQL = {
     "cache_misses": """WITH wanted AS (SELECT regexp_replace(id, '^bgg-', '') AS source_id, min(row_seq) AS place FROM games GROUP BY 1),

@@ -66,10 +66,13 @@ def read_id_list(spark: SparkSession, path: str, offset: int = 0, limit: int | N
     if offset < 0 or limit is not None and limit < 0:
         raise ValueError("offset and limit must be 0 or more")
     token = F.split_part(F.regexp_replace(F.trim(F.regexp_replace(F.split_part("value", F.lit("#"), F.lit(1)), r"\s+", " ")), "^ ", ""), F.lit(" "), F.lit(1))
-    ids = numbered_lines(spark, path).select("file", "line_no", token.alias("id")).where(F.col("id") != "").groupBy("id").agg(F.min(F.struct("file", "line_no")).alias("_at"))
-    sliced = ids.orderBy("_at").offset(offset)
-    sliced = sliced if limit is None else sliced.limit(limit)
-    return sliced.select("id", (F.row_number().over(Window.orderBy("_at")) + offset - 1).alias("place"))
+    lines = numbered_lines(spark, path)
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    at = lines.join(sizes.select("file", F.coalesce(before, F.lit(0)).alias("_before")), "file").select((F.col("_before") + F.col("line_no")).alias("_at"), token.alias("id"))
+    ids = numbered_by_place(at.where(F.col("id") != "").groupBy("id").agg(F.min("_at").alias("_at")), "_at", "place")
+    here = F.col("place") >= offset
+    return ids.where(here if limit is None else here & (F.col("place") < offset + limit)).select("id", "place")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -103,9 +106,9 @@ def missing_from_cache(wanted: DataFrame, cached: DataFrame, key: str, batch: in
     return numbered_by_place(gone, "place", "_number").withColumn("batch", F.floor(F.col("_number") / batch).cast("int")).drop("_number")
 
 
-def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
-    """Compact JSON lines in the given order, one folder of parts whose names keep the order."""
-    df.orderBy(*order).select(F.to_json(F.struct(*[c for c in df.columns if c not in order or c == "id"])).alias("value")).write.text(path)
+def write_jsonl(df: DataFrame, path: str, order: list[str], leave_out: tuple[str, ...] = ()) -> None:
+    """Compact JSON lines of all columns but those left out, in the given order, one folder of parts whose names keep the order."""
+    df.orderBy(*order).select(F.to_json(F.struct(*[c for c in df.columns if c not in leave_out])).alias("value")).write.text(path)
 
 
 def artifact_rows(df: DataFrame, kind: str, key: Column, content: Column, inputs: Column) -> DataFrame:
