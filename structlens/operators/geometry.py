@@ -24,20 +24,12 @@ def _packed(df: DataFrame, key: str, vector: str, blocks: int, prefix: str) -> D
     return df.select(slot.alias(f"{prefix}block"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).groupBy(f"{prefix}block").agg(F.collect_list(F.struct("_k", "_v")).alias(f"{prefix}rows"))
 
 
-def nearest(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, metric: str = "l2") -> DataFrame:
-    """(key, other, distance, rank): the k nearest of the reference by (distance, key), a key never being its own neighbour.
+def _k_best(k: int, metric: str):
+    """For rows of (q_rows, r_rows): the k nearest of each block of references to each query of a block.
 
-    All queries meet all references, block against block: every pair of blocks
-    is one matrix product that keeps k rows per query, and the kept rows are
-    reduced to k per query afterwards. Block size bounds a task's memory.
     The product rounds, so it only rules out: whatever is within its rounding
     bound of the k-th smallest is measured exactly, however many copies tie.
     """
-    blocks_q = max(1, -(-queries.count() // BLOCK_ROWS))
-    blocks_r = max(1, -(-reference.count() // BLOCK_ROWS))
-    left, right = _packed(queries, key, vector, blocks_q, "q_"), _packed(reference, key, vector, blocks_r, "r_")
-    tiles = left.select("q_block", "q_rows", F.explode(F.expr(f"sequence(0L, {blocks_r - 1}L)")).alias("r_block"))
-    kind = queries.schema[key].dataType.simpleString()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -68,12 +60,147 @@ def nearest(queries: DataFrame, reference: DataFrame, key: str, vector: str, k:
                 first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
                 yield pd.DataFrame({"key": q_keys[rows[first]], "other": r_keys[cols[first]], "distance": exact[first]})
 
-    kept = tiles.join(right, "r_block").select("q_rows", "r_rows").mapInPandas(search, f"key {kind}, other {kind}, distance double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k)  # k rows per block pair
+    return search
+
+
+def _merged(kept: DataFrame, key: str, k: int) -> DataFrame:
+    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k)  # k rows per block met
     merged = kept.groupBy("key").agg(best.alias("_b")).select("key", F.posexplode("_b").alias("rank", "_n"))
     return merged.select(F.col("key").alias(key), F.col("_n.other").alias("other"), F.col("_n.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
+def nearest(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, metric: str = "l2") -> DataFrame:
+    """(key, other, distance, rank): the k nearest of the reference by (distance, key), a key never being its own neighbour.
+
+    All queries meet all references, block against block: every pair of blocks
+    is one matrix product that keeps k rows per query, and the kept rows are
+    reduced to k per query afterwards. Block size bounds a task's memory. The
+    work grows with queries times references; where that is too much and most
+    of the neighbours are enough, see CellIndex.
+    """
+    blocks_q = max(1, -(-queries.count() // BLOCK_ROWS))
+    blocks_r = max(1, -(-reference.count() // BLOCK_ROWS))
+    left, right = _packed(queries, key, vector, blocks_q, "q_"), _packed(reference, key, vector, blocks_r, "r_")
+    tiles = left.select("q_block", "q_rows", F.explode(F.expr(f"sequence(0L, {blocks_r - 1}L)")).alias("r_block"))
+    kind = queries.schema[key].dataType.simpleString()
+    kept = tiles.join(right, "r_block").select("q_rows", "r_rows").mapInPandas(_k_best(k, metric), f"key {kind}, other {kind}, distance double")
+    return _merged(kept, key, k)
+
+
+def _near_centers(z: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
+    squares = (z * z).sum(1)[:, None] - 2 * z @ centers.T + (centers * centers).sum(1)[None, :]
+    return np.argsort(squares, axis=1, kind="stable")[:, :n]
+
+
+class CellIndex:
+    """Vectors in the cells of a coarse quantiser, for neighbours that need not all be the true ones.
+
+    Centres are fitted on a bounded sample (the SAMPLE rows of smallest key
+    hash); every vector is put into the cell of its nearest centre. A query
+    looks into its `probes` nearest cells; probes_for tells how many the data ask
+    for: few where vectors come in clusters, most where they are strewn evenly. Cells are searched in blocks, so a
+    cell that holds a third of all vectors is searched by many tasks. Recall
+    against the exact search depends on the data and on probes: measure it
+    (recall).
+    """
+
+    #: Rows the centres are fitted on, and the most cells there are.
+    SAMPLE, MOST_CELLS = 20_000, 1024
+
+    def __init__(self, df: DataFrame, key: str, vector: str, cells: int | None = None, rounds: int = 10) -> None:
+        self.key, self.vector = key, vector
+        rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+        sample = np.array([r[0] for r in rows.orderBy(F.xxhash64(key), key).limit(self.SAMPLE).select(vector).collect()], float)
+        n = cells or max(1, min(self.MOST_CELLS, int(len(sample) ** 0.5) // 2))
+        self.centers = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(int)] if len(sample) else np.zeros((0, 0))
+        for _ in range(rounds if len(sample) else 0):
+            at = _near_centers(sample, self.centers, 1)[:, 0]
+            for c in range(len(self.centers)):
+                if (at == c).any():
+                    self.centers[c] = sample[at == c].mean(0)
+        self.rows = materialize(self._placed(rows, 1), "cell-index")
+        sizes = self.rows.groupBy("cell").agg(F.count("*").alias("n"))  # a row per cell
+        self.sizes = {r["cell"]: r["n"] for r in sizes.collect()}
+
+    def _placed(self, rows: DataFrame, probes: int) -> DataFrame:
+        """(key, vector, cell): each vector once per cell among its nearest."""
+        kind = rows.schema[self.key].dataType.simpleString()
+        centers = self.centers
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    z = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    cells = _near_centers(z, centers, probes)
+                    of = pa.array(np.repeat(np.arange(len(z)), cells.shape[1]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(cells.ravel().astype(np.int32))], names=["k", "v", "cell"])
+
+        return rows.mapInArrow(place, f"k {kind}, v array<double>, cell int").select(F.col("k").alias(self.key), F.col("v").alias(self.vector), "cell")
+
+    def probes_for(self, k: int, least: float = 0.9, queries: int = 64, margin: float = 0.04) -> int:
+        """The fewest cells to probe so that a bounded sample of queries finds `least` (and a margin) of its true k nearest.
+
+        The sample's true neighbours come from the exact search; a neighbour is
+        found if its cell is among the query's nearest so many.
+        """
+        sample = materialize(self.rows.orderBy(F.xxhash64(self.key, F.lit("probe")), self.key).limit(queries), "probe-queries")
+        true = nearest(sample, self.rows, self.key, self.vector, k).join(self.rows.select(F.col(self.key).alias("other"), F.col("cell").alias("_c")), "other")
+        asked = {r[0]: r[1] for r in sample.select(self.key, self.vector).collect()}
+        pairs = true.select(self.key, "_c").collect()  # k rows per query of the sample
+        if not pairs:
+            return 1
+        order = {x: np.argsort(_near_centers(np.array([v], float), self.centers, len(self.centers))[0]) for x, v in asked.items()}
+        places = np.sort([int(order[r[0]][r[1]]) for r in pairs])
+        return int(places[min(len(places) - 1, int(np.ceil(min(1.0, least + margin) * len(places))) - 1)]) + 1
+
+    def search(self, queries: DataFrame, k: int, probes: int, metric: str = "l2") -> DataFrame:
+        """(key, other, distance, rank) of the k nearest found in the probed cells; queries need not be in the index."""
+        blocks = F.lit(1)
+        for cell, n in self.sizes.items():
+            if n > BLOCK_ROWS:
+                blocks = F.when(F.col("cell") == cell, F.lit(-(-n // BLOCK_ROWS))).otherwise(blocks)
+        packed = lambda df, name, slots: df.withColumn("slot", F.pmod(F.xxhash64(self.key), slots).cast("int")).groupBy("cell", "slot").agg(F.collect_list(F.struct(F.col(self.key).alias("_k"), F.col(self.vector).alias("_v"))).alias(name))
+        refs = packed(self.rows, "r_rows", blocks)
+        asked = self._placed(queries.select(self.key, F.col(self.vector).cast("array<double>").alias(self.vector)), probes)
+        spread = max(1, -(-queries.count() // BLOCK_ROWS))
+        tiles = packed(asked, "q_rows", F.lit(spread)).drop("slot").join(refs.drop("slot"), "cell")
+        kind = queries.schema[self.key].dataType.simpleString()
+        kept = tiles.select("q_rows", "r_rows").mapInPandas(_k_best(k, metric), f"key {kind}, other {kind}, distance double")
+        return _merged(kept, self.key, k)
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """(queries, recall): share of the exact neighbours that were found, per query and over all."""
+    both = exact.select(key, "other").join(found.select(key, "other").withColumn("_hit", F.lit(1)), [key, "other"], "left")
+    return both.agg(F.count_distinct(key).alias("queries"), F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
+
+
+def widest(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """(group, widest): the largest distance between two vectors of each group of two or more, in blocks of a group's vectors."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS))).cast("int").alias("_blocks"))
+    slot = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
+    placed = df.join(sizes, F.col(group) == F.col("_g")).select("_g", "_blocks", slot.alias("_slot"), F.col(vector).cast("array<double>").alias("_v"))
+    packed = placed.groupBy("_g", "_blocks", "_slot").agg(F.collect_list("_v").alias("rows"))
+    left = packed.select("_g", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.col("_slot"), F.col("_blocks") - 1)).alias("_slot"))
+    tiles = left.join(packed.select("_g", "_slot", F.col("rows").alias("r_rows")), ["_g", "_slot"])
+    kind = df.schema[group].dataType.simpleString()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, q_rows, r_rows in zip(batch["_g"], batch["q_rows"], batch["r_rows"], strict=True):
+                q, r = np.stack(q_rows), np.stack(r_rows)
+                squares = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :]
+                guess = squares - 2 * q @ r.T
+                slack = 8 * (q.shape[1] + 4) * np.finfo(float).eps * squares.max()
+                rows, cols = np.nonzero(guess >= guess.max() - slack)
+                step = max(1, EXACT_CELLS // max(1, q.shape[1]))
+                most = max(float(((q[rows[i : i + step]] - r[cols[i : i + step]]) ** 2).sum(1).max()) for i in range(0, len(rows), step))
+                yield pd.DataFrame({"g": [g], "widest": [most**0.5]})
+
+    tops = tiles.select("_g", "q_rows", "r_rows").mapInPandas(measure, f"g {kind}, widest double")
+    return tops.groupBy(F.col("g").alias(group)).agg(F.max("widest").alias("widest"))
+
+
 def novelty(entities: DataFrame, train: DataFrame, key: str, vector: str, ks: Sequence[int], metric: str = "l2") -> DataFrame:
     """(key, k, novelty): mean distance to the k nearest train entities, self excluded; a k not below the train size is left out."""
     size = train.count()

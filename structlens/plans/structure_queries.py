@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structlens.functions import columns as c
 from structlens.operators import geometry, linear, relational, sequence
 from structlens.sources.tables import table
+from structlens.storage import materialize
 
 r6 = c.rounded
 
@@ -221,7 +223,7 @@ def group_region(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     centers = geometry.centroids(v, "label", "embedding")
     spread = v.join(centers, "label").groupBy("label").agg(F.max("members").alias("members"), F.avg(c.l2(F.col("embedding"), F.col("centroid"))).alias("dispersion"), F.max(F.sqrt(c.dot(F.col("centroid"), F.col("centroid")))).alias("norm"))
-    widest = relational.unordered_pairs(v, ["label"], "vec_id", ["embedding"]).groupBy("label").agg(F.max(c.l2(F.col("embedding_a"), F.col("embedding_b"))).alias("widest"))
+    widest = geometry.widest(v, "label", "vec_id", "embedding")
     return spread.join(widest, "label", "left").select("label", "members", r6(F.when(F.col("members") > 1, F.col("dispersion")).otherwise(0.0)).alias("dispersion"), r6(F.coalesce("widest", F.lit(0.0))).alias("range"), r6(F.col("norm")).alias("centroid_norm"))
 
 
@@ -257,6 +259,47 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.nearest(v, v, "vec_id", "embedding", 3).select("vec_id", "other", r6(F.col("distance")).alias("distance"), "rank")
 
 
+def _asked(v: DataFrame) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by 50."""
+    return v.where(F.col("vec_id") % 50 == 0)
+
+
+def knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours of every 50th vector among all, through the cell index."""
+    v = _vectors(spark, sf)
+    index = geometry.CellIndex(v, "vec_id", "embedding")
+    found = index.search(_asked(v), 10, index.probes_for(10))
+    return found.select("vec_id", "other", r6(F.col("distance")).alias("distance"), "rank")
+
+
+def knn_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The index held against the exact search: queries, and whether nine in ten true neighbours are found."""
+    v = _vectors(spark, sf)
+    index = geometry.CellIndex(v, "vec_id", "embedding")
+    found = index.search(_asked(v), 10, index.probes_for(10))
+    return geometry.recall(found, geometry.nearest(_asked(v), v, "vec_id", "embedding", 10), "vec_id").select("queries", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
+def kmeans_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors, and those nearer to the mean of another cluster than to their own's by more than rounding."""
+    found = materialize(geometry.kmeans(_vectors(spark, sf), "vec_id", "embedding", 5).select("vec_id", "embedding", "cluster"), "kmeans-found")
+    means = [list(r["centroid"]) for r in geometry.centroids(found, "cluster", "embedding").orderBy("cluster").collect()]  # five rows
+    near = geometry.assign(found, "vec_id", "embedding", means).withColumnRenamed("distance", "_least").drop("cluster", "embedding")
+    own = F.get(F.array(*[F.array(*[F.lit(x) for x in m]) for m in means]), F.col("cluster"))
+    both = found.join(near, "vec_id")
+    return both.agg(F.count("*").alias("vectors"), F.count_if(c.l2(F.col("embedding"), own) > F.col("_least") + 1e-9).alias("misplaced"))
+
+
+def ridge_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The normal equations at the fitted weights: whether every one of them holds to a millionth of a row."""
+    v = table(spark, sf, "embeddings")
+    x, y = _embedding_columns(4), _embedding_columns(4, 4)
+    a, b = linear.gram(v, x, y)
+    weights = linear.fit_ridge(v, x, y)
+    off = abs((a + linear.RIDGE * np.eye(len(a))) @ weights - b).max()
+    return v.agg(F.count("*").alias("rows"), (F.lit(float(off)) <= 1e-6 * F.count("*")).alias("equations_hold"))
+
+
 def novelty_train_knn(spark: SparkSession, sf: str) -> DataFrame:
     v = linear.split_by_hash(_vectors(spark, sf), "vec_id", 11, 30)
     found = geometry.novelty(v, v.where("side = 'train'"), "vec_id", "embedding", [1, 3])
@@ -287,7 +330,7 @@ QUERIES = {
     for f in (
         known_set_asymmetry, known_set_asymmetry_daily, a_about_b_counts, a_about_b_counts_daily, info_gain_loss, information_measures, hide_reveal_delta, ownership_map, available_options, first_match_join, open_map_tokens, token_hash_vectors,
         bag_stats_concat, lineage_hash, trajectory_chain, prefix_summary, trajectory_summary, last_state_mse, group_safe_split, ridge_1d, ridge_multi, probe_rmse_vs_mean, linear_rollout,
-        perspective_distances, group_region, family_flatten, standardize_train, variance_projection, knn_topk, novelty_train_knn, between_group_dispersion, kmeans_assign_step, kmeans_full,
+        perspective_distances, group_region, family_flatten, standardize_train, variance_projection, knn_topk, knn_indexed, knn_index_recall, novelty_train_knn, between_group_dispersion, kmeans_assign_step, kmeans_full, kmeans_audit, ridge_audit,
     )
 }
 
@@ -387,4 +430,9 @@ SQL = {
       SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, {_round("list_distance(e, ce)")} AS distance FROM v, start
       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e, ce), cluster) = 1""",
 }
+SQL |= {
+    "knn_index_recall": "SELECT count(*) AS queries, true AS nine_in_ten FROM embeddings WHERE vec_id % 50 = 0",
+    "kmeans_audit": "SELECT count(*) AS vectors, CAST(0 AS BIGINT) AS misplaced FROM embeddings",
+    "ridge_audit": "SELECT count(*) AS rows, true AS equations_hold FROM embeddings",
+}
 SQL |= {f"{name}_daily": _view_sql("day") + SQL[name].removeprefix(_view_sql("hour")) for name in ("known_set_asymmetry", "a_about_b_counts")}

@@ -237,3 +237,32 @@ def test_distances_and_places(spark):
     got = {(r.id_a, r.id_b): r.distance for r in geometry.all_distances(df, "id", "v").collect()}
     assert len(got) == 190 and all(a < b and d == pytest.approx(b - a) for (a, b), d in got.items())
     assert geometry.vectors_at(df, "id", "v", [3, 0, 19]) == [[3.0, 1.0], [0.0, 1.0], [19.0, 1.0]]
+
+
+def test_cell_index_finds_most_neighbours_and_splits_hot_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 8)) * 4
+    z = [centers[0 if i % 3 == 0 else rng.integers(12)] + rng.normal(size=8) for i in range(1500)]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(z)] + [(None, [0.0] * 8)], "id bigint, v array<double>").repartition(4)
+    monkeypatch.setattr(geometry, "BLOCK_ROWS", 100)
+    index = geometry.CellIndex(df, "id", "v")
+    asked = df.where("id % 50 = 0")
+    exact = geometry.nearest(asked, df.where("id is not null"), "id", "v", 5)
+    probes = index.probes_for(5)
+    assert 1 <= probes <= 6
+    row = geometry.recall(index.search(asked, 5, probes), exact, "id").first()
+    assert row.queries == 30 and row.recall >= 0.9 and sum(index.sizes.values()) == 1500 and max(index.sizes.values()) > 100
+    whole = index.search(asked, 5, probes=len(index.centers))
+    assert geometry.recall(whole, exact, "id").first().recall == 1.0
+
+
+def test_widest_pair_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, list(map(float, rng.normal(size=4)))) for i in range(150)] + [(999, 7, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id int, g int, v array<double>")
+    monkeypatch.setattr(geometry, "BLOCK_ROWS", 16)
+    got = {r.g: r.widest for r in geometry.widest(df, "g", "id", "v").collect()}
+    for g in range(3):
+        z = np.array([v for _, x, v in rows if x == g])
+        assert got[g] == pytest.approx(max(np.sqrt(((z - p) ** 2).sum(1)).max() for p in z))
+    assert got[7] == 0
