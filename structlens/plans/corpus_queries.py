@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structlens.functions import columns as c
@@ -193,6 +193,46 @@ def composition_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf, *TIMES, "mechanics", "complexity").select("id", F.explode(gaps).alias("missing"))
 
 
+_NINE = ("release_year", "complexity", "min_players", "max_players", "player_span", "min_play_time_minutes", "max_play_time_minutes", "play_time_span", "mechanics_per_game")
+
+
+def composition_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """The nine boxes of the composition audit, by profile and over all."""
+    rows = _rows(spark, sf, *PLAYERS, *TIMES, "release_year", "complexity", "mechanics").withColumn("mechanics_per_game", F.greatest(F.size("mechanic_names"), F.lit(0)))
+    return stats.boxes_by_group(rows, "profile", c.PROFILES, _NINE)
+
+
+def extremes_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 most extreme records with their place: most players, then widest range, then corpus order."""
+    rows = quality.extreme_rows(_rows(spark, sf, *PLAYERS, *TIMES))
+    order = [F.coalesce("max_players", F.lit(0)).desc(), F.coalesce("player_span", F.lit(0)).desc(), F.col("row_seq")]
+    top = rows.orderBy(*order).limit(50)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "id", "max_players", "player_span", "reason")  # 50 rows
+
+
+def anomaly_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Per code the first 20 records in order of id."""
+    flags = anomaly_flags(spark, sf).select("code", "id").distinct()
+    first = flags.groupBy("code").agg(F.count("*").alias("records"), F.array_sort(F.collect_set("id")).alias("_i"))
+    return first.select("code", "records", F.array_join(F.slice("_i", 1, 20), ",").alias("first_ids"))
+
+
+def provenance_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """The provenance rules over a catalog whose sources are damaged by row number, so that every rule has something to find."""
+    nth, s = F.col("row_seq") % 11, F.col("sources")
+    with_ = lambda name, value: F.transform(s, lambda x: x.withField(name, value))
+    damaged = F.when(nth == 0, F.array_repeat(F.get(s, F.lit(0)), 2)).when(nth == 1, with_("source", F.lit("elsewhere"))).when(nth == 2, with_("source_type", F.lit(None).cast("string"))).when(nth == 3, with_("url", F.lit("x")))
+    damaged = damaged.when(nth == 4, with_("source_identifier", F.lit(""))).when(nth == 5, with_("source_identifier", F.lit("0"))).when(nth == 6, with_("retrieved_at", F.lit(None).cast("timestamp")))
+    return quality.provenance_issues(_catalog(spark, sf, "sources").withColumn("sources", damaged.otherwise(s)), SOURCE, SOURCE_TYPE, URL_PART)
+
+
+def empty_taxonomy_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Records without any label, in a catalog that has lost categories of every second row and mechanics of every third."""
+    games = _catalog(spark, sf, "title", "categories", "mechanics")
+    lost = lambda name, n: F.when(F.col("row_seq") % n == 0, F.slice(name, 1, 0)).otherwise(F.col(name))
+    return quality.without_taxonomy(games.withColumn("categories", lost("categories", 2)).withColumn("mechanics", lost("mechanics", 3)))
+
+
 def idlist_dedup_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Users in order of first event, each once; the 11th to the 60th of them."""
     events = table(spark, sf, "events").groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
@@ -204,7 +244,7 @@ QUERIES = {
     for f in (
         interval_profile_box, play_time_box, complexity_box, interval_kind_by_profile, era_counts, coverage_missingness, numeric_summary, list_length_summary, label_prevalence, top_labels,
         label_profile_lift, label_freq_of_freq, label_threshold_survival, notable_lifts, spearman_pairs, spearman_subsets, spearman_leave_one_out, extreme_flags, anomaly_flags, provenance_issues,
-        duplicate_keys, repeated_labels, reconcile_keys, title_marker_filter, empty_taxonomy, integrity_report, composition_gaps, idlist_dedup_slice,
+        duplicate_keys, repeated_labels, reconcile_keys, title_marker_filter, empty_taxonomy, composition_boxes, extremes_in_order, anomaly_examples, provenance_damaged, empty_taxonomy_damaged, integrity_report, composition_gaps, idlist_dedup_slice,
     )
 }
 
@@ -367,6 +407,30 @@ SQL = {
       UNION ALL SELECT id, 'play_time' FROM rows WHERE min_play_time_minutes IS NULL OR max_play_time_minutes IS NULL UNION ALL SELECT id, 'complexity' FROM rows WHERE complexity IS NULL""",
     "idlist_dedup_slice": """SELECT user_id, first[2] AS first_event_id FROM (SELECT user_id, min((ts, event_id)) AS first FROM events GROUP BY 1) ORDER BY first LIMIT 50 OFFSET 10""",
 }
+SQL |= {
+    "composition_boxes": _boxes(list(_NINE)).replace("mechanics_per_game AS DOUBLE", "coalesce(len(mechanics), 0) AS DOUBLE"),
+    "extremes_in_order": _ROWS
+    + f""", {_EXTREME}, placed AS (SELECT *, row_number() OVER (ORDER BY coalesce(max_players, 0) DESC, coalesce(player_span, 0) DESC, row_seq) AS p FROM extreme WHERE reason <> '')
+    SELECT CAST(p AS INTEGER) AS place, id, max_players, player_span, reason FROM placed WHERE p <= 50""",
+    "anomaly_examples": f"""SELECT code, count(*) AS records, array_to_string(list_sort(list(id))[1:20], ',') AS first_ids FROM (SELECT DISTINCT code, id FROM ({SQL["anomaly_flags"]})) GROUP BY 1""",
+    "provenance_damaged": _ROWS
+    + ", one AS (SELECT id, CASE WHEN row_seq % 11 = 0 THEN 2 ELSE coalesce(len(sources), 0) END AS k, CASE WHEN row_seq % 11 = 1 THEN 'elsewhere' ELSE sources[1].source END AS source, "
+    + "CASE WHEN row_seq % 11 <> 2 THEN sources[1].source_type END AS source_type, CASE WHEN row_seq % 11 = 3 THEN 'x' ELSE sources[1].url END AS url, "
+    + "CASE row_seq % 11 WHEN 4 THEN '' WHEN 5 THEN '0' ELSE sources[1].source_identifier END AS ident, CASE WHEN row_seq % 11 <> 6 THEN sources[1].retrieved_at END AS at_ FROM rows) "
+    + " UNION ALL ".join(
+        [
+            "SELECT id, 'source_count' AS issue FROM one WHERE k <> 1",
+            f"SELECT id, 'source' FROM one WHERE k = 1 AND source IS DISTINCT FROM '{SOURCE}'",
+            f"SELECT id, 'source_type' FROM one WHERE k = 1 AND source_type IS DISTINCT FROM '{SOURCE_TYPE}'",
+            f"SELECT id, 'url' FROM one WHERE k = 1 AND NOT coalesce(contains(url, '{URL_PART}'), false)",
+            "SELECT id, 'missing_identifier' FROM one WHERE k = 1 AND coalesce(ident, '') = ''",
+            "SELECT id, 'identifier_mismatch' FROM one WHERE k = 1 AND coalesce(ident, '') <> '' AND id <> 'bgg-' || ident",
+            "SELECT id, 'missing_retrieved_at' FROM one WHERE k = 1 AND at_ IS NULL",
+        ]
+    ),
+    "empty_taxonomy_damaged": _ROWS
+    + "SELECT id, title FROM catalog WHERE (row_seq % 2 = 0 OR coalesce(len(categories), 0) = 0) AND (row_seq % 3 = 0 OR coalesce(len(mechanics), 0) = 0)",
+}
 SQL["integrity_report"] = (
     SQL["provenance_issues"].split(", one AS")[0]
     + f""", issues AS (WITH one AS (SELECT id, coalesce(len(sources), 0) AS k, sources[1] AS s FROM rows) {SQL["provenance_issues"].split("FROM rows) ", 1)[1].split("FROM rows) ")[-1]})
