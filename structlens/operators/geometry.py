@@ -175,20 +175,46 @@ def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_distinct(key).alias("queries"), F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
 
 
-def widest(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """(group, widest): the largest distance between two vectors of each group of two or more, in blocks of a group's vectors."""
+def _tiles(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """(_g, q_slot, q_rows, r_slot, r_rows): every two blocks of a group's vectors, and each block with itself; a hot group has many."""
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS))).cast("int").alias("_blocks"))
     slot = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
-    placed = df.join(sizes, F.col(group) == F.col("_g")).select("_g", "_blocks", slot.alias("_slot"), F.col(vector).cast("array<double>").alias("_v"))
-    packed = placed.groupBy("_g", "_blocks", "_slot").agg(F.collect_list("_v").alias("rows"))
-    left = packed.select("_g", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.col("_slot"), F.col("_blocks") - 1)).alias("_slot"))
-    tiles = left.join(packed.select("_g", "_slot", F.col("rows").alias("r_rows")), ["_g", "_slot"])
+    placed = df.join(sizes, F.col(group) == F.col("_g")).select("_g", "_blocks", slot.alias("_slot"), F.struct(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).alias("_row"))
+    packed = placed.groupBy("_g", "_blocks", "_slot").agg(F.collect_list("_row").alias("rows"))
+    left = packed.select("_g", F.col("_slot").alias("q_slot"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.col("_slot"), F.col("_blocks") - 1)).alias("r_slot"))
+    return left.join(packed.select("_g", F.col("_slot").alias("r_slot"), F.col("rows").alias("r_rows")), ["_g", "r_slot"]).select("_g", "q_slot", "q_rows", "r_slot", "r_rows")
+
+
+def group_distances(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """(group, key_a, key_b, l2, cosine) of every two vectors of a group, key_a < key_b; cosine is null beside a zero vector."""
+    g_kind, k_kind = df.schema[group].dataType.simpleString(), df.schema[key].dataType.simpleString()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, q_slot, q_rows, r_slot, r_rows in batch.itertuples(index=False):
+                keys, z = np.array([r["_k"] for r in r_rows]), np.array([r["_v"] for r in r_rows], float)
+                norms = np.sqrt((z * z).sum(1))
+                for row in q_rows:
+                    x = np.array(row["_v"], float)
+                    take = keys > row["_k"] if q_slot == r_slot else np.ones(len(keys), bool)
+                    theirs, swap = keys[take], keys[take] < row["_k"]
+                    scale = norms[take] * np.sqrt((x * x).sum())
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cosine = np.where(scale > 0, 1 - z[take] @ x / scale, np.nan)
+                    yield pd.DataFrame({"g": g, "a": np.where(swap, theirs, row["_k"]), "b": np.where(swap, row["_k"], theirs), "l2": np.sqrt(((z[take] - x) ** 2).sum(1)), "cosine": cosine})
+
+    out = _tiles(df, group, key, vector).mapInPandas(measure, f"g {g_kind}, a {k_kind}, b {k_kind}, l2 double, cosine double")
+    return out.select(F.col("g").alias(group), F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "l2", F.nanvl("cosine", F.lit(None).cast("double")).alias("cosine"))
+
+
+def widest(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """(group, widest): the largest distance between two vectors of each group, 0 for one, in blocks of a group's vectors."""
     kind = df.schema[group].dataType.simpleString()
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for g, q_rows, r_rows in zip(batch["_g"], batch["q_rows"], batch["r_rows"], strict=True):
-                q, r = np.stack(q_rows), np.stack(r_rows)
+                q, r = (np.array([x["_v"] for x in rows], float) for rows in (q_rows, r_rows))
                 squares = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :]
                 guess = squares - 2 * q @ r.T
                 slack = 8 * (q.shape[1] + 4) * np.finfo(float).eps * squares.max()
@@ -197,7 +223,7 @@ def widest(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
                 most = max(float(((q[rows[i : i + step]] - r[cols[i : i + step]]) ** 2).sum(1).max()) for i in range(0, len(rows), step))
                 yield pd.DataFrame({"g": [g], "widest": [most**0.5]})
 
-    tops = tiles.select("_g", "q_rows", "r_rows").mapInPandas(measure, f"g {kind}, widest double")
+    tops = _tiles(df, group, key, vector).select("_g", "q_rows", "r_rows").mapInPandas(measure, f"g {kind}, widest double")
     return tops.groupBy(F.col("g").alias(group)).agg(F.max("widest").alias("widest"))
 
 

@@ -75,6 +75,7 @@ def spearman(long: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
     are counted before anything is ranked, and ranks are centred exactly.
     """
     pairs = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("grid", "x", "y").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs, "pairs")  # counts, both rankings and the totals are taken from it
     ranked = pairs.join(_ranks(pairs, "x", "rx"), ["grid", "x"]).join(_ranks(pairs, "y", "ry"), ["grid", "y"])
     totals = pairs.groupBy("grid").agg(F.sum("n").alias("total"))
     centred = ranked.join(totals, "grid").select("grid", "n", "total", (F.col("rx") - (F.col("total") + 1) / 2.0).alias("a"), (F.col("ry") - (F.col("total") + 1) / 2.0).alias("b"))

@@ -214,8 +214,8 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def perspective_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Distances between all views of a state (vectors of a label)."""
-    pairs = relational.unordered_pairs(_vectors(spark, sf), ["label"], "vec_id", ["embedding"])
-    return pairs.select("label", "vec_id_a", "vec_id_b", r6(c.l2(F.col("embedding_a"), F.col("embedding_b"))).alias("l2"), r6(c.cosine_distance(F.col("embedding_a"), F.col("embedding_b"))).alias("cosine"))
+    pairs = geometry.group_distances(_vectors(spark, sf), "label", "vec_id", "embedding")
+    return pairs.select("label", "vec_id_a", "vec_id_b", r6(F.col("l2")).alias("l2"), r6(F.col("cosine")).alias("cosine"))
 
 
 def group_region(spark: SparkSession, sf: str) -> DataFrame:

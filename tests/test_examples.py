@@ -266,3 +266,12 @@ def test_widest_pair_in_blocks(spark, monkeypatch):
         z = np.array([v for _, x, v in rows if x == g])
         assert got[g] == pytest.approx(max(np.sqrt(((z - p) ** 2).sum(1)).max() for p in z))
     assert got[7] == 0
+    pairs = geometry.group_distances(df.where("id < 60").unionByName(spark.createDataFrame([(-1, 0, [0.0] * 4)], df.schema)), "g", "id", "v").collect()
+    assert len(pairs) == sum(n * (n - 1) // 2 for n in (21, 20, 20)) and all(r.id_a < r.id_b for r in pairs)
+    z = {i: np.array(v) for i, _, v in rows}
+    for r in pairs:
+        if r.id_a < 0:
+            assert r.cosine is None
+        else:
+            a, b = z[r.id_a], z[r.id_b]
+            assert r.l2 == pytest.approx(np.linalg.norm(a - b)) and r.cosine == pytest.approx(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b))
