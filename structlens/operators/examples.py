@@ -357,10 +357,13 @@ def intervened_about(s: sit.Situations, wanted: DataFrame, dim: int = sit.DIM) -
     wanted as in apply_to_views, observer_id being B, with focal_id, A.
     """
     applied = apply_to_views(s, wanted)
-    focal = sit.views(s).select("situation_id", "state_id", F.col("observer_id").alias("focal_id"), F.col("items").alias("_focal")).dropDuplicates(["situation_id", "state_id", "focal_id"])
-    both = relational.require_all(applied, focal, ["situation_id", "state_id", "focal_id"], "observer")
-    vector = lambda target: sit.about_vector(F.col("_focal"), F.col(target), dim)
-    out = both.withColumn("before", vector("items")).withColumn("after", vector("items_after"))
+    seen = sit.view_vectors(s, dim).select("situation_id", "state_id", "observer_id", "items", "z").dropDuplicates(["situation_id", "state_id", "observer_id"])
+    focal = seen.select("situation_id", "state_id", F.col("observer_id").alias("focal_id"), F.col("items").alias("_focal"), F.col("z").alias("z_focal"))
+    own = seen.select("situation_id", "state_id", "observer_id", F.col("z").alias("z_before"))
+    both = relational.require_all(applied, focal, ["situation_id", "state_id", "focal_id"], "observer").join(own, ["situation_id", "state_id", "observer_id"])
+    both = both.withColumn("z_after", F.when(F.col("operation") == "identity", F.col("z_before")).otherwise(sit.view_vector(F.col("items_after"), dim)))
+    vector = lambda items, z: sit.about_vector(F.col("_focal"), F.col(items), F.col("z_focal"), F.col(z))
+    out = both.withColumn("before", vector("items", "z_before")).withColumn("after", vector("items_after", "z_after"))
     return out.select("situation_id", "state_id", "focal_id", "observer_id", "operation", "before", "after", F.zip_with("after", "before", lambda x, y: x - y).alias("delta"))
 
 

@@ -221,9 +221,8 @@ def intervention_summaries(s: Situations) -> DataFrame:
     return v.select("situation_id", "observation_id", F.col("first").alias("item_id"), delta("identity").alias("identity_delta"), delta("hide").alias("hide_delta"), delta("reveal").alias("reveal_delta"))
 
 
-def about_vector(focal: Column, target: Column, dim: int = DIM) -> Column:
-    """The 3 * dim + 5 numbers of one view about another."""
-    za, zb = view_vector(focal, dim), view_vector(target, dim)
+def about_vector(focal: Column, target: Column, za: Column, zb: Column) -> Column:
+    """The 3 * dim + 5 numbers of one view about another, from the items and vectors of both."""
     ids = lambda items: F.array_distinct(F.transform(items, lambda i: i["item_id"]))
     ka, kb = known_ids(focal), known_ids(target)
     hidden = F.array_except(F.array_except(F.array_union(ids(focal), ids(target)), ka), kb)
