@@ -76,7 +76,7 @@ def test_lines_keep_their_numbers_across_splits(spark, tmp_path):
 
 
 def test_id_lists_keep_the_first_and_slice_afterwards(spark, tmp_path):
-    (tmp_path / "ids.txt").write_text("# head\n13 # catan\n 42\n13\n\n7 x\n\t9\n")
+    (tmp_path / "ids.txt").write_text("# head\n13 # a game\n 42\n13\n\n7 x\n\t9\n")
     ids = lambda **kw: [(r.id, r.place) for r in files.read_id_list(spark, str(tmp_path / "ids.txt"), **kw).orderBy("place").collect()]
     assert ids() == [("13", 0), ("42", 1), ("7", 2), ("9", 3)] and ids(offset=1, limit=2) == [("42", 1), ("7", 2)] and ids(offset=9) == [] and ids(limit=0) == []
 
