@@ -75,9 +75,9 @@ def set_classes(records: DataFrame, key: str, items: str, min_items: int) -> tup
 def _cell_counts(classes: DataFrame) -> np.ndarray:
     """How many classes have an item of each cell."""
     cells = classes.select(F.explode(F.transform("items", lambda x: F.pmod(x, F.lit(CELLS)).cast("int"))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    counts = np.zeros(CELLS, np.int64)
-    found = cells.toPandas()  # at most CELLS rows
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    counts = np.zeros(CELLS, np.int32)
+    found = cells.toArrow()  # at most CELLS rows
+    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.int32).max)  # any order serves
     return counts
 
 
