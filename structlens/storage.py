@@ -38,10 +38,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/structlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written and not yet removed, oldest first.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the tables written so far but the last `keep`, and say how many; done at exit too.
+
+    For long sessions between queries: results that are still to be read from
+    those tables can no longer be.
+    """
+    gone = _WRITTEN[: len(_WRITTEN) - keep] if keep else _WRITTEN[:]
+    del _WRITTEN[: len(gone)]
+    for path in gone:
+        _remove(spark, path)
+    return len(gone)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many tasks as the session has cores, for work in Python on rows of one small file.
 

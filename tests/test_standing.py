@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from structlens import storage
 from structlens.operators import standing
 
 
@@ -30,3 +31,12 @@ def test_no_key_twice_and_no_row(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     assert standing.newest(df, F.col("id"), [F.col("v")], {"v": F.col("v")}).count() == 5
     assert standing.newest(df.where("id < 0"), F.col("id"), [F.col("v")], {"v": F.col("v")}).count() == 0
+
+
+def test_written_tables_can_be_released_between_queries(spark):
+    storage.release(spark)
+    first, second = (storage.materialize(spark.range(n), "numbers") for n in (3, 4))
+    assert storage.release(spark, keep=1) == 1 and second.count() == 4
+    with pytest.raises(Exception):
+        first.collect()
+    assert storage.release(spark) == 1 and storage.release(spark) == 0
