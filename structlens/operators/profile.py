@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structlens.operators.standing import newest
 from structlens.storage import materialize
 
 #: Order-preserving bins of the numbers of one load: so many per factor e of 1 + |number|.
@@ -70,8 +71,9 @@ def mask_of(value: Column) -> Column:
 
 def cells(df: DataFrame, feed: str, load: str, line: str, names: Sequence[str]) -> DataFrame:
     """One row per load line and column: its mask, and its number if the mask is one of a number's."""
-    keyed = df.select(F.col(feed).alias("feed_id"), F.col(load).alias("load_id"), F.col(line).alias("_line"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"))
-    lines = keyed.groupBy("feed_id", "load_id", "_line").agg(F.max("_row").alias("_row"))
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    key = F.struct(F.col(feed).alias("feed_id"), F.col(load).alias("load_id"), F.col(line).alias("_line"))
+    lines = newest(df, key, [row], {"_row": row}).select("_key.feed_id", "_key.load_id", "_row")  # of lines sent twice with other content the greatest
     each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"_row.c{i}"), F.lit(" \t")).alias("value")) for i, c in enumerate(names)])
     long = lines.select("feed_id", "load_id", F.inline(each)).withColumn("mask", mask_of(F.col("value")))
     bare = F.regexp_replace("mask", "^-", "")
