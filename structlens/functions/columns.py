@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +56,18 @@ def rounded(x: Column, places: int = 6) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_vector(token: Column, dim: int) -> Column:
     """Component i is byte i mod 32 of the token's SHA-256, mapped from 0..255 to -1..1."""
-    digest = F.sha2(token, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(digest, 2 * F.pmod(i, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
+    places = [i % 32 for i in range(dim)]
+    # seven bytes are the most that a positive BIGINT holds
+    sevens = lambda digest: F.array(*[F.conv(F.substr(digest, F.lit(14 * k + 1), F.lit(14)), 16, 10).cast("bigint") for k in range(max(places) // 7 + 1)])
+    byte = lambda words, i: F.shiftright(F.get(words, F.lit(i // 7)), 8 * (min(6, 31 - i // 7 * 7) - i % 7)).bitwiseAND(F.lit(255))
+    return bound(bound(F.sha2(token, 256), sevens), lambda words: F.array(*[byte(words, i).cast("double") / 127.5 - 1.0 for i in places]))
 
 
 def l2(a: Column, b: Column) -> Column:

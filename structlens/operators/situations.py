@@ -43,18 +43,24 @@ class Situations:
     interpretations: DataFrame
 
 
-def views(s: Situations) -> DataFrame:
-    """Every observation with its items in order.
+def seen(s: Situations) -> DataFrame:
+    """(situation_id, state_id, observer_id, items, copies, placed): one row for all observations of an observer at a state.
 
-    Items are those of the space of the first observation with the same observer
-    and state, whatever space the observation itself names.
+    Items are those of the space of the first observation, whatever space the
+    others name. copies counts the observations, placed those with an `ord`.
     """
     key = ["situation_id", "state_id", "observer_id"]
-    first = relational.first_by(s.observations.select(*key, "ord", "information_space_id"), key, ["ord"]).select(*key, "information_space_id")
+    first = s.observations.groupBy(*key).agg(F.min_by(F.struct("information_space_id"), F.struct("ord")).alias("_first"), F.count("*").alias("copies"), F.count("ord").alias("placed"))
+    first = first.select(*key, F.col("_first.information_space_id").alias("information_space_id"), "copies", "placed")
     entry = F.struct("ord", "item_id", "visibility", "about", F.coalesce(F.size("known_to"), F.lit(0)).alias("known_to_n"), "content_known", "holder_id", F.array_sort(F.coalesce(F.json_object_keys("payload"), F.array())).alias("payload_keys"))
     items = s.info_items.groupBy("situation_id", "information_space_id").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    held = first.join(items, ["situation_id", "information_space_id"], "left").select(*key, F.coalesce("items", F.array()).alias("items"))
-    return s.observations.select("situation_id", "ord", "observation_id", "state_id", "observer_id").join(held, key)
+    return first.join(items, ["situation_id", "information_space_id"], "left").select(*key, F.coalesce("items", F.array()).alias("items"), "copies", "placed")
+
+
+def views(s: Situations) -> DataFrame:
+    """Every observation with its items in order (see seen)."""
+    key = ["situation_id", "state_id", "observer_id"]
+    return s.observations.select("situation_id", "ord", "observation_id", "state_id", "observer_id").join(seen(s).select(*key, "items"), key)
 
 
 def known(items: Column) -> Column:
@@ -80,18 +86,19 @@ def options(s: Situations) -> DataFrame:
     return s.decision_spaces.join(counted, ["situation_id", "space_id"], "left").fillna(0, ["available", "constrained", "options"])
 
 
-def gain_loss(s: Situations) -> DataFrame:
+def gain_loss(s: Situations, v: DataFrame | None = None) -> DataFrame:
     """(situation_id, transition_id, observer_id, gain, loss) where both states are observed."""
-    seen = views(s).select("situation_id", "state_id", "observer_id", known_keys(F.col("items")).alias("k")).dropDuplicates(["situation_id", "state_id", "observer_id"])
-    before = seen.withColumnsRenamed({"state_id": "from_state_id", "k": "b"})
-    after = seen.withColumnsRenamed({"state_id": "to_state_id", "k": "a"})
+    held = (seen(s) if v is None else v).select("situation_id", "state_id", "observer_id", known_keys(F.col("items")).alias("k"))
+    held = held if v is None else held.dropDuplicates(["situation_id", "state_id", "observer_id"])
+    before = held.withColumnsRenamed({"state_id": "from_state_id", "k": "b"})
+    after = held.withColumnsRenamed({"state_id": "to_state_id", "k": "a"})
     steps = s.transitions.select("situation_id", "transition_id", "from_state_id", "to_state_id").join(before, ["situation_id", "from_state_id"]).join(after, ["situation_id", "to_state_id", "observer_id"])
     return steps.select("situation_id", "transition_id", "observer_id", F.size(F.array_except("a", "b")).alias("gain"), F.size(F.array_except("b", "a")).alias("loss"))
 
 
-def measures(s: Situations, skip_incomplete: bool = True) -> DataFrame:
-    """(situation_id, metric, state_id, observer_id, scope_key, value, value_json): 13 metrics in long form."""
-    v = views(s)
+def measures(s: Situations, skip_incomplete: bool = True, v: DataFrame | None = None) -> DataFrame:
+    """(situation_id, metric, state_id, observer_id, scope_key, value, value_json): 13 metrics in long form. v: views(s), where they are written already."""
+    ready, v = v, views(s) if v is None else v
     items = F.col("items")
     none = F.lit(None).cast("string")
 
@@ -107,11 +114,10 @@ def measures(s: Situations, skip_incomplete: bool = True) -> DataFrame:
         ("hidden_information", F.size(items) - F.size(known(items))),
         ("self_knowledge_asymmetry", F.when((own_unknown > 0) & (other_known > 0), own_unknown + other_known).otherwise(0)),
     ]
-    out = [long(v, name, state, observer, F.col("observation_id"), value) for name, value in per_view]
+    each = v.select("situation_id", "state_id", "observer_id", "observation_id", F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in per_view])))
+    out = [each.select("situation_id", "metric", "state_id", "observer_id", F.col("observation_id").alias("scope_key"), "value", none.alias("value_json"))]
 
-    keyed = v.select("situation_id", "state_id", "ord", known_keys(items).alias("k"))
-    pairs = relational.unordered_pairs(keyed, ["situation_id", "state_id"], "ord", ["k"])
-    asymmetry = pairs.groupBy("situation_id", "state_id").agg(F.avg(c.jaccard_distance(F.col("k_a"), F.col("k_b"))).alias("x"))
+    asymmetry = set_distances(v.where(F.col("ord").isNotNull()).select("situation_id", "state_id", known_keys(items).alias("k"), F.lit(1).alias("n")), ["situation_id", "state_id"], "k", "n").withColumn("x", F.col("distance") / F.col("pairs"))
     out.append(long(asymmetry, "information_asymmetry", state, none, state, F.col("x")))
 
     each = v.select("situation_id", "state_id", "ord", F.explode(items).alias("i"))
@@ -124,7 +130,7 @@ def measures(s: Situations, skip_incomplete: bool = True) -> DataFrame:
     body = F.to_json(F.struct(F.coalesce("by_holder", empty).alias("by_holder"), F.coalesce(F.size("by_holder"), F.lit(0)).alias("n_holders"), F.coalesce(F.col("known_to_sizes").cast("map<string,bigint>"), empty).alias("known_to_sizes")))
     out.append(long(owned, "information_ownership", state, none, state, text=body))
 
-    moved = gain_loss(s)
+    moved = gain_loss(s, ready)
     out += [long(moved, f"information_{x}", none, observer, F.col("transition_id"), F.col(x)) for x in ("gain", "loss")]
 
     game = F.col("situation_id")
@@ -148,11 +154,44 @@ def measures(s: Situations, skip_incomplete: bool = True) -> DataFrame:
     return whole
 
 
+def set_distances(df: DataFrame, within: Sequence[str], items: str, n: str) -> DataFrame:
+    """(within, pairs, distance): number and summed Jaccard distance of the unordered pairs of sets, n rows to each; no row without a pair.
+
+    Equal sets count once with their number, and of different ones only those
+    that share an item are compared: all others are 1 apart. The work grows with
+    the different sets of a group that hold the same item, not with its pairs.
+    """
+    within = list(within)
+    classes = df.groupBy(*within, F.array_sort(items).alias("_s")).agg(F.sum(n).alias("_n")).where(F.col("_n") > 0)
+    whole = classes.groupBy(*within).agg(F.sum("_n").alias("_n"), F.sum(F.expr("_n * (_n - 1) div 2")).alias("_equal"))
+    shared = classes.select(*within, F.explode("_s").alias("_i"), F.struct(F.col("_s").alias("s"), F.col("_n").alias("n")).alias("_c")).groupBy(*within, "_i").agg(F.collect_list("_c").alias("_all")).where(F.size("_all") > 1)
+    pairs = shared.select(*within, F.explode("_all").alias("_a"), "_all").select(*within, "_a", F.explode("_all").alias("_b")).where(F.col("_a.s") < F.col("_b.s"))
+    pairs = pairs.groupBy(*within, "_a", "_b").agg(F.count("*").alias("_both"))
+    alike = pairs.groupBy(*within).agg(F.sum(F.col("_a.n") * F.col("_b.n") * (F.col("_both") / (F.size("_a.s") + F.size("_b.s") - F.col("_both")))).alias("_alike"))
+    same = [F.col(f"w.{x}").eqNullSafe(F.col(f"a.{x}")) for x in within]
+    both = whole.alias("w").join(alike.alias("a"), same, "left").select(*[f"w.{x}" for x in within], F.expr("_n * (_n - 1) div 2").alias("pairs"), "_equal", F.coalesce("_alike", F.lit(0.0)).alias("_alike"))
+    return both.where(F.col("pairs") > 0).select(*within, "pairs", (F.col("pairs") - F.col("_equal") - F.col("_alike")).alias("distance"))
+
+
+def cosine_sums(df: DataFrame, within: Sequence[str], vector: str, n: str, dim: int = DIM) -> DataFrame:
+    """(within, rows, distance): rows, n to each vector, and the summed cosine distance of their unordered pairs, 0 beside a zero vector.
+
+    The cosines of all pairs add up to half of what the squared length of the
+    summed unit vectors has over the summed squares, so no pair is formed.
+    """
+    z = df.select(*within, F.col(n).alias("_n"), F.col(vector).alias("_z"), F.nullif(c.dot(F.col(vector), F.col(vector)), F.lit(0.0)).alias("_d"))
+    unit = z.select(*within, "_n", *[(F.get("_z", F.lit(i)) / F.sqrt("_d")).alias(f"_u{i}") for i in range(dim)])
+    squares = sum((F.col(f"_u{i}") * F.col(f"_u{i}") for i in range(1, dim)), F.col("_u0") * F.col("_u0"))
+    sums = unit.groupBy(*within).agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(F.col("_u0").isNotNull(), F.col("_n"))), F.lit(0)).alias("_m"), F.sum(F.col("_n") * squares).alias("_q"), *[F.sum(F.col("_n") * F.col(f"_u{i}")).alias(f"_u{i}") for i in range(dim)])
+    length = sum((F.col(f"_u{i}") * F.col(f"_u{i}") for i in range(1, dim)), F.col("_u0") * F.col("_u0"))
+    return sums.select(*within, "rows", F.coalesce((F.col("_m") * (F.col("_m") - 1) - (length - F.col("_q"))) / 2, F.lit(0.0)).alias("distance"))
+
+
 def bag_vector(tokens: Column, stats: Sequence[Column], dim: int = DIM) -> Column:
     """Mean of the tokens' hash vectors, zero without tokens; the last components give way to the stats if there is room."""
     zero = F.array_repeat(F.lit(0.0), dim)
-    total = F.aggregate(F.transform(tokens, lambda t: c.hash_vector(t, dim)), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    pooled = F.transform(total, lambda x: x / F.greatest(F.size(tokens), F.lit(1)))
+    total = lambda ts: F.aggregate(F.transform(ts, lambda t: c.hash_vector(t, dim)), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    pooled = c.bound(tokens, lambda ts: F.transform(total(ts), lambda x: x / F.greatest(F.size(ts), F.lit(1))))
     return pooled if dim <= len(stats) else F.concat(F.slice(pooled, 1, dim - len(stats)), F.array(*[x.cast("double") for x in stats]))
 
 
@@ -230,19 +269,65 @@ def about_vector(focal: Column, target: Column, za: Column, zb: Column) -> Colum
     return F.concat(za, zb, F.zip_with(za, zb, lambda x, y: x - y), F.array(F.coalesce(c.cosine_distance(za, zb), F.lit(0.0)), *sizes))
 
 
-def about(s: Situations, dim: int = DIM) -> DataFrame:
-    """One observer about another at the same state: 3·dim + 5 numbers per ordered pair, and the set counts."""
-    z = view_vectors(s, dim).select("situation_id", "state_id", "observer_id", "z", known_ids(F.col("items")).alias("known"), F.array_distinct(F.transform("items", lambda i: i["item_id"])).alias("ids"))
-    z = z.dropDuplicates(["situation_id", "state_id", "observer_id"])
-    p = relational.ordered_pairs(z, ["situation_id", "state_id"], "observer_id", ["z", "known", "ids"])
-    count = lambda x: F.size(x)
+def perspectives(s: Situations, dim: int = DIM) -> DataFrame:
+    """(situation_id, state_id, observer_id, z, norm, known, blind): every observer of a state once; blind are the ids never known."""
+    ids = F.array_distinct(F.transform("items", lambda i: i["item_id"]))
+    z = seen(s).select("situation_id", "state_id", "observer_id", view_vector(F.col("items"), dim).alias("z"), known_ids(F.col("items")).alias("known"), ids.alias("ids"))
+    return z.select("situation_id", "state_id", "observer_id", "z", F.sqrt(c.dot(F.col("z"), F.col("z"))).alias("norm"), "known", F.array_except("ids", "known").alias("blind"))
+
+
+def paired_cosine(dim: int) -> Column:
+    """The cosine distance of z_a and z_b from their norms, 0 beside a zero vector; summed in the order of c.dot."""
+    product = F.lit(0.0)
+    for i in range(dim):
+        product = product + F.get("z_a", F.lit(i)) * F.get("z_b", F.lit(i))
+    return F.coalesce(1.0 - F.try_divide(product, F.col("norm_a") * F.col("norm_b")), F.lit(0.0))
+
+
+def common(a: str, b: str) -> Column:
+    """How many members two sets share."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.size(F.array_intersect(a, b)))
+
+
+def about_counts(s: Situations, dim: int = DIM) -> DataFrame:
+    """One observer about another at the same state: distance and set counts per ordered pair, with both vectors."""
+    p = relational.ordered_pairs(perspectives(s, dim), ["situation_id", "state_id"], "observer_id", ["z", "norm", "known", "blind"])
     p = p.select(
-        "situation_id", "state_id", "observer_id_a", "observer_id_b", "z_a", "z_b", F.coalesce(c.cosine_distance(F.col("z_a"), F.col("z_b")), F.lit(0.0)).alias("distance"),
-        count(F.array_except("known_a", "known_b")).alias("only_a"), count(F.array_except("known_b", "known_a")).alias("only_b"), count(F.array_intersect("known_a", "known_b")).alias("shared"),
-        count(F.array_except(F.array_except(F.array_union("ids_a", "ids_b"), "known_a"), "known_b")).alias("hidden_both"),
+        "situation_id", "state_id", "observer_id_a", "observer_id_b", "z_a", "z_b", paired_cosine(dim).alias("distance"), F.size("known_a").alias("_a"), F.size("known_b").alias("_b"), common("known_a", "known_b").alias("shared"),
+        (F.size("blind_a") + F.size("blind_b") - common("blind_a", "known_b") - common("blind_b", "known_a") - common("blind_a", "blind_b")).alias("hidden_both"),
     )
+    return p.select("situation_id", "state_id", "observer_id_a", "observer_id_b", "z_a", "z_b", "distance", (F.col("_a") - F.col("shared")).alias("only_a"), (F.col("_b") - F.col("shared")).alias("only_b"), "shared", "hidden_both")
+
+
+def about(s: Situations, dim: int = DIM) -> DataFrame:
+    """One observer about another at the same state: 3·dim + 5 numbers per ordered pair, and the set counts."""
     extras = F.array(*[F.col(x).cast("double") for x in ("distance", "only_a", "only_b", "shared", "hidden_both")])
-    return p.withColumn("vector", F.concat("z_a", "z_b", F.zip_with("z_a", "z_b", lambda x, y: x - y), extras)).drop("z_a", "z_b")
+    return about_counts(s, dim).withColumn("vector", F.concat("z_a", "z_b", F.zip_with("z_a", "z_b", lambda x, y: x - y), extras)).drop("z_a", "z_b")
+
+
+def about_sums(seen_once: DataFrame, dim: int = DIM) -> DataFrame:
+    """(situation_id, n, distance, only_a, only_b, shared, n_asymmetric) of rows like those of seen: means over the ordered pairs of about, no pair formed."""
+    state, col = ["situation_id", "state_id"], F.col
+    z = seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select(*state, view_vector(col("items"), dim).alias("z"), F.lit(1).alias("n"))
+    apart = cosine_sums(z, state, "z", "n", dim).where(col("rows") > 1).groupBy("situation_id").agg(F.sum(col("rows") * (col("rows") - 1)).alias("n"), F.sum(col("distance") * 2).alias("distance"))
+    ids = seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select(*state, known_ids(col("items")).alias("k"))
+    held = ids.select(*state, F.explode("k").alias("i")).groupBy(*state, "i").agg(F.count("*").alias("c")).groupBy("situation_id").agg(F.sum(col("c") * (col("c") - 1)).alias("shared"))
+    sizes = ids.groupBy(*state).agg(F.count("*").alias("m"), F.sum(F.size("k")).alias("k")).groupBy("situation_id").agg(F.sum(col("k") * (col("m") - 1)).alias("known"))
+    out = apart.join(held, "situation_id", "left").join(sizes, "situation_id").join(asymmetric_counts(seen_once, dim), "situation_id", "left").fillna(0, ["shared", "n_asymmetric"])
+    only = (col("known") - col("shared")) / col("n")
+    return out.select("situation_id", "n", (col("distance") / col("n")).alias("distance"), only.alias("only_a"), only.alias("only_b"), (col("shared") / col("n")).alias("shared"), "n_asymmetric")
+
+
+def asymmetric_counts(seen_once: DataFrame, dim: int = DIM) -> DataFrame:
+    """What asymmetric_pairs tells of about, without its pairs: the two directions are equal where vectors are and as many ids are known.
+
+    Vectors are told apart by 128 bits of hash.
+    """
+    state, col = ["situation_id", "state_id"], F.col
+    z = seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select(*state, view_vector(col("items"), dim).alias("z"), F.size(known_ids(col("items"))).alias("k"))
+    equal = z.select(*state, "k", F.xxhash64("z").alias("d1"), F.xxhash64(F.lit(1), "z", F.lit("z")).alias("d2")).groupBy(*state, "k", "d1", "d2").agg(F.count("*").alias("n"))
+    per_state = equal.groupBy(*state).agg(F.sum("n").alias("m"), F.sum(F.expr("n * (n - 1) div 2")).alias("same")).where(col("m") > 1)
+    return per_state.groupBy("situation_id").agg(F.sum(F.expr("m * (m - 1) div 2 - same")).alias("n_asymmetric"))
 
 
 def asymmetric_pairs(pairs: DataFrame) -> DataFrame:
