@@ -112,7 +112,7 @@ def play_about(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def play_asymmetric_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return sit.asymmetric_pairs(sit.about(star(spark, sf)))
+    return sit.asymmetric_counts(sit.seen(star(spark, sf)))
 
 
 def play_mean_distances(spark: SparkSession, sf: str) -> DataFrame:
