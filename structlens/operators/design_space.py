@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from structlens.functions import columns as c
 from structlens.operators import catalog, geometry, sequence
 from structlens.operators import situations as sit
+from structlens.storage import materialize
 
 #: Families and their columns, in order (fixed values).
 FAMILIES: dict[str, tuple[str, ...]] = {
@@ -35,13 +36,16 @@ def require_no_metadata(columns: Sequence[str]) -> None:
         raise ValueError(f"catalog columns among the features: {', '.join(bad)}")
 
 
-def _spread(vectors: DataFrame, z: str = "z") -> DataFrame:
-    """(situation_id, norm, dispersion): centroid norm and mean distance to it, 0 for fewer than two vectors."""
-    size = F.size(F.get("all", F.lit(0)))
-    groups = vectors.groupBy("situation_id").agg(F.collect_list(z).alias("all"))  # a situation is a fragment of a few states
-    center = F.transform(F.aggregate("all", F.array_repeat(F.lit(0.0), size), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / F.size("all"))
-    gaps = F.aggregate(F.transform("all", lambda v: c.l2(v, F.col("center"))), F.lit(0.0), lambda a, x: a + x)
-    return groups.withColumn("center", center).select("situation_id", F.sqrt(c.dot(F.col("center"), F.col("center"))).alias("norm"), F.when(F.size("all") > 1, gaps / F.size("all")).otherwise(0.0).alias("dispersion"))
+def _spread(vectors: DataFrame, z: str = "z", n: str | None = None, dim: int = sit.DIM) -> DataFrame:
+    """(situation_id, norm, dispersion): centroid norm and mean distance to it, 0 for fewer than two vectors; n rows to each, 1 if not told.
+
+    vectors are read twice: for the sums, and for the distances.
+    """
+    rows = vectors.where(F.col(z).isNotNull()).select("situation_id", F.col(z).alias("_z"), (F.lit(1) if n is None else F.col(n)).alias("_n"))
+    sums = rows.groupBy("situation_id").agg(F.sum("_n").alias("_m"), *[F.sum(F.get("_z", F.lit(i)) * F.col("_n")).alias(f"_s{i}") for i in range(dim)])
+    centers = sums.select("situation_id", "_m", F.array(*[F.col(f"_s{i}") / F.col("_m") for i in range(dim)]).alias("center"))
+    gaps = rows.join(centers.select("situation_id", "center"), "situation_id").groupBy("situation_id").agg(F.sum(c.l2(F.col("_z"), F.col("center")) * F.col("_n")).alias("_gaps"))
+    return centers.join(gaps, "situation_id").select("situation_id", F.sqrt(c.dot(F.col("center"), F.col("center"))).alias("norm"), F.when(F.col("_m") > 1, F.col("_gaps") / F.col("_m")).otherwise(0.0).alias("dispersion"))
 
 
 def _block(df: DataFrame, family: str, values: dict[str, Column]) -> DataFrame:
@@ -55,12 +59,15 @@ def situation_features(s: sit.Situations) -> DataFrame:
     states = s.states.groupBy("situation_id").agg(F.count("*").alias("n"), F.count_distinct(some("phase")).alias("p"), F.count_distinct(some("active_player_id")).alias("a")).join(_spread(sit.state_vectors(s)), "situation_id")
     blocks = [_block(states, "state", {"n_states": col("n"), "n_phases": col("p"), "n_active_players": col("a"), "centroid_norm": col("norm"), "dispersion": col("dispersion")})]
 
-    v = sit.view_vectors(s)
-    items = col("items")
-    plain = v.groupBy("situation_id").agg(F.count("*").alias("n"), F.count_distinct("observer_id").alias("o"), F.avg(F.size(items)).alias("vol"), F.avg(sit.visibility(items)).alias("vis"), F.avg(F.size(items) - F.size(sit.known(items))).alias("hid"))
-    pairs = sit.relational.unordered_pairs(v.select("situation_id", "state_id", "ord", sit.known_ids(items).alias("k")), ["situation_id", "state_id"], "ord", ["k"])
-    apart = pairs.groupBy("situation_id").agg(F.count("*").alias("np"), F.avg(c.jaccard_distance(col("k_a"), col("k_b"))).alias("asym"))
-    perspective = plain.join(apart, "situation_id", "left").join(_spread(v), "situation_id").fillna(0, ["np", "asym"])
+    seen = materialize(sit.seen(s), "seen")
+    v = seen.where(col("state_id").isNotNull() & col("observer_id").isNotNull())
+    items, n = col("items"), F.sum("copies")
+    mean = lambda x: F.sum(x * col("copies")) / n
+    plain = v.groupBy("situation_id").agg(n.alias("n"), F.count_distinct("observer_id").alias("o"), mean(F.size(items)).alias("vol"), mean(sit.visibility(items)).alias("vis"), mean(F.size(items) - F.size(sit.known(items))).alias("hid"))
+    pairs = sit.set_distances(v.select("situation_id", "state_id", sit.known_ids(items).alias("k"), "placed"), ["situation_id", "state_id"], "k", "placed")
+    apart = pairs.groupBy("situation_id").agg(F.sum("pairs").alias("np"), (F.sum("distance") / F.sum("pairs")).alias("asym"))
+    z = v.select("situation_id", sit.view_vector(items).alias("z"), "copies")
+    perspective = plain.join(apart, "situation_id", "left").join(_spread(z, n="copies"), "situation_id").fillna(0, ["np", "asym"])
     blocks.append(_block(perspective, "perspective", {"n_observations": col("n"), "n_observers": col("o"), "mean_volume": col("vol"), "mean_visibility": col("vis"), "mean_hidden": col("hid"), "n_asymmetry_pairs": col("np"), "mean_asymmetry": col("asym"), "dispersion": col("dispersion")}))
 
     acts = s.actions.groupBy("situation_id").agg(F.count("*").alias("na"), F.count_distinct("action_type").alias("nt"), F.count_distinct(some("player_id")).alias("nw"))
@@ -78,8 +85,7 @@ def situation_features(s: sit.Situations) -> DataFrame:
     moved = sit.intervention_summaries(s).groupBy("situation_id").agg(F.count("*").alias("n"), F.avg("hide_delta").alias("h"), F.avg("reveal_delta").alias("r"))
     blocks.append(_block(moved, "intervention", {"n_items": col("n"), "mean_hide_visibility_delta": col("h"), "mean_reveal_visibility_delta": col("r")}))
 
-    directed = sit.about(s)
-    higher = directed.groupBy("situation_id").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in ("distance", "only_a", "only_b", "shared")]).join(sit.asymmetric_pairs(directed), "situation_id", "left").fillna(0)
+    higher = sit.about_sums(seen)
     blocks.append(_block(higher, "higher_order", {"n_pairs": col("n"), "mean_distance": col("distance"), "mean_only_focal": col("only_a"), "mean_only_target": col("only_b"), "mean_shared": col("shared"), "n_asymmetric": col("n_asymmetric")}))
 
     blocks.append(_block(s.situations.select("situation_id"), "region", {"n_units": F.lit(1), "dispersion": F.lit(0), "range": F.lit(0)}))
@@ -90,7 +96,10 @@ def situation_features(s: sit.Situations) -> DataFrame:
 
 
 def game_features(situations: DataFrame) -> DataFrame:
-    """(game_id, 42 columns): means over the situations in which a family is present, and the region of their whole vectors."""
+    """(game_id, 42 columns): means over the situations in which a family is present, and the region of their whole vectors.
+
+    The situations are read several times: write them first (materialize).
+    """
     means = []
     for family, names in FAMILIES.items():
         if family != "region":
@@ -99,7 +108,7 @@ def game_features(situations: DataFrame) -> DataFrame:
     whole = situations.select("game_id", "situation_id", F.array(*COLUMNS).alias("z"))
     centers = geometry.centroids(whole, "game_id", "z")
     spread = whole.join(centers, "game_id").groupBy("game_id").agg(F.when(F.count("*") > 1, F.avg(c.l2(F.col("z"), F.col("centroid")))).otherwise(0.0).alias("region__dispersion"))
-    far = sit.relational.unordered_pairs(whole, ["game_id"], "situation_id", ["z"]).groupBy("game_id").agg(F.max(c.l2(F.col("z_a"), F.col("z_b"))).alias("region__range"))
+    far = geometry.widest(whole, "game_id", "situation_id", "z").withColumnRenamed("widest", "region__range")
     units = situations.groupBy("game_id").agg(*means, F.lit(1.0).alias("region__present"), F.count("*").cast("double").alias("region__n_units"))
     return units.join(spread, "game_id").join(far, "game_id", "left").select("game_id", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in COLUMNS])
 
