@@ -241,7 +241,7 @@ def play_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def play_game_features(spark: SparkSession, sf: str) -> DataFrame:
-    return design_space.game_features(design_space.situation_features(_stored(spark, sf)))
+    return design_space.game_features(materialize(design_space.situation_features(_stored(spark, sf)), "situation-features"))
 
 
 def play_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
