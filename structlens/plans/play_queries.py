@@ -71,7 +71,8 @@ def _stored(spark: SparkSession, sf: str) -> sit.Situations:
 
 def play_measures(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics that are numbers, of every situation, state, view, transition and decision."""
-    m = examples.scalar_measurements(sit.measures(_stored(spark, sf)))
+    s = star(spark, sf)
+    m = examples.scalar_measurements(sit.measures(s, v=materialize(sit.views(s), "views")))
     return m.withColumn("value", r6(F.col("value")))
 
 
