@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from structlens.operators import design_space as ds
 from structlens.operators import geometry
 from structlens.operators import situations as sit
-from structlens.storage import materialize
+from structlens.storage import materialize, together
 
 VIEWS = ("canonical", "normalized", "projected")
 
@@ -50,14 +50,17 @@ def build_space(s: sit.Situations, train: DataFrame, n_components: int | None =
     lost = train.select("game_id").distinct().join(games.select("game_id"), "game_id", "left_anti").limit(1).collect()
     if lost:
         raise ValueError(f"no situations of train game {lost[0][0]!r}")
-    fitted = ds.fit_scaler(games.join(train.select("game_id").distinct(), "game_id", "left_semi"))
+    fitted = materialize(ds.fit_scaler(games.join(train.select("game_id").distinct(), "game_id", "left_semi")), "scaler")
     packed = lambda df, key: df.select(F.col(key).alias("id"), F.array(*ds.COLUMNS).alias("z"))
     levels = {}
     kept: tuple[int, ...] = ()
-    scaled = {"game": materialize(packed(ds.scale(games, fitted, "game_id"), "game_id"), "scaled-games"), "situation": materialize(packed(ds.scale(situations, fitted, "situation_id"), "situation_id"), "scaled-situations")}
+    of_level = lambda raw, key, name: lambda: materialize(packed(ds.scale(raw, fitted, key), key), name)
+    scaled = dict(zip(("game", "situation"), together(situations.sparkSession, of_level(games, "game_id", "scaled-games"), of_level(situations, "situation_id", "scaled-situations")), strict=True))
     if n_components is not None:
         known = scaled["game"].join(train.select(F.col("game_id").alias("id")).distinct(), "id", "left_semi")
-        kept = tuple(r["idx"] for r in geometry.leading_components(geometry.moments(known, "z"), n_components).collect())
+        # scaled columns all vary by 1: what differs by rounding alone is a tie, else the choice would change with the order of summing
+        told = geometry.moments(known, "z").withColumn("variance", F.round("variance", 9))
+        kept = tuple(r["idx"] for r in geometry.leading_components(told, n_components).collect())
     for level, raw, key in (("game", games, "game_id"), ("situation", situations, "situation_id")):
         levels[level] = {"canonical": packed(raw, key), "normalized": scaled[level]} | ({"projected": keep_components(scaled[level], kept)} if n_components is not None else {})
     return Space(levels["game"], levels["situation"], train.select(F.col("game_id").alias("id")).distinct(), kept)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from structlens.functions import columns as c
 from structlens.operators import catalog, geometry, sequence
 from structlens.operators import situations as sit
-from structlens.storage import materialize
+from structlens.storage import materialize, together
 
 #: Families and their columns, in order (fixed values).
 FAMILIES: dict[str, tuple[str, ...]] = {
@@ -42,9 +42,10 @@ def _spread(vectors: DataFrame, z: str = "z", n: str | None = None, dim: int = s
     vectors are read twice: for the sums, and for the distances.
     """
     rows = vectors.where(F.col(z).isNotNull()).select("situation_id", F.col(z).alias("_z"), (F.lit(1) if n is None else F.col(n)).alias("_n"))
-    sums = rows.groupBy("situation_id").agg(F.sum("_n").alias("_m"), *[F.sum(F.get("_z", F.lit(i)) * F.col("_n")).alias(f"_s{i}") for i in range(dim)])
-    centers = sums.select("situation_id", "_m", F.array(*[F.col(f"_s{i}") / F.col("_m") for i in range(dim)]).alias("center"))
-    gaps = rows.join(centers.select("situation_id", "center"), "situation_id").groupBy("situation_id").agg(F.sum(c.l2(F.col("_z"), F.col("center")) * F.col("_n")).alias("_gaps"))
+    sums = rows.groupBy("situation_id").agg(F.sum("_n").alias("_m"), *[F.expr(f"sum(get(_z, {i}) * _n)").alias(f"_s{i}") for i in range(dim)])
+    centers = sums.select("situation_id", "_m", F.expr(f"array({', '.join(f'_s{i} / _m' for i in range(dim))})").alias("center"))
+    squares = " + ".join(f"(get(_z, {i}) - get(center, {i})) * (get(_z, {i}) - get(center, {i}))" for i in range(dim))
+    gaps = rows.join(centers.select("situation_id", "center"), "situation_id").groupBy("situation_id").agg(F.expr(f"sum(sqrt({squares}) * _n)").alias("_gaps"))
     return centers.join(gaps, "situation_id").select("situation_id", F.sqrt(c.dot(F.col("center"), F.col("center"))).alias("norm"), F.when(F.col("_m") > 1, F.col("_gaps") / F.col("_m")).otherwise(0.0).alias("dispersion"))
 
 
@@ -52,47 +53,87 @@ def _block(df: DataFrame, family: str, values: dict[str, Column]) -> DataFrame:
     return df.select("situation_id", F.lit(1.0).alias(f"{family}__present"), *[values[n].cast("double").alias(f"{family}__{n}") for n in FAMILIES[family]])
 
 
-def situation_features(s: sit.Situations) -> DataFrame:
-    """(situation_id, game_id, 42 columns), absent families flagged 0 and padded with 0."""
+def _options_of_spaces(s: sit.Situations) -> DataFrame:
+    """(situation_id, nd, no): decision spaces and their options, a space listed twice counting twice; one shuffle of both, counted before it."""
+    col = F.col
+    either = s.decision_spaces.select("situation_id", "space_id", F.lit(1).alias("d"), F.lit(0).alias("o")).unionAll(s.decision_options.select("situation_id", "space_id", F.lit(0), F.lit(1)))
+    met = either.groupBy("situation_id", "space_id").agg(F.sum("d").alias("d"), F.sum("o").alias("o")).where(col("d") > 0)
+    return met.groupBy("situation_id").agg(F.sum("d").alias("nd"), F.sum(F.when(col("space_id").isNotNull(), col("d") * col("o")).otherwise(0)).alias("no"))
+
+
+def _state_block(s: sit.Situations) -> DataFrame:
     col = F.col
     some = lambda x: F.nullif(col(x), F.lit(""))
-    states = s.states.groupBy("situation_id").agg(F.count("*").alias("n"), F.count_distinct(some("phase")).alias("p"), F.count_distinct(some("active_player_id")).alias("a")).join(_spread(sit.state_vectors(s)), "situation_id")
-    blocks = [_block(states, "state", {"n_states": col("n"), "n_phases": col("p"), "n_active_players": col("a"), "centroid_norm": col("norm"), "dispersion": col("dispersion")})]
-
-    seen = materialize(sit.seen(s), "seen")
-    v = seen.where(col("state_id").isNotNull() & col("observer_id").isNotNull())
-    items, n = col("items"), F.sum("copies")
-    mean = lambda x: F.sum(x * col("copies")) / n
-    plain = v.groupBy("situation_id").agg(n.alias("n"), F.count_distinct("observer_id").alias("o"), mean(F.size(items)).alias("vol"), mean(sit.visibility(items)).alias("vis"), mean(F.size(items) - F.size(sit.known(items))).alias("hid"))
-    pairs = sit.set_distances(v.select("situation_id", "state_id", sit.known_ids(items).alias("k"), "placed"), ["situation_id", "state_id"], "k", "placed")
+    vectors = materialize(sit.state_vectors(s), "state-vectors")
+    states = s.states.groupBy("situation_id").agg(F.count("*").alias("n"), F.count_distinct(some("phase")).alias("p"), F.count_distinct(some("active_player_id")).alias("a")).join(_spread(vectors), "situation_id")
+    return _block(states, "state", {"n_states": col("n"), "n_phases": col("p"), "n_active_players": col("a"), "centroid_norm": col("norm"), "dispersion": col("dispersion")})
+
+
+def _view_blocks(v: DataFrame) -> list[DataFrame]:
+    """Of perspectives and of interventions, from the rows of sit.view_summaries."""
+    col = F.col
+    n, units = F.sum("copies"), F.sum(F.when(col("same").isNotNull(), col("copies")))
+    mean = lambda x, total=n: F.sum(x * col("copies")) / total
+    visible = lambda known: F.try_divide(known, col("n"))
+    now = F.coalesce(visible(col("n_known")), F.lit(0.0))
+    hidden, revealed = visible(col("n_known") - col("same_known")) - now, visible(col("n_known") + col("same") - col("same_known")) - now  # see sit.intervention_summaries; null without an item to change
+    plain = v.groupBy("situation_id").agg(
+        n.alias("n"), F.count_distinct("observer_id").alias("o"), mean(col("n")).alias("vol"), mean(now).alias("vis"), mean(col("n") - col("n_known")).alias("hid"),
+        units.alias("ni"), mean(hidden, units).alias("hide"), mean(revealed, units).alias("reveal"),
+    )
+    pairs = sit.set_distances(v.select("situation_id", "state_id", col("known").alias("k"), "placed"), ["situation_id", "state_id"], "k", "placed")
     apart = pairs.groupBy("situation_id").agg(F.sum("pairs").alias("np"), (F.sum("distance") / F.sum("pairs")).alias("asym"))
-    z = v.select("situation_id", sit.view_vector(items).alias("z"), "copies")
-    perspective = plain.join(apart, "situation_id", "left").join(_spread(z, n="copies"), "situation_id").fillna(0, ["np", "asym"])
-    blocks.append(_block(perspective, "perspective", {"n_observations": col("n"), "n_observers": col("o"), "mean_volume": col("vol"), "mean_visibility": col("vis"), "mean_hidden": col("hid"), "n_asymmetry_pairs": col("np"), "mean_asymmetry": col("asym"), "dispersion": col("dispersion")}))
+    perspective = plain.join(apart, "situation_id", "left").join(_spread(v.select("situation_id", "z", "copies"), n="copies"), "situation_id").fillna(0, ["np", "asym"])
+    perspective = materialize(perspective, "perspectives")
+    return [
+        _block(perspective, "perspective", {"n_observations": col("n"), "n_observers": col("o"), "mean_volume": col("vol"), "mean_visibility": col("vis"), "mean_hidden": col("hid"), "n_asymmetry_pairs": col("np"), "mean_asymmetry": col("asym"), "dispersion": col("dispersion")}),
+        _block(perspective.where("ni > 0"), "intervention", {"n_items": col("ni"), "mean_hide_visibility_delta": col("hide"), "mean_reveal_visibility_delta": col("reveal")}),
+    ]
+
 
-    acts = s.actions.groupBy("situation_id").agg(F.count("*").alias("na"), F.count_distinct("action_type").alias("nt"), F.count_distinct(some("player_id")).alias("nw"))
+def _higher_block(v: DataFrame) -> DataFrame:
+    col = F.col
+    return _block(sit.about_sums(v), "higher_order", {"n_pairs": col("n"), "mean_distance": col("distance"), "mean_only_focal": col("only_a"), "mean_only_target": col("only_b"), "mean_shared": col("shared"), "n_asymmetric": col("n_asymmetric")})
+
+
+def _action_block(s: sit.Situations) -> DataFrame:
+    col = F.col
+    acts = s.actions.groupBy("situation_id").agg(F.count("*").alias("na"), F.count_distinct("action_type").alias("nt"), F.count_distinct(F.nullif(col("player_id"), F.lit(""))).alias("nw"))
     moves = s.transitions.groupBy("situation_id").agg(F.count("*").alias("nm"))
-    spaces = sit.options(s).groupBy("situation_id").agg(F.count("*").alias("nd"), F.sum("options").alias("no"))
+    spaces = _options_of_spaces(s)
     any_of = acts.select("situation_id").union(moves.select("situation_id")).union(spaces.select("situation_id")).distinct()
-    action = any_of.join(acts, "situation_id", "left").join(moves, "situation_id", "left").join(spaces, "situation_id", "left").join(_spread(sit.action_sets(s)).select("situation_id", "dispersion"), "situation_id", "left").fillna(0)
-    blocks.append(_block(action, "action", {"n_actions": col("na"), "n_action_types": col("nt"), "n_transitions": col("nm"), "n_actors": col("nw"), "n_decision_spaces": col("nd"), "n_decision_options": col("no"), "dispersion": col("dispersion")}))
+    action = any_of.join(acts, "situation_id", "left").join(moves, "situation_id", "left").join(spaces, "situation_id", "left").join(_spread(materialize(sit.action_sets(s), "action-sets")).select("situation_id", "dispersion"), "situation_id", "left").fillna(0)
+    return _block(action, "action", {"n_actions": col("na"), "n_action_types": col("nt"), "n_transitions": col("nm"), "n_actors": col("nw"), "n_decision_spaces": col("nd"), "n_decision_options": col("no"), "dispersion": col("dispersion")})
 
+
+def _sequence_block(s: sit.Situations) -> DataFrame:
+    col = F.col
     actionable = s.transitions.where(F.size("action_ids") > 0)
     chains = sequence.chains(actionable, "situation_id", "transition_id", "from_state_id", "to_state_id", "ord").where(col("chain").isNotNull())
     lengths = chains.groupBy("situation_id", "chain").agg(F.count("*").alias("steps")).groupBy("situation_id").agg(F.count("*").alias("n"), F.avg("steps").alias("m"), F.max("steps").alias("x"))
-    blocks.append(_block(lengths, "sequence", {"n_trajectories": col("n"), "mean_steps": col("m"), "max_steps": col("x")}))
+    return _block(lengths, "sequence", {"n_trajectories": col("n"), "mean_steps": col("m"), "max_steps": col("x")})
 
-    moved = sit.intervention_summaries(s).groupBy("situation_id").agg(F.count("*").alias("n"), F.avg("hide_delta").alias("h"), F.avg("reveal_delta").alias("r"))
-    blocks.append(_block(moved, "intervention", {"n_items": col("n"), "mean_hide_visibility_delta": col("h"), "mean_reveal_visibility_delta": col("r")}))
 
-    higher = sit.about_sums(seen)
-    blocks.append(_block(higher, "higher_order", {"n_pairs": col("n"), "mean_distance": col("distance"), "mean_only_focal": col("only_a"), "mean_only_target": col("only_b"), "mean_shared": col("shared"), "n_asymmetric": col("n_asymmetric")}))
+def situation_features(s: sit.Situations) -> DataFrame:
+    """(situation_id, game_id, 42 columns), absent families flagged 0 and padded with 0.
 
-    blocks.append(_block(s.situations.select("situation_id"), "region", {"n_units": F.lit(1), "dispersion": F.lit(0), "range": F.lit(0)}))
-    out = s.situations.select("situation_id", "game_id")
-    for block in blocks:
+    Families are worked out side by side and written, a row per situation; the
+    views are summed up once for all that is told of them.
+    """
+    spark = s.situations.sparkSession
+    kept = lambda block: materialize(block, "family")
+
+    def of_views() -> list[DataFrame]:
+        seen = materialize(sit.view_summaries(s), "view-summaries")
+        v = seen.where(F.col("state_id").isNotNull() & F.col("observer_id").isNotNull())
+        views, higher = together(spark, lambda: _view_blocks(v), lambda: kept(_higher_block(v)))
+        return [*views, higher]
+
+    parts = together(spark, of_views, lambda: kept(_action_block(s)), lambda: kept(_state_block(s)), lambda: kept(_sequence_block(s)), lambda: materialize(s.situations.select("situation_id", "game_id"), "games-of-situations"))
+    out = parts.pop()
+    for block in [*parts[0], *parts[1:], _block(out, "region", {"n_units": F.lit(1), "dispersion": F.lit(0), "range": F.lit(0)})]:
         out = out.join(block, "situation_id", "left")
-    return out.select("situation_id", "game_id", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in COLUMNS])
+    return out.select("situation_id", "game_id", *[F.expr(f"coalesce({x}, 0D) AS {x}") for x in COLUMNS])
 
 
 def game_features(situations: DataFrame) -> DataFrame:
@@ -103,27 +144,26 @@ def game_features(situations: DataFrame) -> DataFrame:
     means = []
     for family, names in FAMILIES.items():
         if family != "region":
-            there = F.col(f"{family}__present") == 1
-            means += [F.max(f"{family}__present").alias(f"{family}__present"), *[F.coalesce(F.avg(F.when(there, F.col(f"{family}__{n}"))), F.lit(0.0)).alias(f"{family}__{n}") for n in names]]
+            means += [F.expr(f"max({family}__present)").alias(f"{family}__present"), *[F.expr(f"coalesce(avg(CASE WHEN {family}__present = 1 THEN {family}__{n} END), 0D)").alias(f"{family}__{n}") for n in names]]
     whole = situations.select("game_id", "situation_id", F.array(*COLUMNS).alias("z"))
     centers = geometry.centroids(whole, "game_id", "z")
     spread = whole.join(centers, "game_id").groupBy("game_id").agg(F.when(F.count("*") > 1, F.avg(c.l2(F.col("z"), F.col("centroid")))).otherwise(0.0).alias("region__dispersion"))
     far = geometry.widest(whole, "game_id", "situation_id", "z").withColumnRenamed("widest", "region__range")
     units = situations.groupBy("game_id").agg(*means, F.lit(1.0).alias("region__present"), F.count("*").cast("double").alias("region__n_units"))
-    return units.join(spread, "game_id").join(far, "game_id", "left").select("game_id", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in COLUMNS])
+    return units.join(spread, "game_id").join(far, "game_id", "left").selectExpr("game_id", *[f"coalesce({x}, 0D) AS {x}" for x in COLUMNS])
 
 
 def fit_scaler(train: DataFrame) -> DataFrame:
     """One row of population means and deviations of the value columns, padded zeros included; deviation 1 without variance."""
     names = [x for x in COLUMNS if not x.endswith("__present")]
-    return train.agg(*[F.avg(x).alias(f"m_{x}") for x in names], *[F.when(F.stddev_pop(x) > 0, F.stddev_pop(x)).otherwise(1.0).alias(f"s_{x}") for x in names])
+    return train.groupBy().agg(*[F.expr(f"avg({x})").alias(f"m_{x}") for x in names], *[F.expr(f"CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1D END").alias(f"s_{x}") for x in names])
 
 
 def scale(df: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     """Value columns scaled, those of absent families back to 0; flags as they are."""
-    def scaled(x: str) -> Column:
+    def scaled(x: str) -> str:
         if x.endswith("__present"):
-            return F.col(x)
-        return F.when(F.col(f"{x.split('__')[0]}__present") == 1, (F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}")).otherwise(0.0).alias(x)
+            return x
+        return f"CASE WHEN {x.split('__')[0]}__present = 1 THEN ({x} - m_{x}) / s_{x} ELSE 0D END AS {x}"
 
-    return df.crossJoin(F.broadcast(fitted)).select(key, *[scaled(x) for x in COLUMNS])  # fitted is one row
+    return df.crossJoin(F.broadcast(fitted)).selectExpr(key, *[scaled(x) for x in COLUMNS])  # fitted is one row

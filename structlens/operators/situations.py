@@ -16,9 +16,12 @@ situation_id, label). `ord` is the place in the authored list: every "first" and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,13 @@ class Situations:
     interpretations: DataFrame
 
 
+def first_spaces(s: Situations) -> DataFrame:
+    """(situation_id, state_id, observer_id, information_space_id, copies, placed): the space of an observer's first observation at a state; see seen."""
+    key = ["situation_id", "state_id", "observer_id"]
+    first = s.observations.groupBy(*key).agg(F.min_by(F.struct("information_space_id"), F.struct("ord")).alias("_first"), F.count("*").alias("copies"), F.count("ord").alias("placed"))
+    return first.select(*key, F.col("_first.information_space_id").alias("information_space_id"), "copies", "placed")
+
+
 def seen(s: Situations) -> DataFrame:
     """(situation_id, state_id, observer_id, items, copies, placed): one row for all observations of an observer at a state.
 
@@ -50,11 +60,9 @@ def seen(s: Situations) -> DataFrame:
     others name. copies counts the observations, placed those with an `ord`.
     """
     key = ["situation_id", "state_id", "observer_id"]
-    first = s.observations.groupBy(*key).agg(F.min_by(F.struct("information_space_id"), F.struct("ord")).alias("_first"), F.count("*").alias("copies"), F.count("ord").alias("placed"))
-    first = first.select(*key, F.col("_first.information_space_id").alias("information_space_id"), "copies", "placed")
     entry = F.struct("ord", "item_id", "visibility", "about", F.coalesce(F.size("known_to"), F.lit(0)).alias("known_to_n"), "content_known", "holder_id", F.array_sort(F.coalesce(F.json_object_keys("payload"), F.array())).alias("payload_keys"))
     items = s.info_items.groupBy("situation_id", "information_space_id").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    return first.join(items, ["situation_id", "information_space_id"], "left").select(*key, F.coalesce("items", F.array()).alias("items"), "copies", "placed")
+    return first_spaces(s).join(items, ["situation_id", "information_space_id"], "left").select(*key, F.coalesce("items", F.array()).alias("items"), "copies", "placed")
 
 
 def views(s: Situations) -> DataFrame:
@@ -179,12 +187,12 @@ def cosine_sums(df: DataFrame, within: Sequence[str], vector: str, n: str, dim:
     The cosines of all pairs add up to half of what the squared length of the
     summed unit vectors has over the summed squares, so no pair is formed.
     """
-    z = df.select(*within, F.col(n).alias("_n"), F.col(vector).alias("_z"), F.nullif(c.dot(F.col(vector), F.col(vector)), F.lit(0.0)).alias("_d"))
-    unit = z.select(*within, "_n", *[(F.get("_z", F.lit(i)) / F.sqrt("_d")).alias(f"_u{i}") for i in range(dim)])
-    squares = sum((F.col(f"_u{i}") * F.col(f"_u{i}") for i in range(1, dim)), F.col("_u0") * F.col("_u0"))
-    sums = unit.groupBy(*within).agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(F.col("_u0").isNotNull(), F.col("_n"))), F.lit(0)).alias("_m"), F.sum(F.col("_n") * squares).alias("_q"), *[F.sum(F.col("_n") * F.col(f"_u{i}")).alias(f"_u{i}") for i in range(dim)])
-    length = sum((F.col(f"_u{i}") * F.col(f"_u{i}") for i in range(1, dim)), F.col("_u0") * F.col("_u0"))
-    return sums.select(*within, "rows", F.coalesce((F.col("_m") * (F.col("_m") - 1) - (length - F.col("_q"))) / 2, F.lit(0.0)).alias("distance"))
+    add = lambda term: " + ".join(term.format(i=i) for i in range(dim))
+    z = df.select(*within, F.col(n).alias("_n"), F.col(vector).alias("_z")).withColumn("_d", F.expr(f"nullif({add('get(_z, {i}) * get(_z, {i})')}, 0D)"))
+    unit = z.selectExpr(*within, "_n", *[f"get(_z, {i}) / sqrt(_d) AS _u{i}" for i in range(dim)])
+    squares, sums = add("_u{i} * _u{i}"), [F.expr(f"sum(_n * _u{i})").alias(f"_u{i}") for i in range(dim)]
+    totals = unit.groupBy(*within).agg(F.sum("_n").alias("rows"), F.expr("coalesce(sum(CASE WHEN _u0 IS NOT NULL THEN _n END), 0)").alias("_m"), F.expr(f"sum(_n * ({squares}))").alias("_q"), *sums)
+    return totals.select(*within, "rows", F.expr(f"coalesce((_m * (_m - 1) - (({squares}) - _q)) / 2, 0D)").alias("distance"))
 
 
 def bag_vector(tokens: Column, stats: Sequence[Column], dim: int = DIM) -> Column:
@@ -218,8 +226,12 @@ def state_vectors(s: Situations, dim: int = DIM) -> DataFrame:
     return both.select(*key, bag_vector(tokens, [F.size("pairs"), F.coalesce("turn_number", F.lit(0)), on("phase"), on("active_player_id")], dim).alias("z"))
 
 
+def item_token(visibility: Column, content_known: Column, about: Column, holder_id: Column, payload_keys: Column) -> Column:
+    return F.concat(F.lit("vis="), shown(visibility), F.lit("|known="), content_known.cast("int").cast("string"), F.lit("|about="), shown(about), F.lit("|holder="), shown(holder_id), F.lit("|keys="), F.array_join(payload_keys, ","))
+
+
 def view_vector(items: Column, dim: int = DIM) -> Column:
-    tokens = F.transform(items, lambda i: F.concat(F.lit("vis="), shown(i["visibility"]), F.lit("|known="), i["content_known"].cast("int").cast("string"), F.lit("|about="), shown(i["about"]), F.lit("|holder="), shown(i["holder_id"]), F.lit("|keys="), F.array_join(i["payload_keys"], ",")))
+    tokens = F.transform(items, lambda i: item_token(i["visibility"], i["content_known"], i["about"], i["holder_id"], i["payload_keys"]))
     n, k = F.size(items), F.size(known(items))
     return bag_vector(tokens, [n, k, n - k, F.size(F.filter(items, lambda i: i["visibility"] == "unknown_to_self"))], dim)
 
@@ -228,6 +240,105 @@ def view_vectors(s: Situations, dim: int = DIM) -> DataFrame:
     return views(s).select("situation_id", "ord", "observation_id", "state_id", "observer_id", "items", view_vector(F.col("items"), dim).alias("z"))
 
 
+def view_summaries(s: Situations, dim: int = DIM) -> DataFrame:
+    """(situation_id, state_id, observer_id, copies, placed, n, n_known, same, same_known, known, z): the rows of seen with figures of the items instead of items.
+
+    n items, n_known of them known, known their different ids, z the view_vector;
+    same is the number of items with the id of the first one that has an id, null
+    without one, same_known how many of those are known. The items of a space
+    and the views of it meet in one sort and are summed as they stream by, so
+    each item is hashed once and no list of items is formed. A task holds a
+    space's items at a time.
+    """
+    key, col = ["situation_id", "information_space_id"], F.col
+    payload_keys = F.sort_array(F.coalesce(F.json_object_keys("payload"), F.array()))
+    token = item_token(col("visibility"), col("content_known"), col("about"), col("holder_id"), payload_keys)
+    items = s.info_items.where(col(key[0]).isNotNull() & col(key[1]).isNotNull())  # null meets no view
+    items = items.select(*key, F.lit(0).alias("kind"), "ord", "item_id", token.alias("token"), F.coalesce("content_known", F.lit(False)).alias("known"), F.coalesce(col("visibility") == "unknown_to_self", F.lit(False)).alias("blind"))
+    rows = items.unionByName(first_spaces(s).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "kind", "ord", "item_id", "token").drop("ord")
+    text = {x: rows.schema[x].dataType.simpleString() for x in ("situation_id", "state_id", "observer_id", "item_id")}
+    shape = f"situation_id {text['situation_id']}, state_id {text['state_id']}, observer_id {text['observer_id']}, copies bigint, placed bigint, n int, n_known int, same int, same_known int, known array<{text['item_id']}>, z array<double>"
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the space that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(_run_starts(batch, key)[-1])
+            goes_on = bool(held) and all(batch.column(x)[0] == held[-1].column(x)[held[-1].num_rows - 1] for x in key)
+            if last == 0 and goes_on:
+                held.append(batch)
+                continue
+            whole = [*held, batch.slice(0, last)] if last else held
+            if whole:
+                yield from summed_views(whole, key, dim)
+            held = [batch.slice(last)]
+        if held:
+            yield from summed_views(held, key, dim)
+
+    return rows.mapInArrow(stream, shape)
+
+
+def _run_starts(batch: pa.RecordBatch | pa.Table, key: Sequence[str]) -> np.ndarray:
+    """Where rows begin that differ from the row before in the key."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for x in key:
+        codes = _codes(batch.column(x))
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A number for each different value, null among them."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def summed_views(batches: Sequence[pa.RecordBatch], key: Sequence[str], dim: int) -> Iterator[pa.RecordBatch]:
+    """The rows of view_summaries of whole spaces, whose items come before their views."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    starts = _run_starts(rows, key)
+    spaces = len(starts)
+    of = np.repeat(np.arange(spaces), np.diff(np.r_[starts, rows.num_rows]))
+    is_view = rows.column("kind").to_numpy() == 1
+    item, at = rows.filter(pa.array(~is_view)), of[~is_view]
+    count = lambda mask: np.bincount(at[mask], minlength=spaces)
+    known, blind = (item.column(x).to_numpy().astype(bool) for x in ("known", "blind"))
+    n, n_known, n_blind = np.bincount(at, minlength=spaces), count(known), count(blind)
+
+    tokens = item.column("token").to_pylist()
+    digests = np.frombuffer(b"".join(hashlib.sha256((x or "").encode()).digest() for x in tokens), np.uint8).reshape(-1, 32)
+    width = dim if dim <= 4 else dim - 4  # see bag_vector
+    z = [np.bincount(at, digests[:, i % 32] / 127.5 - 1.0, spaces) / np.maximum(n, 1) for i in range(width)]  # added up in the order of the items
+    lost = np.bincount(at[item.column("token").is_null().to_numpy()], minlength=spaces) > 0
+    z = np.stack([*z, *([] if dim <= 4 else [n, n_known, n - n_known, n_blind])], axis=1)
+
+    ids = item.column("item_id")
+    codes = _codes(ids)
+    each, place = np.unique(at[known] * (len(codes) + 1) + codes[known], return_index=True)
+    bounds = np.searchsorted(each, np.arange(spaces + 1) * (len(codes) + 1)).astype(np.int32)
+    sets = pa.ListArray.from_arrays(pa.array(bounds), ids.combine_chunks().filter(pa.array(known)).take(pa.array(place)))
+    named = np.flatnonzero(np.array([bool(x) for x in ids.to_pylist()], bool))
+    having, place = np.unique(at[named], return_index=True)
+    first = np.full(spaces, -1, np.int64)
+    first[having] = codes[named[place]]
+    alike = codes == first[at]
+
+    view, of = rows.filter(pa.array(is_view)), of[is_view]
+    if not len(of):
+        return
+    unnamed, flat = first[of] < 0, z[of].ravel()
+    missing = np.zeros((len(of), z.shape[1]), bool)
+    missing[:, :width] = lost[of][:, None]
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * z.shape[1]), pa.array(flat, mask=missing.ravel()))
+    number = lambda x, mask=None: pa.array(x[of].astype(np.int32), mask=mask)
+    columns = {x: view.column(x).combine_chunks() for x in ("situation_id", "state_id", "observer_id", "copies", "placed")}
+    columns |= {"n": number(n), "n_known": number(n_known), "same": number(count(alike), unnamed), "same_known": number(count(alike & known), unnamed), "known": sets.take(pa.array(of)), "z": vectors}
+    yield from pa.table(columns).to_batches()
+
+
 def action_sets(s: Situations, dim: int = DIM) -> DataFrame:
     """(situation_id, transition_id, set_key, z): the action set of every transition with actions; a missing action stops the job."""
     return encoded_action_sets(s, s.transitions.where(F.size("action_ids") > 0), dim)
@@ -305,26 +416,34 @@ def about(s: Situations, dim: int = DIM) -> DataFrame:
     return about_counts(s, dim).withColumn("vector", F.concat("z_a", "z_b", F.zip_with("z_a", "z_b", lambda x, y: x - y), extras)).drop("z_a", "z_b")
 
 
-def about_sums(seen_once: DataFrame, dim: int = DIM) -> DataFrame:
-    """(situation_id, n, distance, only_a, only_b, shared, n_asymmetric) of rows like those of seen: means over the ordered pairs of about, no pair formed."""
+def about_sums(summaries: DataFrame, dim: int = DIM) -> DataFrame:
+    """(situation_id, n, distance, only_a, only_b, shared, n_asymmetric) of the rows of view_summaries: means over the ordered pairs of about, no pair formed.
+
+    The rows are read several times: write them first (materialize).
+    """
     state, col = ["situation_id", "state_id"], F.col
-    z = seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select(*state, view_vector(col("items"), dim).alias("z"), F.lit(1).alias("n"))
-    apart = cosine_sums(z, state, "z", "n", dim).where(col("rows") > 1).groupBy("situation_id").agg(F.sum(col("rows") * (col("rows") - 1)).alias("n"), F.sum(col("distance") * 2).alias("distance"))
-    ids = seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select(*state, known_ids(col("items")).alias("k"))
-    held = ids.select(*state, F.explode("k").alias("i")).groupBy(*state, "i").agg(F.count("*").alias("c")).groupBy("situation_id").agg(F.sum(col("c") * (col("c") - 1)).alias("shared"))
-    sizes = ids.groupBy(*state).agg(F.count("*").alias("m"), F.sum(F.size("k")).alias("k")).groupBy("situation_id").agg(F.sum(col("k") * (col("m") - 1)).alias("known"))
-    out = apart.join(held, "situation_id", "left").join(sizes, "situation_id").join(asymmetric_counts(seen_once, dim), "situation_id", "left").fillna(0, ["shared", "n_asymmetric"])
+    v = summaries.where(col("state_id").isNotNull() & col("observer_id").isNotNull())
+    apart = cosine_sums(v.select(*state, "z", F.lit(1).alias("n")), state, "z", "n", dim).where(col("rows") > 1).groupBy("situation_id").agg(F.sum(col("rows") * (col("rows") - 1)).alias("n"), F.sum(col("distance") * 2).alias("distance"))
+    held = v.select(*state, F.explode("known").alias("i")).groupBy(*state, "i").agg(F.count("*").alias("c")).groupBy("situation_id").agg(F.sum(col("c") * (col("c") - 1)).alias("shared"))
+    sizes = v.groupBy(*state).agg(F.count("*").alias("m"), F.sum(F.size("known")).alias("k")).groupBy("situation_id").agg(F.sum(col("k") * (col("m") - 1)).alias("known"))
+    uneven = unequal_pairs(v.select(*state, "z", F.size("known").alias("k")))
+    out = apart.join(held, "situation_id", "left").join(sizes, "situation_id").join(uneven, "situation_id", "left").fillna(0, ["shared", "n_asymmetric"])
     only = (col("known") - col("shared")) / col("n")
     return out.select("situation_id", "n", (col("distance") / col("n")).alias("distance"), only.alias("only_a"), only.alias("only_b"), (col("shared") / col("n")).alias("shared"), "n_asymmetric")
 
 
 def asymmetric_counts(seen_once: DataFrame, dim: int = DIM) -> DataFrame:
-    """What asymmetric_pairs tells of about, without its pairs: the two directions are equal where vectors are and as many ids are known.
+    """What asymmetric_pairs tells of about, without its pairs: the two directions are equal where vectors are and as many ids are known."""
+    col = F.col
+    return unequal_pairs(seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select("situation_id", "state_id", view_vector(col("items"), dim).alias("z"), F.size(known_ids(col("items"))).alias("k")))
+
+
+def unequal_pairs(z: DataFrame) -> DataFrame:
+    """(situation_id, n_asymmetric): unordered pairs of rows (situation_id, state_id, z, k) of a state that differ in z or k.
 
     Vectors are told apart by 128 bits of hash.
     """
     state, col = ["situation_id", "state_id"], F.col
-    z = seen_once.where(col("state_id").isNotNull() & col("observer_id").isNotNull()).select(*state, view_vector(col("items"), dim).alias("z"), F.size(known_ids(col("items"))).alias("k"))
     equal = z.select(*state, "k", F.xxhash64("z").alias("d1"), F.xxhash64(F.lit(1), "z", F.lit("z")).alias("d2")).groupBy(*state, "k", "d1", "d2").agg(F.count("*").alias("n"))
     per_state = equal.groupBy(*state).agg(F.sum("n").alias("m"), F.sum(F.expr("n * (n - 1) div 2")).alias("same")).where(col("m") > 1)
     return per_state.groupBy("situation_id").agg(F.sum(F.expr("m * (m - 1) div 2 - same")).alias("n_asymmetric"))

@@ -9,6 +9,8 @@ fixed rules, so that SQL can tell the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("observation_id", F.concat_ws("/", "state_id", "observer_id")).withColumn("action_type", action)
 
 
-def star(spark: SparkSession, sf: str) -> sit.Situations:
+def star(spark: SparkSession, sf: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> sit.Situations:
+    """keep: what becomes of the aggregates of events that several tables derive from; as they are if not told."""
     e = _events(spark, sf)
     kind, nth = F.col("event_type"), F.col("event_id")
     day = F.substr("situation_id", F.lit(9), F.lit(2)).cast("int")
@@ -40,11 +43,11 @@ def star(spark: SparkSession, sf: str) -> sit.Situations:
     )
     first = F.struct("ts", "event_id")
     states = e.groupBy("situation_id", "state_id", "b").agg(F.min_by(F.struct("observer_id", "event_type", "props"), first).alias("_f"), F.sort_array(F.collect_list(F.when(nth % 2 == 0, nth))).alias("_acts"))
-    states = states.select(
+    states = keep(states.select(
         "situation_id", F.col("b").cast("bigint").alias("ord"), "state_id", F.when(F.col("b") % 7 != 0, F.col("b")).alias("turn_number"), F.when(F.col("_f.event_type") != "error", F.col("_f.observer_id")).alias("active_player_id"),
         F.when(F.col("b") < 72, "early").when(F.col("b") % 5 != 0, "late").alias("phase"), F.col("_f.props").alias("data"), F.transform("_acts", lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("_acts"),
-    )
-    views = e.select("situation_id", "state_id", "observation_id", "observer_id", "user_id", "b").distinct()
+    ), "play-states")
+    views = keep(e.select("situation_id", "state_id", "observation_id", "observer_id", "user_id", "b").distinct(), "play-views")
     place = (F.col("b").cast("bigint") * 100000 + F.col("user_id")).alias("ord")
     observations = views.select("situation_id", place, "observation_id", "state_id", "observer_id", F.col("observation_id").alias("information_space_id"))
     seen_as = F.when(kind == "error", "unknown_to_self").when(kind == "signup", "private").when(kind == "view", "public").when(kind == "click", "other_private").otherwise("hidden")
@@ -69,6 +72,11 @@ def _stored(spark: SparkSession, sf: str) -> sit.Situations:
     return sit.Situations(**{name: materialize(getattr(s, name), f"play-{name}") for name in s.__dataclass_fields__})
 
 
+def _shared(spark: SparkSession, sf: str) -> sit.Situations:
+    """The star with only its aggregates of events written, for queries that use each table once or twice; the others are plain columns of events."""
+    return star(spark, sf, materialize)
+
+
 def play_measures(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics that are numbers, of every situation, state, view, transition and decision."""
     s = star(spark, sf)
@@ -239,11 +247,11 @@ def play_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def play_features(spark: SparkSession, sf: str) -> DataFrame:
     """The 42 columns of every situation."""
-    return design_space.situation_features(_stored(spark, sf))
+    return design_space.situation_features(_shared(spark, sf))
 
 
 def play_game_features(spark: SparkSession, sf: str) -> DataFrame:
-    return design_space.game_features(materialize(design_space.situation_features(_stored(spark, sf)), "situation-features"))
+    return design_space.game_features(materialize(design_space.situation_features(_shared(spark, sf)), "situation-features"))
 
 
 def play_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +262,7 @@ def play_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _space(spark: SparkSession, sf: str) -> design_geometry.Space:
-    s = _stored(spark, sf)
+    s = _shared(spark, sf)
     train = linear.split_by_hash(s.situations.select("game_id").distinct(), "game_id", 3, 30).where("side = 'train'").select("game_id")
     return design_geometry.build_space(s, materialize(train, "train-games"), 5)
 

@@ -275,3 +275,10 @@ def test_widest_pair_in_blocks(spark, monkeypatch):
         else:
             a, b = z[r.id_a], z[r.id_b]
             assert r.l2 == pytest.approx(np.linalg.norm(a - b)) and r.cosine == pytest.approx(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+
+def test_components_that_vary_alike_are_kept_by_place(spark, star):
+    """Scaled columns vary by 1 or not at all; rounding decides nothing."""
+    space = design_geometry.build_space(star, spark.createDataFrame([("g",), ("h",)], "game_id string"), 5)
+    z = np.array([r.z for r in space.view("game").collect() if r.id in ("g", "h")])
+    assert list(space.kept) == [int(i) for i in np.flatnonzero(z.var(0) > 0.5)[:5]]

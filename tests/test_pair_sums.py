@@ -111,3 +111,41 @@ def test_the_range_of_a_game_comes_in_blocks(spark, star):
         rows.setdefault(r.game_id, []).append(np.array([r[x] for x in design_space.COLUMNS]))
     got = {r.game_id: r.region__range for r in games.collect()}
     assert got == {g: pytest.approx(max([np.linalg.norm(a - b) for a, b in itertools.combinations(z, 2)], default=0.0)) for g, z in rows.items()}
+
+
+def test_view_summaries_tell_what_the_items_tell(spark, star):
+    """Also where the rows of a space come in several batches."""
+    col = sit.F.col
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r.state_id, r.observer_id): r for r in sit.view_summaries(star).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sit.seen(star).withColumn("z", sit.view_vector(col("items"))).collect()
+    assert len(got) == len(want)
+    for r in want:
+        mine, ids = got[r.state_id, r.observer_id], [i.item_id for i in r["items"]]
+        known = [i.item_id for i in r["items"] if i.content_known]
+        assert (mine.copies, mine.placed, mine.n, mine.n_known, mine.z) == (r.copies, r.placed, len(ids), len(known), r.z)
+        assert (set(mine.known), len(mine.known)) == (set(known), len(set(known)))
+        assert (mine.same, mine.same_known) == (ids.count(ids[0]), known.count(ids[0]))
+
+
+def test_view_summaries_of_views_without_items(spark):
+    """A space without items or without a name, items without an id, two views of a space, an unknown that is null."""
+    none = [spark.createDataFrame([], "situation_id string")] * 7
+    items = spark.createDataFrame([("s", "i", 2, "x", None, False), ("s", "i", 1, "", "unknown_to_self", True), ("s", "j", 1, "y", "public", None), (None, None, 1, "lost", "public", True)], "situation_id string, information_space_id string, ord int, item_id string, visibility string, content_known boolean")
+    items = items.selectExpr("*", "'a' AS about", "array('p') AS known_to", "'{}' AS payload", "'h' AS holder_id")
+    views = spark.createDataFrame([("s", 1, "t", "p", "i"), ("s", 2, "t", "q", "i"), ("s", 3, "t", "r", "nothing"), ("s", 4, "t", "u", None), ("s", 5, "t", "v", "j"), ("s", 6, "t", "v", "i")], "situation_id string, ord int, state_id string, observer_id string, information_space_id string")
+    s = sit.Situations(none[0], none[1], views, items, *none[2:])
+    got = {r.observer_id: r for r in sit.view_summaries(s).collect()}
+    assert {k: (r.copies, r.n, r.n_known, r.same, r.same_known, r.known) for k, r in got.items()} == {
+        "p": (1, 2, 1, 1, 0, [""]), "q": (1, 2, 1, 1, 0, [""]), "r": (1, 0, 0, None, None, []), "u": (1, 0, 0, None, None, []), "v": (2, 1, 0, 1, 0, []),
+    }
+    assert {r.observer_id: r.z for r in sit.seen(s).select("observer_id", sit.view_vector(sit.F.col("items")).alias("z")).collect()} == {k: r.z for k, r in got.items()}
+
+
+def test_features_hash_no_item_again(star):
+    """The views are summed up once and written; nothing that follows reads items."""
+    plan = design_space.situation_features(star)._jdf.queryExecution().analyzed().toString()
+    assert "sha2" not in plan and "payload" not in plan
