@@ -100,9 +100,8 @@ def _action_block(s: sit.Situations) -> DataFrame:
     col = F.col
     acts = s.actions.groupBy("situation_id").agg(F.count("*").alias("na"), F.count_distinct("action_type").alias("nt"), F.count_distinct(F.nullif(col("player_id"), F.lit(""))).alias("nw"))
     moves = s.transitions.groupBy("situation_id").agg(F.count("*").alias("nm"))
-    spaces = _options_of_spaces(s)
-    any_of = acts.select("situation_id").union(moves.select("situation_id")).union(spaces.select("situation_id")).distinct()
-    action = any_of.join(acts, "situation_id", "left").join(moves, "situation_id", "left").join(spaces, "situation_id", "left").join(_spread(materialize(sit.action_sets(s), "action-sets")).select("situation_id", "dispersion"), "situation_id", "left").fillna(0)
+    spread = _spread(materialize(sit.action_sets(s), "action-sets")).select("situation_id", "dispersion")
+    action = acts.join(moves, "situation_id", "full").join(_options_of_spaces(s), "situation_id", "full").join(spread, "situation_id", "left").fillna(0)  # each is worked out once
     return _block(action, "action", {"n_actions": col("na"), "n_action_types": col("nt"), "n_transitions": col("nm"), "n_actors": col("nw"), "n_decision_spaces": col("nd"), "n_decision_options": col("no"), "dispersion": col("dispersion")})
 
 

@@ -149,3 +149,12 @@ def test_features_hash_no_item_again(star):
     """The views are summed up once and written; nothing that follows reads items."""
     plan = design_space.situation_features(star)._jdf.queryExecution().analyzed().toString()
     assert "sha2" not in plan and "payload" not in plan
+
+
+def test_options_of_spaces_need_no_join(star):
+    """Options and spaces are counted in one shuffle."""
+    plan = design_space._options_of_spaces(star)._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
+    got = {r.situation_id: (r.nd, r.no) for r in design_space._options_of_spaces(star).collect()}
+    want = sit.options(star).groupBy("situation_id").agg(sit.F.count("*").alias("nd"), sit.F.sum("options").alias("no")).collect()
+    assert got == {r.situation_id: (r.nd, r.no) for r in want}
