@@ -6,8 +6,10 @@ joined afterwards, never measured with.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "region": ("n_units", "dispersion", "range"),
 }
 COLUMNS = tuple(f"{family}__{name}" for family, names in FAMILIES.items() for name in ("present", *names))
+VALUES = tuple(x for x in COLUMNS if not x.endswith("__present"))
 
 
 def require_no_metadata(columns: Sequence[str]) -> None:
@@ -69,31 +72,40 @@ def _state_block(s: sit.Situations) -> DataFrame:
     return _block(states, "state", {"n_states": col("n"), "n_phases": col("p"), "n_active_players": col("a"), "centroid_norm": col("norm"), "dispersion": col("dispersion")})
 
 
-def _view_blocks(v: DataFrame) -> list[DataFrame]:
-    """Of perspectives and of interventions, from the rows of sit.view_summaries."""
-    col = F.col
-    n, units = F.sum("copies"), F.sum(F.when(col("same").isNotNull(), col("copies")))
-    mean = lambda x, total=n: F.sum(x * col("copies")) / total
-    visible = lambda known: F.try_divide(known, col("n"))
-    now = F.coalesce(visible(col("n_known")), F.lit(0.0))
-    hidden, revealed = visible(col("n_known") - col("same_known")) - now, visible(col("n_known") + col("same") - col("same_known")) - now  # see sit.intervention_summaries; null without an item to change
-    plain = v.groupBy("situation_id").agg(
-        n.alias("n"), F.count_distinct("observer_id").alias("o"), mean(col("n")).alias("vol"), mean(now).alias("vis"), mean(col("n") - col("n_known")).alias("hid"),
-        units.alias("ni"), mean(hidden, units).alias("hide"), mean(revealed, units).alias("reveal"),
-    )
-    pairs = sit.set_distances(v.select("situation_id", "state_id", col("known").alias("k"), "placed"), ["situation_id", "state_id"], "k", "placed")
-    apart = pairs.groupBy("situation_id").agg(F.sum("pairs").alias("np"), (F.sum("distance") / F.sum("pairs")).alias("asym"))
-    perspective = plain.join(apart, "situation_id", "left").join(_spread(v.select("situation_id", "z", "copies"), n="copies"), "situation_id").fillna(0, ["np", "asym"])
-    perspective = materialize(perspective, "perspectives")
-    return [
-        _block(perspective, "perspective", {"n_observations": col("n"), "n_observers": col("o"), "mean_volume": col("vol"), "mean_visibility": col("vis"), "mean_hidden": col("hid"), "n_asymmetry_pairs": col("np"), "mean_asymmetry": col("asym"), "dispersion": col("dispersion")}),
-        _block(perspective.where("ni > 0"), "intervention", {"n_items": col("ni"), "mean_hide_visibility_delta": col("hide"), "mean_reveal_visibility_delta": col("reveal")}),
-    ]
+def _gaps(states: DataFrame, centers: DataFrame, dim: int = sit.DIM) -> DataFrame:
+    """(situation_id, gaps): summed distances of the views of sit.state_sums to their situation's center."""
+    kind = states.schema["situation_id"].dataType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.diff(batch.column("times").offsets.to_numpy())
+            z, center = (batch.column(x).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for x in ("z", "center"))
+            gaps = np.sqrt(((z - np.repeat(center, n, axis=0)) ** 2).sum(1)) * batch.column("times").flatten().to_numpy()  # NaN beside a null
+            of, told = np.repeat(np.arange(len(n)), n), ~np.isnan(gaps)
+            sums, none = np.bincount(of[told], gaps[told], len(n)), np.bincount(of[told], minlength=len(n)) == 0
+            yield pa.RecordBatch.from_arrays([batch.column("situation_id"), pa.array(sums, mask=none)], names=["situation_id", "gaps"])
 
+    placed = states.join(centers, "situation_id").select("situation_id", "center", "times", "z")
+    return placed.mapInArrow(measure, f"situation_id {kind}, gaps double").groupBy("situation_id").agg(F.sum("gaps").alias("gaps"))
 
-def _higher_block(v: DataFrame) -> DataFrame:
+
+def _view_blocks(states: DataFrame) -> list[DataFrame]:
+    """Of perspectives, of interventions and of views about each other, from the rows of sit.state_sums. They are read several times: write them first (materialize)."""
     col = F.col
-    return _block(sit.about_sums(v), "higher_order", {"n_pairs": col("n"), "mean_distance": col("distance"), "mean_only_focal": col("only_a"), "mean_only_target": col("only_b"), "mean_shared": col("shared"), "n_asymmetric": col("n_asymmetric")})
+    names = [x for x in states.columns if x not in ("situation_id", "total", "observers", "times", "z")]
+    sums = states.groupBy("situation_id").agg(*[F.sum(x).alias(x) for x in names], *[F.expr(f"sum(get(total, {i}))").alias(f"_t{i}") for i in range(sit.DIM)])
+    center = F.array(*[col(f"_t{i}") / col("copies") for i in range(sit.DIM)])
+    sums = materialize(sums.select("situation_id", *names, center.alias("center")), "view-sums")
+    observers = states.select("situation_id", F.explode("observers").alias("o")).distinct().groupBy("situation_id").agg(F.count("o").alias("o"))
+    v = sums.join(observers, "situation_id").join(_gaps(states, sums.select("situation_id", "center")), "situation_id", "left")
+    v = materialize(v, "perspectives")
+    mean = lambda x, total="copies": col(x) / col(total)
+    only = mean("only", "pairs")
+    return [
+        _block(v, "perspective", {"n_observations": col("copies"), "n_observers": col("o"), "mean_volume": mean("volume"), "mean_visibility": mean("visible"), "mean_hidden": mean("hidden"), "n_asymmetry_pairs": col("set_pairs"), "mean_asymmetry": F.try_divide("set_distance", "set_pairs"), "dispersion": F.when(col("copies") > 1, mean("gaps")).otherwise(0.0)}),
+        _block(v.where("changed > 0"), "intervention", {"n_items": col("changed"), "mean_hide_visibility_delta": mean("hide", "changed"), "mean_reveal_visibility_delta": mean("reveal", "changed")}),
+        _block(v.where("pairs > 0"), "higher_order", {"n_pairs": col("pairs"), "mean_distance": mean("distance", "pairs"), "mean_only_focal": only, "mean_only_target": only, "mean_shared": mean("shared", "pairs"), "n_asymmetric": col("uneven")}),
+    ]
 
 
 def _action_block(s: sit.Situations) -> DataFrame:
@@ -123,13 +135,10 @@ def situation_features(s: sit.Situations) -> DataFrame:
     kept = lambda block: materialize(block, "family")
 
     def of_views() -> list[DataFrame]:
-        seen = materialize(sit.view_summaries(s), "view-summaries")
-        v = seen.where(F.col("state_id").isNotNull() & F.col("observer_id").isNotNull())
-        views, higher = together(spark, lambda: _view_blocks(v), lambda: kept(_higher_block(v)))
-        return [*views, higher]
+        return _view_blocks(materialize(sit.state_sums(s), "state-sums"))
 
-    parts = together(spark, of_views, lambda: kept(_action_block(s)), lambda: kept(_state_block(s)), lambda: kept(_sequence_block(s)), lambda: materialize(s.situations.select("situation_id", "game_id"), "games-of-situations"))
-    out = parts.pop()
+    parts = together(spark, of_views, lambda: kept(_action_block(s)), lambda: kept(_state_block(s)), lambda: kept(_sequence_block(s)))
+    out = s.situations.select("situation_id", "game_id")
     for block in [*parts[0], *parts[1:], _block(out, "region", {"n_units": F.lit(1), "dispersion": F.lit(0), "range": F.lit(0)})]:
         out = out.join(block, "situation_id", "left")
     return out.select("situation_id", "game_id", *[F.expr(f"coalesce({x}, 0D) AS {x}") for x in COLUMNS])
@@ -153,9 +162,9 @@ def game_features(situations: DataFrame) -> DataFrame:
 
 
 def fit_scaler(train: DataFrame) -> DataFrame:
-    """One row of population means and deviations of the value columns, padded zeros included; deviation 1 without variance."""
-    names = [x for x in COLUMNS if not x.endswith("__present")]
-    return train.groupBy().agg(*[F.expr(f"avg({x})").alias(f"m_{x}") for x in names], *[F.expr(f"CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1D END").alias(f"s_{x}") for x in names])
+    """One row (fit): population means m and deviations s of the value columns in their order, padded zeros included; deviation 1 without variance."""
+    long = train.select(F.posexplode(F.array(*VALUES)).alias("idx", "x")).groupBy("idx").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    return long.groupBy().agg(F.array_sort(F.collect_list(F.expr("struct(idx, m, CASE WHEN s > 0 THEN s ELSE 1D END AS s)"))).alias("fit"))
 
 
 def scale(df: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
@@ -163,6 +172,7 @@ def scale(df: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     def scaled(x: str) -> str:
         if x.endswith("__present"):
             return x
-        return f"CASE WHEN {x.split('__')[0]}__present = 1 THEN ({x} - m_{x}) / s_{x} ELSE 0D END AS {x}"
+        of = f"get(fit, {VALUES.index(x)})"
+        return f"CASE WHEN {x.split('__')[0]}__present = 1 THEN ({x} - {of}.m) / {of}.s ELSE 0D END AS {x}"
 
     return df.crossJoin(F.broadcast(fitted)).selectExpr(key, *[scaled(x) for x in COLUMNS])  # fitted is one row

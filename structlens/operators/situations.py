@@ -240,44 +240,191 @@ def view_vectors(s: Situations, dim: int = DIM) -> DataFrame:
     return views(s).select("situation_id", "ord", "observation_id", "state_id", "observer_id", "items", view_vector(F.col("items"), dim).alias("z"))
 
 
-def view_summaries(s: Situations, dim: int = DIM) -> DataFrame:
-    """(situation_id, state_id, observer_id, copies, placed, n, n_known, same, same_known, known, z): the rows of seen with figures of the items instead of items.
+def _observed(s: Situations, dim: int) -> DataFrame:
+    """(situation_id, state_id, observer_id, place, n, n_known, same, same_known, known, z): a row per observation, those of a state together, those of an observer by `ord`.
 
-    n items, n_known of them known, known their different ids, z the view_vector;
-    same is the number of items with the id of the first one that has an id, null
-    without one, same_known how many of those are known. The items of a space
-    and the views of it meet in one sort and are summed as they stream by, so
-    each item is hashed once and no list of items is formed. A task holds a
-    space's items at a time.
+    The items of a space and its observations meet in one sort and are summed as
+    they stream by, so each item is hashed once and no list of items is formed.
+    A task holds a space's items at a time.
     """
     key, col = ["situation_id", "information_space_id"], F.col
     payload_keys = F.sort_array(F.coalesce(F.json_object_keys("payload"), F.array()))
     token = item_token(col("visibility"), col("content_known"), col("about"), col("holder_id"), payload_keys)
     items = s.info_items.where(col(key[0]).isNotNull() & col(key[1]).isNotNull())  # null meets no view
     items = items.select(*key, F.lit(0).alias("kind"), "ord", "item_id", token.alias("token"), F.coalesce("content_known", F.lit(False)).alias("known"), F.coalesce(col("visibility") == "unknown_to_self", F.lit(False)).alias("blind"))
-    rows = items.unionByName(first_spaces(s).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    views = s.observations.select(*key, F.lit(1).alias("kind"), "state_id", "observer_id", col("ord").alias("place"))
+    rows = items.unionByName(views, allowMissingColumns=True)
     rows = rows.repartition(*key).sortWithinPartitions(*key, "kind", "ord", "item_id", "token").drop("ord")
-    text = {x: rows.schema[x].dataType.simpleString() for x in ("situation_id", "state_id", "observer_id", "item_id")}
-    shape = f"situation_id {text['situation_id']}, state_id {text['state_id']}, observer_id {text['observer_id']}, copies bigint, placed bigint, n int, n_known int, same int, same_known int, known array<{text['item_id']}>, z array<double>"
+    text = {x: rows.schema[x].dataType.simpleString() for x in ("situation_id", "state_id", "observer_id", "place", "item_id")}
+    shape = f"situation_id {text['situation_id']}, state_id {text['state_id']}, observer_id {text['observer_id']}, place {text['place']}, n int, n_known int, same int, same_known int, known array<{text['item_id']}>, z array<double>"
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_runs(batches, key):
+            yield from summed_views(whole, key, dim)
+
+    state = ["situation_id", "state_id"]
+    return rows.mapInArrow(stream, shape).repartition(*state).sortWithinPartitions(*state, "observer_id", "place")
+
+
+def view_summaries(s: Situations, dim: int = DIM) -> DataFrame:
+    """(situation_id, state_id, observer_id, copies, placed, n, n_known, same, same_known, known, z): the rows of seen with figures of the items instead of items.
+
+    n items, n_known of them known, known their different ids, z the view_vector;
+    same is the number of items with the id of the first one that has an id, null
+    without one, same_known how many of those are known. A task holds a state's
+    views at a time.
+    """
+    rows = _observed(s, dim)
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[4:])
+    text = {x: rows.schema[x].dataType.simpleString() for x in ("situation_id", "state_id", "observer_id")}
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of the space that may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = int(_run_starts(batch, key)[-1])
-            goes_on = bool(held) and all(batch.column(x)[0] == held[-1].column(x)[held[-1].num_rows - 1] for x in key)
-            if last == 0 and goes_on:
-                held.append(batch)
-                continue
-            whole = [*held, batch.slice(0, last)] if last else held
-            if whole:
-                yield from summed_views(whole, key, dim)
-            held = [batch.slice(last)]
-        if held:
-            yield from summed_views(held, key, dim)
-
-    return rows.mapInArrow(stream, shape)
+        for whole in _whole_runs(batches, ["situation_id", "state_id"]):
+            first, copies, placed = first_views(whole)
+            columns = {x: first.column(x) for x in first.column_names if x != "place"}
+            head = {x: columns.pop(x) for x in text}
+            yield from pa.table(head | {"copies": pa.array(copies), "placed": pa.array(placed)} | columns).to_batches()
+
+    return rows.mapInArrow(stream, ", ".join(f"{x} {kind}" for x, kind in text.items()) + f", copies bigint, placed bigint, {rest}")
+
+
+def first_views(batches: Sequence[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The first observation of each observer of whole states, how many there are of each, and how many of those have a place."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    starts = _run_starts(rows, ["situation_id", "state_id", "observer_id"])
+    placed = np.add.reduceat(rows.column("place").is_valid().to_numpy().astype(np.int64), starts)
+    return rows.take(pa.array(starts)).combine_chunks(), np.diff(np.r_[starts, rows.num_rows]), placed
+
+
+#: Views that state_sums puts into one row.
+PIECE = 4096
+
+
+def state_sums(s: Situations, dim: int = DIM, piece: int = PIECE) -> DataFrame:
+    """Sums over the views of a state and over their pairs, in one pass; no pair is formed. Rows of one state add up.
+
+    (situation_id, copies, volume, visible, hidden, changed, hide, reveal): sums over all observations of the state; hide and reveal over the
+    changed ones, that have an item to change (see intervention_summaries). (set_pairs, set_distance): the pairs of placed observations and
+    their Jaccard distances by known ids, as in set_distances. (pairs, distance, shared, only): means over about's ordered pairs come from
+    these sums; uneven: unordered pairs that differ in vector or number of known ids. total: the summed vectors. (observers, times, z): the
+    views themselves, at most `piece` in a row. A task holds a state's views at a time.
+    """
+    rows = _observed(s, dim).where(F.col("state_id").isNotNull() & F.col("observer_id").isNotNull())
+    text = {x: rows.schema[x].dataType.simpleString() for x in ("situation_id", "observer_id")}
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_runs(batches, ["situation_id", "state_id"]):
+            yield from summed_states(whole, piece)
+
+    return rows.mapInArrow(
+        stream,
+        f"situation_id {text['situation_id']}, copies bigint, volume bigint, visible double, hidden bigint, changed bigint, hide double, reveal double, set_pairs bigint, set_distance double, "
+        f"pairs bigint, distance double, shared bigint, only bigint, uneven bigint, total array<double>, observers array<{text['observer_id']}>, times array<bigint>, z array<double>",
+    )
+
+
+def summed_states(batches: Sequence[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """The rows of state_sums of whole states."""
+    views, copies, placed = first_views(batches)
+    starts = _run_starts(views, ["situation_id", "state_id"])
+    m = np.diff(np.r_[starts, views.num_rows])
+    states, of = len(starts), np.repeat(np.arange(len(starts)), m)
+    add = lambda x: np.add.reduceat(x, starts, axis=0)
+    n, n_known, same, same_known = (views.column(x).fill_null(0).to_numpy().astype(np.int64) for x in ("n", "n_known", "same", "same_known"))
+    changes = views.column("same").is_valid().to_numpy()
+    some = np.maximum(n, 1)
+    visible = n_known / some
+    out: dict[str, np.ndarray] = {
+        "copies": add(copies), "volume": add(n * copies), "visible": add(visible * copies), "hidden": add((n - n_known) * copies), "changed": add(copies * changes),
+        "hide": add(((n_known - same_known) / some - visible) * copies * changes), "reveal": add(((n_known + same - same_known) / some - visible) * copies * changes),
+    }
+
+    lists = views.column("known").combine_chunks()
+    lengths, ids = np.diff(lists.offsets.to_numpy()), _codes(lists.flatten()).astype(np.int64)
+    out["set_pairs"], out["set_distance"] = _set_distances(of, lengths, ids, placed, states)
+
+    z = views.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(of), -1) + 0.0  # null is NaN, -0 is 0
+    squares = (z * z).sum(1)
+    has = squares > 0
+    unit = np.where(has[:, None], z, 0.0) / np.sqrt(np.where(has, squares, 1.0))[:, None]
+    one, summed = add(has.astype(np.int64)), add(unit)
+    out["pairs"] = m * (m - 1)
+    out["distance"] = np.where(m > 1, one * (one - 1) - ((summed * summed).sum(1) - add((unit * unit).sum(1))), 0.0)
+    _, held = np.unique(np.repeat(of, lengths) * (ids.max(initial=0) + 1) + ids, return_counts=True)
+    at = _ // (ids.max(initial=0) + 1)
+    out["shared"] = np.bincount(at, held * (held - 1), states).astype(np.int64)
+    out["only"] = add(lengths.astype(np.int64)) * (m - 1) - out["shared"]
+    whole = np.ascontiguousarray(np.c_[of, lengths, z]).view(f"V{8 * (z.shape[1] + 2)}")[:, 0]
+    _, place, alike = np.unique(whole, return_index=True, return_counts=True)
+    out["uneven"] = m * (m - 1) // 2 - np.bincount(of[place], alike * (alike - 1) // 2, states).astype(np.int64)
+
+    lost = np.isnan(z)
+    total, none = add(np.where(lost, 0.0, z) * copies[:, None]), add((~lost).astype(np.int64)) == 0
+    cuts = np.concatenate([np.arange(a, a + k, piece) for a, k in zip(starts, m, strict=True)])
+    own = np.searchsorted(cuts, starts)  # the piece of a state that has its sums; the others add nothing
+    columns: dict[str, pa.Array] = {"situation_id": views.column("situation_id").combine_chunks().take(pa.array(cuts))}
+    for name, x in out.items():
+        each = np.zeros(len(cuts), x.dtype)
+        each[own] = x
+        columns[name] = pa.array(each)
+    width = np.zeros(len(cuts), np.int32)
+    width[own] = z.shape[1]
+    columns["total"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)].astype(np.int32)), pa.array(total.ravel(), mask=none.ravel()))
+    bounds = np.r_[cuts, len(of)].astype(np.int32)
+    columns["observers"] = pa.ListArray.from_arrays(pa.array(bounds), views.column("observer_id").combine_chunks())
+    columns["times"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(copies))
+    columns["z"] = pa.ListArray.from_arrays(pa.array(bounds * np.int32(z.shape[1])), pa.array(z.ravel(), mask=lost.ravel()))
+    yield from pa.table(columns).to_batches()
+
+
+def _set_distances(of: np.ndarray, lengths: np.ndarray, ids: np.ndarray, times: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """set_distances of the sets of each state: of a state each, `lengths` ids, `times` rows. A set is compared with those that share an id, one set at a time."""
+    row = np.repeat(np.arange(len(of)), lengths)
+    inside = ids[np.lexsort((ids, row))]
+    ends = np.r_[0, np.cumsum(lengths)] * inside.itemsize
+    text = inside.tobytes()
+    sets = np.array(pa.array([text[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.large_binary()).dictionary_encode().indices, np.int64)
+    _, first, classes = np.unique(of * (len(of) + 1) + sets, return_index=True, return_inverse=True)
+    weight = np.bincount(classes, times, len(first)).astype(np.int64)
+    first, weight = first[weight > 0], weight[weight > 0]
+    group, rows = of[first], np.bincount(of, times, states).astype(np.int64)
+    pairs = rows * (rows - 1) // 2
+    equal = np.bincount(group, weight * (weight - 1) // 2, states)
+    # entries of the classes, by state and id
+    size = lengths[first]
+    entry = np.repeat(np.arange(len(first)), size)
+    begin = np.r_[0, np.cumsum(lengths)][first]
+    what = inside[np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] if len(first) else inside[:0]
+    slot = group[entry] * (ids.max(initial=0) + 1) + what
+    order = np.argsort(slot, kind="stable")
+    listed = entry[order]
+    low, high = (np.searchsorted(slot[order], slot, side) for side in ("left", "right"))
+    alike, at = np.zeros(states), np.r_[0, np.cumsum(size)]
+    for a in range(len(first)):
+        found = [listed[low[i] : high[i]] for i in range(at[a], at[a + 1])]
+        others = np.concatenate(found) if found else listed[:0]
+        others, both = np.unique(others[others > a], return_counts=True)
+        alike[group[a]] += (weight[a] * weight[others] * (both / (size[a] + size[others] - both))).sum()
+    return pairs, pairs - equal - alike
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of sorted rows, cut so that all rows with the same key are in one list."""
+    held: list[pa.RecordBatch] = []  # of the run that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_run_starts(batch, key)[-1])
+        goes_on = bool(held) and all(batch.column(x)[0] == held[-1].column(x)[held[-1].num_rows - 1] for x in key)
+        if last == 0 and goes_on:
+            held.append(batch)
+            continue
+        whole = [*held, batch.slice(0, last)] if last else held
+        if whole:
+            yield whole
+        held = [batch.slice(last)]
+    if held:
+        yield held
 
 
 def _run_starts(batch: pa.RecordBatch | pa.Table, key: Sequence[str]) -> np.ndarray:
@@ -297,7 +444,7 @@ def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def summed_views(batches: Sequence[pa.RecordBatch], key: Sequence[str], dim: int) -> Iterator[pa.RecordBatch]:
-    """The rows of view_summaries of whole spaces, whose items come before their views."""
+    """The rows of _observed of whole spaces, whose items come before their observations."""
     rows = pa.Table.from_batches(batches).combine_chunks()
     starts = _run_starts(rows, key)
     spaces = len(starts)
@@ -334,7 +481,7 @@ def summed_views(batches: Sequence[pa.RecordBatch], key: Sequence[str], dim: int
     missing[:, :width] = lost[of][:, None]
     vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * z.shape[1]), pa.array(flat, mask=missing.ravel()))
     number = lambda x, mask=None: pa.array(x[of].astype(np.int32), mask=mask)
-    columns = {x: view.column(x).combine_chunks() for x in ("situation_id", "state_id", "observer_id", "copies", "placed")}
+    columns = {x: view.column(x).combine_chunks() for x in ("situation_id", "state_id", "observer_id", "place")}
     columns |= {"n": number(n), "n_known": number(n_known), "same": number(count(alike), unnamed), "same_known": number(count(alike & known), unnamed), "known": sets.take(pa.array(of)), "z": vectors}
     yield from pa.table(columns).to_batches()
 
@@ -348,12 +495,44 @@ def encoded_action_sets(s: Situations, wanted: DataFrame, dim: int = DIM) -> Dat
     """The same for any (situation_id, transition_id, action_ids)."""
     asked = wanted.select("situation_id", "transition_id", F.posexplode("action_ids").alias("pos", "action_id"))
     found = relational.require_all(asked, s.actions.select("situation_id", "action_id", "action_type", "parameters"), ["situation_id", "action_id"], "action")
-    entry = F.struct("pos", "action_id", "action_type", F.array_sort(F.coalesce(F.json_object_keys("parameters"), F.array())).alias("keys"))
-    sets = found.groupBy("situation_id", "transition_id").agg(F.array_sort(F.collect_list(entry)).alias("a"))
-    types, keys = F.transform("a", lambda x: x["action_type"]), F.array_distinct(F.flatten(F.transform("a", lambda x: x["keys"])))
-    tokens = F.concat(F.transform(types, lambda t: F.concat(F.lit("type="), t)), F.transform(keys, lambda k: F.concat(F.lit("param_key="), k)), F.array(F.concat(F.lit("n="), F.size("a").cast("string"))))
-    vector = bag_vector(tokens, [F.size("a"), F.size(F.array_distinct(types)), F.size(keys), F.lit(0.0)], dim)
-    return sets.select("situation_id", "transition_id", F.array_join(F.array_sort(F.transform("a", lambda x: x["action_id"])), "\x1f").alias("set_key"), vector.alias("z"))
+    key = ["situation_id", "transition_id"]
+    rows = found.select(*key, "pos", "action_id", "action_type", F.sort_array(F.coalesce(F.json_object_keys("parameters"), F.array())).alias("keys"))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "pos", "action_id", "action_type", "keys").drop("pos")
+    text = {x: rows.schema[x].dataType.simpleString() for x in key}
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_runs(batches, key):
+            yield from summed_actions(whole, key, dim)
+
+    return rows.mapInArrow(stream, f"situation_id {text['situation_id']}, transition_id {text['transition_id']}, set_key string, z array<double>")
+
+
+def summed_actions(batches: Sequence[pa.RecordBatch], key: Sequence[str], dim: int) -> Iterator[pa.RecordBatch]:
+    """The rows of encoded_action_sets of whole sets; a set's tokens are its types, its different keys and its size."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    starts = _run_starts(rows, key)
+    sets, n = len(starts), np.diff(np.r_[starts, rows.num_rows])
+    of = np.repeat(np.arange(sets), n)
+    kinds, lists = rows.column("action_type").combine_chunks(), rows.column("keys").combine_chunks()
+    flat, types = lists.flatten(), _codes(kinds).astype(np.int64)
+    keys, owner = _codes(flat).astype(np.int64), np.repeat(of, np.diff(lists.offsets.to_numpy()))
+    _, first = np.unique(owner * (keys.max(initial=0) + 1) + keys, return_index=True)
+    first.sort()  # in the order in which they come
+    tokens = [f"type={x}" if x is not None else None for x in kinds.to_pylist()] + [f"param_key={x}" if x is not None else None for x in flat.take(pa.array(first)).to_pylist()] + [f"n={x}" for x in n]
+    at = np.r_[of, owner[first], np.arange(sets)]
+    text = {x: i for i, x in enumerate(dict.fromkeys(tokens))}
+    digests = np.frombuffer(b"".join(hashlib.sha256((x or "").encode()).digest() for x in text), np.uint8).reshape(-1, 32)[[text[x] for x in tokens]]
+    width = dim if dim <= 4 else dim - 4  # see bag_vector
+    count = np.bincount(at, minlength=sets)
+    different = np.bincount(np.unique(of * (types.max() + 1) + types) // (types.max() + 1), minlength=sets)
+    stats = [n, different, np.bincount(owner[first], minlength=sets), np.zeros(sets)]
+    z = np.stack([*[np.bincount(at, digests[:, i % 32] / 127.5 - 1.0, sets) / count for i in range(width)], *([] if dim <= 4 else stats)], axis=1)  # added up in the order of the tokens
+    missing = np.zeros(z.shape, bool)
+    missing[np.unique(at[[x is None for x in tokens]]), :width] = True
+    ids = rows.column("action_id").to_pylist()
+    set_keys = ["\x1f".join(sorted(x for x in ids[a : a + k] if x is not None)) for a, k in zip(starts, n, strict=True)]
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(sets + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel(), mask=missing.ravel()))
+    yield from pa.table({x: rows.column(x).combine_chunks().take(pa.array(starts)) for x in key} | {"set_key": pa.array(set_keys, pa.string()), "z": vectors}).to_batches()
 
 
 def intervene(items: Column, item_id: Column, operation: str) -> Column:
@@ -416,22 +595,6 @@ def about(s: Situations, dim: int = DIM) -> DataFrame:
     return about_counts(s, dim).withColumn("vector", F.concat("z_a", "z_b", F.zip_with("z_a", "z_b", lambda x, y: x - y), extras)).drop("z_a", "z_b")
 
 
-def about_sums(summaries: DataFrame, dim: int = DIM) -> DataFrame:
-    """(situation_id, n, distance, only_a, only_b, shared, n_asymmetric) of the rows of view_summaries: means over the ordered pairs of about, no pair formed.
-
-    The rows are read several times: write them first (materialize).
-    """
-    state, col = ["situation_id", "state_id"], F.col
-    v = summaries.where(col("state_id").isNotNull() & col("observer_id").isNotNull())
-    apart = cosine_sums(v.select(*state, "z", F.lit(1).alias("n")), state, "z", "n", dim).where(col("rows") > 1).groupBy("situation_id").agg(F.sum(col("rows") * (col("rows") - 1)).alias("n"), F.sum(col("distance") * 2).alias("distance"))
-    held = v.select(*state, F.explode("known").alias("i")).groupBy(*state, "i").agg(F.count("*").alias("c")).groupBy("situation_id").agg(F.sum(col("c") * (col("c") - 1)).alias("shared"))
-    sizes = v.groupBy(*state).agg(F.count("*").alias("m"), F.sum(F.size("known")).alias("k")).groupBy("situation_id").agg(F.sum(col("k") * (col("m") - 1)).alias("known"))
-    uneven = unequal_pairs(v.select(*state, "z", F.size("known").alias("k")))
-    out = apart.join(held, "situation_id", "left").join(sizes, "situation_id").join(uneven, "situation_id", "left").fillna(0, ["shared", "n_asymmetric"])
-    only = (col("known") - col("shared")) / col("n")
-    return out.select("situation_id", "n", (col("distance") / col("n")).alias("distance"), only.alias("only_a"), only.alias("only_b"), (col("shared") / col("n")).alias("shared"), "n_asymmetric")
-
-
 def asymmetric_counts(seen_once: DataFrame, dim: int = DIM) -> DataFrame:
     """What asymmetric_pairs tells of about, without its pairs: the two directions are equal where vectors are and as many ids are known."""
     col = F.col

@@ -18,7 +18,7 @@ from structlens.functions import columns as c
 from structlens.operators import design_geometry, design_space, examples, linear
 from structlens.operators import situations as sit
 from structlens.sources.tables import table
-from structlens.storage import materialize
+from structlens.storage import materialize, together
 
 r6 = c.rounded
 
@@ -43,11 +43,12 @@ def star(spark: SparkSession, sf: str, keep: Callable[[DataFrame, str], DataFram
     )
     first = F.struct("ts", "event_id")
     states = e.groupBy("situation_id", "state_id", "b").agg(F.min_by(F.struct("observer_id", "event_type", "props"), first).alias("_f"), F.sort_array(F.collect_list(F.when(nth % 2 == 0, nth))).alias("_acts"))
-    states = keep(states.select(
+    states = states.select(
         "situation_id", F.col("b").cast("bigint").alias("ord"), "state_id", F.when(F.col("b") % 7 != 0, F.col("b")).alias("turn_number"), F.when(F.col("_f.event_type") != "error", F.col("_f.observer_id")).alias("active_player_id"),
         F.when(F.col("b") < 72, "early").when(F.col("b") % 5 != 0, "late").alias("phase"), F.col("_f.props").alias("data"), F.transform("_acts", lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("_acts"),
-    ), "play-states")
-    views = keep(e.select("situation_id", "state_id", "observation_id", "observer_id", "user_id", "b").distinct(), "play-views")
+    )
+    views = e.select("situation_id", "state_id", "observation_id", "observer_id", "user_id", "b").distinct()
+    situations, states, views = together(spark, lambda: keep(situations, "play-situations"), lambda: keep(states, "play-states"), lambda: keep(views, "play-views"))
     place = (F.col("b").cast("bigint") * 100000 + F.col("user_id")).alias("ord")
     observations = views.select("situation_id", place, "observation_id", "state_id", "observer_id", F.col("observation_id").alias("information_space_id"))
     seen_as = F.when(kind == "error", "unknown_to_self").when(kind == "signup", "private").when(kind == "view", "public").when(kind == "click", "other_private").otherwise("hidden")

@@ -1,5 +1,7 @@
 """Sums over the pairs of a state without its pairs, held against the pairs."""
 
+import dataclasses
+import hashlib
 import itertools
 import random
 
@@ -145,6 +147,63 @@ def test_view_summaries_of_views_without_items(spark):
     assert {r.observer_id: r.z for r in sit.seen(s).select("observer_id", sit.view_vector(sit.F.col("items")).alias("z")).collect()} == {k: r.z for k, r in got.items()}
 
 
+def test_state_sums_equal_the_views(spark, star):
+    """Also where a state's rows come in several batches and its views go into several rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        frame = sit.state_sums(star, piece=3)
+        assert not formed(frame)
+        rows = frame.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    views = sit.view_summaries(star).collect()
+    assert max(len(r.observers) for r in rows) == 3 and sorted((r.situation_id, o) for r in rows for o in r.observers) == sorted((v.situation_id, v.observer_id) for v in views)
+    for s in {v.situation_id for v in views}:
+        mine, own = [r for r in rows if r.situation_id == s], [v for v in views if v.situation_id == s]
+        got = {x: sum(r[x] for r in mine) for x in frame.columns[1:15]}
+        pairs = [(a, b) for group in by_state(own).values() for a, b in itertools.permutations(group, 2)]
+        known = [(set(a.known), set(b.known)) for a, b in pairs]
+        assert (got["copies"], got["volume"], got["hidden"]) == (len(own), sum(v.n for v in own), sum(v.n - v.n_known for v in own))
+        assert (got["pairs"], got["only"], got["shared"]) == (len(pairs), sum(len(a - b) for a, b in known), sum(len(a & b) for a, b in known))
+        assert got["uneven"] * 2 == sum((a.z, len(a.known)) != (b.z, len(b.known)) for a, b in pairs) and got["set_pairs"] * 2 == len(pairs)
+        assert got["distance"] == pytest.approx(sum(cosine(a.z, b.z) for a, b in pairs), abs=1e-9)
+        assert got["set_distance"] * 2 == pytest.approx(sum(1 - len(a & b) / len(a | b) for a, b in known if a | b), abs=1e-9)
+        total = np.sum([r.total for r in mine if r.total], axis=0)
+        assert total == pytest.approx(np.sum([v.z for v in own], axis=0)) and sum(len(r.z) for r in mine) == len(own) * sit.DIM
+
+
+def test_state_sums_of_odd_views(spark):
+    """Views told twice or without a place, a token that is null, a view without items, an observer that is null, a state of one."""
+    none = [spark.createDataFrame([], "situation_id string")] * 7
+    items = spark.createDataFrame([("s", "i", 1, "x", "public", True), ("s", "j", 1, "y", "public", None), ("s", "k", 1, None, "private", True)], "situation_id string, information_space_id string, ord int, item_id string, visibility string, content_known boolean")
+    items = items.selectExpr("*", "'a' AS about", "array('p') AS known_to", "'{}' AS payload", "'h' AS holder_id")
+    rows = [("s", 2, "t", "p", "j"), ("s", 1, "t", "p", "i"), ("s", None, "t", "q", "j"), ("s", 4, "t", "r", "nothing"), ("s", 5, "t", None, "i"), ("s", 6, "t", "v", "k"), ("s", 7, "u", "p", "i")]
+    s = sit.Situations(none[0], none[1], spark.createDataFrame(rows, "situation_id string, ord int, state_id string, observer_id string, information_space_id string"), items, *none[2:])
+    one, two = sorted(sit.state_sums(s).collect(), key=lambda r: r.copies, reverse=True)
+    assert (one.copies, one.volume, one.hidden, one.changed, one.observers, one.times) == (5, 4, 1, 3, ["p", "q", "r", "v"], [2, 1, 1, 1])
+    assert (one.set_pairs, one.set_distance, one.pairs, one.shared, one.only) == (6, 5.0, 12, 0, 6)  # p, p, r, v are placed
+    z = np.array(one.z, float).reshape(4, sit.DIM)
+    assert np.isnan(z[1, :12]).all() and not np.isnan(z[[0, 2, 3]]).any() and one.total == pytest.approx(np.nansum(z * [[2], [1], [1], [1]], axis=0))
+    assert one.distance == pytest.approx(2 * cosine(z[0], z[3])) and one.uneven == 6
+    assert (two.copies, two.pairs, two.distance, two.set_pairs, two.set_distance, two.uneven) == (1, 0, 0.0, 0, 0.0, 0)
+
+
+def test_action_sets_come_as_a_stream(spark, star):
+    """No list of a set's actions is formed; sets that go over several batches, an action taken twice, one without type and parameters."""
+    acts = spark.createDataFrame([("s", "a1", "x", '{"b": 1, "a": 2}'), ("s", "a2", "y", '{"a": 1, "c": 1}'), ("s", "a3", None, None)], "situation_id string, action_id string, action_type string, parameters string")
+    wanted = spark.createDataFrame([("s", "t1", ["a2", "a1", "a2"]), ("s", "t2", ["a3"])], "situation_id string, transition_id string, action_ids array<string>")
+    df = sit.encoded_action_sets(dataclasses.replace(star, actions=acts), wanted)
+    assert "collect_list" not in df._jdf.queryExecution().analyzed().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        one, two = sorted(df.collect(), key=lambda r: r.transition_id)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokens = ["type=y", "type=x", "type=y", "param_key=a", "param_key=c", "param_key=b", "n=3"]
+    assert one.set_key == "a1\x1fa2\x1fa2" and one.z == [*[pytest.approx(sum(hashlib.sha256(t.encode()).digest()[i] / 127.5 - 1 for t in tokens) / 7) for i in range(12)], 3, 2, 3, 0]
+    assert two.set_key == "a3" and two.z == [None] * 12 + [1, 1, 0, 0]
+
+
 def test_features_hash_no_item_again(star):
     """The views are summed up once and written; nothing that follows reads items."""
     plan = design_space.situation_features(star)._jdf.queryExecution().analyzed().toString()
