@@ -69,7 +69,7 @@ def build_space(s: sit.Situations, train: DataFrame, n_components: int | None =
 def novelty_table(space: Space, level: str, ks: Sequence[int], view: str = "normalized", train_ids: DataFrame | None = None, metric: str = "l2") -> DataFrame:
     """(id, k, novelty) of every entity of a level against its training entities."""
     z = space.view(level, view)
-    known = z.join(space.train if train_ids is None else train_ids, "id", "left_semi")
+    known = materialize(z.join(space.train if train_ids is None else train_ids, "id", "left_semi"), "novelty-train")  # counted, and read in blocks
     return geometry.novelty(z, known, "id", "z", ks, metric)
 
 

@@ -217,3 +217,14 @@ def test_options_of_spaces_need_no_join(star):
     got = {r.situation_id: (r.nd, r.no) for r in design_space._options_of_spaces(star).collect()}
     want = sit.options(star).groupBy("situation_id").agg(sit.F.count("*").alias("nd"), sit.F.sum("options").alias("no")).collect()
     assert got == {r.situation_id: (r.nd, r.no) for r in want}
+
+
+def test_novelty_reads_no_events_for_its_training_situations(spark, tmp_path, monkeypatch):
+    """The star is derived once per query, and what novelty compares with is written."""
+    rows = [(i, f"2024-01-{1 + i % 9:02d} 0{i % 3}:10:00", i % 7, ("view", "click", "signup")[i % 3], float(i % 40), '{"k": 1}') for i in range(120)]
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    derived, star_of = [], play_queries.star
+    monkeypatch.setattr(play_queries, "star", lambda *args: derived.append(args) or star_of(*args))
+    df = play_queries.play_novelty_means(spark, str(tmp_path))
+    assert len(derived) == 1 and "event_type" not in df._jdf.queryExecution().analyzed().toString()
+    assert [(r.k, r.rows) for r in df.orderBy("k").collect()] == [(1, 9), (2, 9)]
