@@ -8,6 +8,7 @@ import pytest
 
 from structlens.operators import examples
 from structlens.operators import situations as sit
+from structlens.plans import play_queries
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,75 @@ def test_key_texts_tell_keys_apart(spark):
     keys = [("a", None), (None, "a"), ("a", ""), ("", "a"), (None, None), ("", ""), ("", None), (None, ""), ("a/=h", None), ("a", "h")]
     rows = spark.createDataFrame(keys, "about string, holder_id string").select(sit.key_text().alias("x")).collect()
     assert None not in {r.x for r in rows} and len({r.x for r in rows}) == len(keys)
+
+
+def test_about_is_listed_without_a_join_of_views(star):
+    plan = sit.about_figures(star)._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("piece", [1, 7, sit.PAIRS])
+def test_pairs_both_ways_equal_the_joined_views(spark, star, monkeypatch, piece):
+    """Ids that are null or known of one item and not of another, also where a state's rows come in several batches and its pairs go into several blocks."""
+    want = {tuple(r[:4]): (*r[4:8], pytest.approx(r.distance, abs=1e-12)) for r in sit.about_counts(star).select("situation_id", "state_id", "observer_id_a", "observer_id_b", "only_a", "only_b", "shared", "hidden_both", "distance").collect()}
+    plain = sit.view_pairs
+    monkeypatch.setattr(sit, "view_pairs", lambda s, member, dim, ordered: plain(s, member, dim, piece, ordered))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = sit.about_figures(star).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.situation_id, r.state_id, r.observer_id_a, r.observer_id_b): (r.only_a, r.only_b, r.shared, r.hidden_both, r.distance) for r in rows}
+    assert len(rows) == len(got) > 200 and got == want
+    assert max(r.hidden_both for r in rows) > 1 and max(r.shared for r in rows) > 0
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """Users with several events in a state, known and not, and states of one user."""
+    rng = random.Random(9)
+    rows = [(i, f"2024-01-0{rng.choice((1, 2))} 0{rng.choice((1, 9))}:{rng.choice((10, 20))}:00", rng.randrange(14), rng.choice(("view", "click", "signup", "error", "purchase")), 1.0, '{"k": 1}') for i in range(170)]
+    rows.append((999, "2024-01-03 05:00:00", 3, "view", 1.0, '{"k": 1}'))
+    folder = tmp_path_factory.mktemp("pairs")
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Repartition"), plan.count("Aggregate") + plan.count("Join")
+
+
+def test_about_shuffles_items_and_views_once(spark, events):
+    df = play_queries.play_about(spark, events)
+    assert shuffles(df) == (1, 0)
+    want = {tuple(r[:3]): (*r[3:7], pytest.approx(r.distance, abs=2e-6)) for r in sit.about_counts(play_queries.star(spark, events)).select("state_id", "observer_id_a", "observer_id_b", "only_a", "only_b", "shared", "hidden_both", "distance").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) > 500 and {tuple(r[:3]): (r.only_a, r.only_b, r.shared, r.hidden_both, r.distance) for r in rows} == want
+    assert {r.width for r in rows} == {53}
+
+
+def test_the_star_for_pairs_tells_the_same_views_and_items(spark, events):
+    plain, s = play_queries.star(spark, events), play_queries.pair_star(spark, events)
+    assert set(map(tuple, s.observations.collect())) == set(map(tuple, plain.observations.collect()))
+    states = {r.information_space_id: r.state_id for r in plain.observations.collect()}
+    items = [r.asDict() for r in s.info_items.collect()]
+    assert all(states[r["information_space_id"]] == r.pop("state_id") for r in items)
+    assert sorted(map(str, items)) == sorted(str(r.asDict()) for r in plain.info_items.collect())
+
+
+def test_pairs_of_odd_views_with_items_that_tell_their_state(spark):
+    """Views told twice with different places, of a space without items or without a name, items of no state; a state of one, an observer that is null."""
+    none = [spark.createDataFrame([], "situation_id string")] * 7
+    items = spark.createDataFrame([("s", "t", "i", 1, "x", True), ("s", "t", "i", 2, None, False), ("s", "t", "j", 1, "x", None), ("s", "t", "k", 1, "y", True), (None, "t", "i", 1, "z", True), ("s", None, "i", 1, "z", True), ("s", "u", "l", 1, "x", True)], "situation_id string, state_id string, information_space_id string, ord int, item_id string, content_known boolean")
+    items = items.selectExpr("*", "'public' AS visibility", "'a' AS about", "array('p') AS known_to", "'{}' AS payload", "'h' AS holder_id")
+    views = [("s", 2, "t", "p", "k"), ("s", 1, "t", "p", "i"), ("s", 1, "t", "p", "i"), ("s", 3, "t", "q", "j"), ("s", 9, "t", "q", "i"), ("s", None, "t", "q", "k"), ("s", 4, "t", "r", "nothing"), ("s", 5, "t", "u", None), ("s", 6, "t", None, "i"), ("s", 7, None, "w", "i"), ("s", 8, "u", "w", "l")]
+    s = sit.Situations(none[0], none[1], spark.createDataFrame(views, "situation_id string, ord int, state_id string, observer_id string, information_space_id string"), items, *none[2:])
+    loose = sit.Situations(*[getattr(s, x) for x in ("situations", "states", "observations")], items.where("state_id IS NOT NULL").drop("state_id"), *none[2:])
+    for figures in (sit.about_figures, examples.distance_against_asymmetry):
+        got, want = (sorted(map(tuple, figures(x).collect())) for x in (s, loose))
+        assert got == want and len(got) == (12 if figures is sit.about_figures else 6)
