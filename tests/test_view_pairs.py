@@ -112,6 +112,18 @@ def test_about_shuffles_items_and_views_once(spark, events):
     assert {r.width for r in rows} == {53}
 
 
+def test_distances_and_asymmetries_shuffle_items_and_views_once(spark, events):
+    df = play_queries.play_distance_asymmetry(spark, events)
+    assert shuffles(df) == (1, 0)
+    want = {tuple(r[:4]): tuple(pytest.approx(x, abs=2e-6) for x in r[4:]) for r in examples.distance_against_asymmetry(play_queries.star(spark, events)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) > 250 and {tuple(r[:4]): tuple(r[4:]) for r in rows} == want
+
+
 def test_the_star_for_pairs_tells_the_same_views_and_items(spark, events):
     plain, s = play_queries.star(spark, events), play_queries.pair_star(spark, events)
     assert set(map(tuple, s.observations.collect())) == set(map(tuple, plain.observations.collect()))
